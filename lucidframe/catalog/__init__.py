@@ -1,0 +1,4 @@
+"""Queries over the given tables, each next to the SQL it is checked against."""
+
+from . import project_queries  # noqa: F401
+from .registry import ORACLE, QUERIES  # noqa: F401
