@@ -99,3 +99,14 @@ def currency_number(c: Column) -> Column:
     """'$1,234.50' to 1234.5; null where the text has no mark or is not fully numeric without the marks."""
     marked = c.rlike(f"[{CURRENCY_MARKS},]")
     return F.when(marked, js_number(F.regexp_replace(c, f"[{CURRENCY_MARKS},]", "")))
+
+
+def number_text(c: Column) -> Column:
+    """A double as short text: whole numbers without a decimal point."""
+    whole = (c == F.floor(c)) & (F.abs(c) < 1e15)
+    return F.when(whole, c.cast("bigint").cast("string")).otherwise(c.cast("string"))
+
+
+def cleaned_number(c: Column) -> Column:
+    """The number in a percent or currency string, percent first; null for other text."""
+    return F.coalesce(percent_number(c), currency_number(c))

@@ -46,17 +46,23 @@ def read_json(spark: SparkSession, path: str, schema: str | T.StructType | None
     df = (reader.schema(schema) if schema is not None else reader).json(path)
     if df.columns == ["_corrupt_record"]:
         raise UnsupportedFormatError(f"{path} is not a JSON table of objects")
-    return _not_empty(unwrap(df, table_field), path)
+    if not _starts_with_array(spark, path):
+        df = unwrap(df, table_field)
+    return _not_empty(df, path)
+
+
+def _starts_with_array(spark: SparkSession, path: str) -> bool:
+    first = spark.read.text(path).select(F.ltrim("value").alias("line")).where("line <> ''").first()
+    return first is not None and first.line.startswith("[")
 
 
 def unwrap(df: DataFrame, table_field: str | None = None) -> DataFrame:
-    arrays = [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)]
+    """Rows of the wrapped table, one input row per document."""
     if table_field is None:
-        # A plain array of objects has scalar columns next to any nested array: keep it as it is.
-        scalar = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.StructType))]
-        if not arrays or (scalar and len(df.take(2)) > 1):
+        arrays = [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)]
+        if not arrays:
             return df
-        filled = df.select([F.max(F.size(a) > 0).alias(a) for a in arrays]).first()
+        filled = df.agg(*[F.bool_or(F.size(F.col(f"`{a}`")) > 0).alias(a) for a in arrays]).first()
         arrays = [a for a in arrays if filled[a]]
         if not arrays:
             return df
