@@ -9,13 +9,14 @@ from pyspark.sql import types as T
 # What counts as a plain number, as whitespace and as a currency mark.
 NUMBER_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 SPACE_CLASS = r"[\s\x0b\p{Z}\x{feff}]"
+SPACES = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 CURRENCY_MARKS = "$₱€£"
 NULL_WORDS = ("null", "undefined")
 
 
 def strip_spaces(c: Column) -> Column:
     """Trim every kind of whitespace, not only the space character."""
-    return F.regexp_replace(c, f"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def squeeze_spaces(c: Column) -> Column:
@@ -50,10 +51,22 @@ def is_missing(c: Column, rule: str = "empty") -> Column:
     raise ValueError(f"unknown missing rule: {rule}")
 
 
-def group_key(c: Column) -> Column:
-    """Trimmed text of a grouping cell; null where the cell must not form a group."""
+def missing_of(df: DataFrame, name: str) -> Column:
+    """Null or empty, by the column's type: only text can be empty."""
+    c = col_of(name)
+    return is_missing(c) if isinstance(df.schema[name].dataType, T.StringType) else c.isNull()
+
+
+def group_key(c: Column, null_words: bool = True) -> Column:
+    """Trimmed text of a grouping cell; null where the cell must not form a group.
+
+    Chart groupings also leave out the words 'null' and 'undefined'; insights count them.
+    """
     text = strip_spaces(c.cast("string"))
-    return F.when((text != "") & ~text.isin(*NULL_WORDS), text)
+    keep = text != ""
+    if null_words:
+        keep = keep & ~text.isin(*NULL_WORDS)
+    return F.when(keep, text)
 
 
 def numeric_of(df: DataFrame, name: str) -> Column:

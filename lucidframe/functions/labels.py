@@ -35,6 +35,14 @@ def format_large_number(c: Column, style: str = "plain") -> Column:
     return F.concat(F.lit(s["prefix"]), label) if s["prefix"] else label
 
 
+def large_number(value: float) -> str:
+    """The plain style for a single number on the driver."""
+    for (step, unit), digits in zip(UNITS, STYLES["plain"]["decimals"]):
+        if abs(value) >= step:
+            return f"{value / step:.{digits}f}{unit}"
+    return str(int(value)) if value == int(value) else f"{value:.2f}"
+
+
 def signed_percent(c: Column, digits: int) -> Column:
     return F.concat(F.when(c >= 0, "+").otherwise(""), fixed(c, digits), F.lit("%"))
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.coerce import cleaned_number, col_of, is_missing, js_number, number_text, squeeze_spaces, strip_spaces
+from ..functions.coerce import cleaned_number, col_of, js_number, missing_of, number_text, squeeze_spaces, strip_spaces
 from .dedup import drop_exact_duplicates
 from .order_statistics import lower_quartile, order_statistics, upper_quartile
 
@@ -68,7 +68,7 @@ def fix_column_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 
 def missing_report(df: DataFrame) -> DataFrame:
     """One row per column with its count of null or empty cells, from one scan."""
-    counted = df.agg(*[F.count_if(is_missing(col_of(c))).alias(c) for c in df.columns])
+    counted = df.agg(*[F.count_if(missing_of(df, c)).alias(c) for c in df.columns])
     return counted.unpivot([], [col_of(c) for c in df.columns], "column", "missing")
 
 
@@ -204,7 +204,7 @@ def promote_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFram
     if not columns:
         return df
     counts = df.agg(
-        *[F.count_if(~is_missing(col_of(c))).alias(f"f{i}") for i, c in enumerate(columns)],
+        *[F.count_if(~missing_of(df, c)).alias(f"f{i}") for i, c in enumerate(columns)],
         *[F.count_if(js_number(col_of(c)).isNotNull()).alias(f"n{i}") for i, c in enumerate(columns)],
     ).first()
     full = [c for i, c in enumerate(columns) if counts[f"f{i}"] and counts[f"f{i}"] == counts[f"n{i}"]]
@@ -245,7 +245,7 @@ def clean_dataset(df: DataFrame) -> Cleaned:
     # Marks of what each step changes travel with the row, so one aggregate counts all of them.
     marked = base.withColumns(
         {
-            **{f"_m{i}": is_missing(col_of(c)) for i, c in enumerate(base.columns)},
+            **{f"_m{i}": missing_of(base, c) for i, c in enumerate(base.columns)},
             **{f"_o{i}": f.outside(col_of(c)) for i, (c, f) in enumerate(fences.items())},
             **{f"_t{i}": squeeze_spaces(col_of(c)) != col_of(c) for i, c in enumerate(texts)},
             **{f"_s{i}": squeeze_spaces(col_of(c)) for i, c in enumerate(texts)},

@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.coerce import col_of, is_missing, numeric_of
-from ..functions.labels import column_label, format_large_number
+from ..functions.coerce import col_of, js_number, missing_of, numeric_of
+from ..functions.labels import column_label, format_large_number, large_number
 from .order_statistics import order_statistics, upper_median
 
 # Name hints, patterns, thresholds and limits of the type rules and reports.
@@ -73,7 +73,7 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None, approximate
     """(column, unique_count). Exact by default; the approximate form needs no shuffle of values."""
     columns = columns or df.columns
     if approximate:
-        row = df.agg(*[F.approx_count_distinct(F.when(~is_missing(col_of(c)), as_text(df, c))).alias(c) for c in columns])
+        row = df.agg(*[F.approx_count_distinct(F.when(~missing_of(df, c), as_text(df, c))).alias(c) for c in columns])
         return row.unpivot([], [col_of(c) for c in columns], "column", "unique_count")
     return _distinct_table(df, columns).groupBy("column").agg(F.count("*").alias("unique_count"))
 
@@ -108,20 +108,29 @@ def column_facts(df: DataFrame, columns: list[str] | None = None, approximate: b
     """Everything the type rules look at, one row per column."""
     columns = columns or df.columns
     low, high = YEAR_RANGE
-    aggregates = [F.count("*").alias("rows")]
+    # What the column's own type already says is not parsed out of text again.
+    cells, aggregates = [], [F.count("*").alias("rows")]
+    zero = F.lit(0).cast("bigint")
     for i, c in enumerate(columns):
-        text = F.when(~is_missing(col_of(c)), as_text(df, c))
-        number = F.when(text.isNotNull(), numeric_of(df, c).cast("double"))
-        aggregates += [
-            F.count(text).alias(f"f{i}"),
-            F.count(number).alias(f"n{i}"),
-            F.count_if(text.rlike(DATE_START)).alias(f"d{i}"),
-            F.coalesce(F.sum(F.length(text)), F.lit(0)).alias(f"l{i}"),
-            F.count_if((number < low) | (number > high)).alias(f"y{i}"),
-        ]
+        dtype = df.schema[c].dataType
+        cell, number = F.col(f"t{i}"), F.col(f"v{i}")
+        off_years = F.count_if((number < low) | (number > high))
+        if isinstance(dtype, (T.NumericType, T.BooleanType)):
+            cells += [col_of(c).alias(f"t{i}"), numeric_of(df, c).alias(f"v{i}")]
+            measured = F.count(number), zero, zero, off_years
+        elif isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            cells.append(col_of(c).alias(f"t{i}"))
+            measured = zero, F.count(cell), zero, zero
+        else:
+            filled = F.when(~missing_of(df, c), as_text(df, c))
+            cells += [filled.alias(f"t{i}"), js_number(filled).alias(f"v{i}")]
+            measured = F.count(number), F.count_if(cell.rlike(DATE_START)), F.coalesce(F.sum(F.length(cell)), zero), off_years
+        aggregates.append(F.count(cell).alias(f"f{i}"))
+        aggregates += [m.alias(f"{k}{i}") for k, m in zip("ndly", measured)]
+    cells = df.select(*cells)
     index = {c: i for i, c in enumerate(columns)}
     facts = _one_row_per_column(
-        df.agg(*aggregates),
+        cells.agg(*aggregates),
         columns,
         lambda c: {
             "position": F.lit(index[c]),
@@ -307,6 +316,21 @@ def filter_options(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     return offered.join(first, "column", "left_semi").select("column", label.alias("label"), "value", "count")
 
 
+def usable_values(top: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    return [(v, n) for v, n in top if len(v) >= 2 and not re.search(BARE_NUMBER, v)]
+
+
+def context_text(name: str, columns: list[str], profiled: Profile) -> str:
+    """The context sentence from a collected profile."""
+    words = f"{name} {' '.join(columns)}".lower()
+    parts = [next((s for pattern, s in DOMAINS if re.search(pattern, words)), "")]
+    unclear = [c for c in profiled.numeric if re.search(AMBIGUOUS_NAME, c.name)][:AMBIGUOUS_SHOWN]
+    if unclear:
+        shown = [f'"{c.name}" (numeric, range: {large_number(c.stats["min"])} – {large_number(c.stats["max"])})' for c in unclear]
+        parts.append(f"Note: columns {', '.join(shown)} may have abbreviated names from the source file.")
+    return " ".join(p for p in parts if p)
+
+
 def domain_of(text: Column) -> Column:
     """The first subject area whose words occur in the text."""
     lowered = F.lower(text)
