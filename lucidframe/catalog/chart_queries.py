@@ -106,18 +106,26 @@ def records_by_category(spark, sf_dir):
     return ch.record_counts(documents, "source", ch.BARS)
 
 
-@register("kpi_standard", EVENT, f"""
-WITH s AS (SELECT COUNT(*) AS n, CAST(SUM(value) AS DOUBLE) AS v, CAST(SUM(user_id) AS DOUBLE) AS u, CAST(MAX(value) AS DOUBLE) AS vmax, CAST(MAX(user_id) AS DOUBLE) AS umax,
-    COUNT(DISTINCT event_type) AS k FROM event_facts),
-  m AS (SELECT *, CASE WHEN v >= u THEN 'Value' ELSE 'User Id' END AS main, CASE WHEN v >= u THEN 'User Id' ELSE 'Value' END AS other, greatest(v, u) AS top, least(v, u) AS low FROM s)
-SELECT 0 AS position, 'Total Records' AS label, replace(format('{{:,}}', n), ' ', '') AS value, CAST(n AS DOUBLE) AS raw_value FROM m
-UNION ALL SELECT 1, 'Total ' || main, {q.large_number('top')}, top FROM m
-UNION ALL SELECT 2, 'Total ' || other, {q.large_number('low')}, low FROM m
-UNION ALL SELECT 3, 'Avg ' || main, {q.large_number('top / n')}, top / n FROM m
-UNION ALL SELECT 4, 'Event Type Groups', CAST(k AS VARCHAR), k FROM m""")
+def _kpis(source: str) -> str:
+    """KPI rows of an event table, from its detected types."""
+    return f"""ty AS ({q.column_types(source, EVENTS)}),
+  sums AS (SELECT 'value' AS c, 'Value' AS label, CAST(SUM(value) AS DOUBLE) AS total, COUNT(value) AS k, CAST(MAX(value) AS DOUBLE) AS top FROM {source}
+    UNION ALL SELECT 'user_id', 'User Id', CAST(SUM(user_id) AS DOUBLE), COUNT(user_id), CAST(MAX(user_id) AS DOUBLE) FROM {source}),
+  main AS (SELECT sums.*, row_number() OVER (ORDER BY total DESC) AS place FROM sums JOIN ty ON ty."column" = sums.c WHERE type = 'numeric' AND total > 0),
+  cats AS (SELECT * FROM ty WHERE type = 'categorical' ORDER BY position LIMIT 1),
+  items AS (
+    SELECT 0 AS p, 'Total Records' AS label, CAST(COUNT(*) AS DOUBLE) AS raw_value, trim(format('{{:,}}', COUNT(*))) AS value FROM {source}
+    UNION ALL SELECT place, 'Total ' || label, total, {q.large_number('total')} FROM main WHERE place <= 2
+    UNION ALL SELECT 3, 'Avg ' || label, total / k, {q.large_number('total / k')} FROM main WHERE place = 1
+    UNION ALL SELECT 4, 'Event Type Groups', unique_count, CAST(unique_count AS VARCHAR) FROM cats
+    UNION ALL SELECT 5, 'Highest ' || label, top, {q.large_number('top')} FROM main WHERE place = 1 AND top <> total)
+SELECT * FROM (SELECT CAST(row_number() OVER (ORDER BY p) - 1 AS INTEGER) AS position, label, raw_value, value FROM items) WHERE position < 5"""
+
+
+@register("kpi_standard", EVENT, "WITH " + _kpis("event_facts"))
 def kpi_standard(spark, sf_dir):
     df = events(spark, sf_dir)
-    return ins.standard_kpis(df, prof.profile(df))
+    return ins.standard_kpis(spark, prof.profile(df))
 
 
 @register("chart_recommendations", EVENT + LINE, f"""
@@ -259,15 +267,10 @@ def insights_standard(spark, sf_dir):
     return found.where("position <= 3").select("position", "text", "type")
 
 
-@register("filtered_reanalysis", EVENT, f"""
-WITH f AS (SELECT * FROM event_facts WHERE event_type = 'purchase'), s AS (SELECT COUNT(*) AS n, CAST(SUM(value) AS DOUBLE) AS v, CAST(SUM(user_id) AS DOUBLE) AS u FROM f),
-  m AS (SELECT *, CASE WHEN v >= u THEN 'Value' ELSE 'User Id' END AS main, CASE WHEN v >= u THEN 'User Id' ELSE 'Value' END AS other, greatest(v, u) AS top, least(v, u) AS low FROM s)
-SELECT 0 AS position, 'Total Records' AS label, CAST(n AS DOUBLE) AS raw_value FROM m
-UNION ALL SELECT 1, 'Total ' || main, top FROM m UNION ALL SELECT 2, 'Total ' || other, low FROM m
-UNION ALL SELECT 3, 'Avg ' || main, top / n FROM m UNION ALL SELECT 4, 'Event Type Groups', 1 FROM m""")
+@register("filtered_reanalysis", EVENT, "WITH f AS (SELECT * FROM event_facts WHERE event_type = 'purchase'), " + _kpis("f"))
 def filtered_reanalysis(spark, sf_dir):
     whole = analyze(events(spark, sf_dir), "event_facts", ["event_id"])
-    return refine(whole, {"event_type": "purchase"}, ["event_id"]).kpis.select("position", "label", "raw_value")
+    return refine(whole, {"event_type": "purchase"}, ["event_id"]).kpis
 
 
 @register("format_large_number", LINE, f"""

@@ -91,7 +91,7 @@ UNION ALL SELECT 3, 'Growth ({PREVIOUS} → {LATEST})', CASE WHEN latest >= prev
 UNION ALL SELECT 4, 'Distinct Region', CAST((SELECT COUNT(DISTINCT region) FROM supplier_years) AS VARCHAR), (SELECT COUNT(DISTINCT region) FROM supplier_years)""")
 def kpi_wide(spark, sf_dir):
     regions = wide(spark, sf_dir).select("region").distinct().count()
-    return ins.wide_kpis(facts(spark, sf_dir), "region", regions)
+    return ins.wide_kpis(spark, facts(spark, sf_dir).first(), "region", regions)
 
 
 @register("cagr", WIDE, f"""

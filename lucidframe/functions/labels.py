@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,16 +36,22 @@ def format_large_number(c: Column, style: str = "plain") -> Column:
     return F.concat(F.lit(s["prefix"]), label) if s["prefix"] else label
 
 
+def to_fixed(value: float, digits: int) -> str:
+    """Fixed decimals, halves away from zero, for a number on the driver."""
+    return str(Decimal(value).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+
+
 def large_number(value: float) -> str:
-    """The plain style for a single number on the driver."""
+    """The plain style of `format_large_number` for a number on the driver."""
+    value = float(value)
     for (step, unit), digits in zip(UNITS, STYLES["plain"]["decimals"]):
         if abs(value) >= step:
-            return f"{value / step:.{digits}f}{unit}"
-    return str(int(value)) if value == int(value) else f"{value:.2f}"
+            return to_fixed(value / step, digits) + unit
+    return str(int(value)) if value == int(value) else to_fixed(value, STYLES["plain"]["decimals"][3])
 
 
-def signed_percent(c: Column, digits: int) -> Column:
-    return F.concat(F.when(c >= 0, "+").otherwise(""), fixed(c, digits), F.lit("%"))
+def signed_percent(value: float, digits: int) -> str:
+    return ("+" if value >= 0 else "") + to_fixed(value, digits) + "%"
 
 
 def period_label(c: Column) -> Column:

@@ -111,12 +111,17 @@ def _between(columns: list[prof.ColumnProfile], limits: tuple[int, int]) -> list
     return [c for c in columns if limits[0] <= c.unique_count <= limits[1]]
 
 
-def _distinct_groups(df: DataFrame, columns: list[str]) -> dict[str, int]:
-    """Distinct trimmed keys per column, all in one job."""
-    if not columns:
+def _chart_counts(df: DataFrame, keys: list[str], time: str | None, pair: tuple[str, str] | None) -> dict[str, int]:
+    """What decides about charts, in one job: distinct groups per key, rows with a time, complete pairs."""
+    counts = {f"groups:{c}": F.countDistinct(group_key(col_of(c))) for c in dict.fromkeys(keys)}
+    if time:
+        counts["timed"] = F.count_if(~is_missing(col_of(time), "blank"))
+    if pair:
+        counts["pairs"] = F.count_if(numeric_of(df, pair[0]).isNotNull() & numeric_of(df, pair[1]).isNotNull())
+    if not counts:
         return {}
-    row = df.agg(*[F.countDistinct(group_key(col_of(c))).alias(f"g{i}") for i, c in enumerate(columns)]).first()
-    return {c: row[f"g{i}"] for i, c in enumerate(columns)}
+    row = df.agg(*[c.alias(f"c{i}") for i, c in enumerate(counts.values())]).first()
+    return dict(zip(counts, row))
 
 
 def recommend_charts(df: DataFrame, profile: prof.Profile, order_by: list[str] | None = None) -> list[Chart]:
@@ -125,17 +130,15 @@ def recommend_charts(df: DataFrame, profile: prof.Profile, order_by: list[str] |
     good, wider = _between(categories, GOOD_CATEGORY), _between(categories, ANY_CATEGORY)
     time = times[0] if times else None
     keys = [c.name for c in ([time] if time else []) + good[:2] + wider[:1]]
-    groups = _distinct_groups(df, list(dict.fromkeys(keys)))
+    pair = (numbers[0].name, numbers[1].name) if len(numbers) > 1 else None
+    counts = _chart_counts(df, keys, time.name if time else None, pair)
+    groups = {k: counts[f"groups:{k}"] for k in keys}
     charts: list[Chart] = []
 
-    timed = None
-    if time and numbers:
-        filled = df.where(~is_missing(col_of(time.name), "blank"))
-        if groups[time.name] > 1 and filled.count() >= profile.rows * LEAST_TIME_SHARE:
-            timed = filled
-    if timed is not None:
+    timed = bool(time and numbers) and groups[time.name] > 1 and counts["timed"] >= profile.rows * LEAST_TIME_SHARE
+    if timed:
         measures = [c.name for c in numbers[:TIME_MEASURES]]
-        charts.append(Chart("line", f"{numbers[0].label} Over {time.label}", time.name, measures, time_series(timed, time.name, measures, GROUPS)))
+        charts.append(Chart("line", f"{numbers[0].label} Over {time.label}", time.name, measures, time_series(df, time.name, measures, GROUPS)))
 
     if good and numbers and groups[good[0].name] >= 2:
         category, measure, n = good[0], numbers[0], groups[good[0].name]
@@ -156,15 +159,13 @@ def recommend_charts(df: DataFrame, profile: prof.Profile, order_by: list[str] |
             Chart(kind, f"{measure.label} by {category.label}", category.name, [measure.name], largest_groups(df, category.name, [measure.name], _bar_rows(kind)))
         )
 
-    if timed is not None and len(numbers) > 1:
+    if timed and len(numbers) > 1:
         measure = numbers[1]
-        charts.append(Chart("area", f"{measure.label} Trend", time.name, [measure.name], time_series(timed, time.name, [measure.name], GROUPS)))
+        charts.append(Chart("area", f"{measure.label} Trend", time.name, [measure.name], time_series(df, time.name, [measure.name], GROUPS)))
 
-    if len(numbers) >= 2:
+    if pair and counts["pairs"] > LEAST_POINTS:
         x, y = numbers[0], numbers[1]
-        if _pairs(df, x.name, y.name).limit(LEAST_POINTS + 1).count() > LEAST_POINTS:
-            data = scatter_points(df, x.name, y.name, order_by or [])
-            charts.append(Chart("scatter", f"{x.label} vs {y.label}", x.name, [y.name], data))
+        charts.append(Chart("scatter", f"{x.label} vs {y.label}", x.name, [y.name], scatter_points(df, x.name, y.name, order_by or [])))
 
     if wider and len(numbers) > 1 and len(charts) < 4 and groups[wider[0].name] >= 2:
         category, measure = wider[0], numbers[1]

@@ -56,9 +56,10 @@ def group_facts(groups: DataFrame) -> DataFrame:
     return one_row(ends, top3).withColumn("mean", F.try_divide("total", "groups"))
 
 
-def group_median(groups: DataFrame) -> float | None:
+def group_median(groups: DataFrame, count: int | None = None) -> float | None:
     """The total in the middle of the descending order (index k // 2)."""
-    return order_statistics(groups, {"total": F.col("total")}, {"median": lambda k: k - 1 - k // 2})["total"]["median"]
+    counts = None if count is None else {"total": count}
+    return order_statistics(groups, {"total": F.col("total")}, {"median": lambda k: k - 1 - k // 2}, counts=counts)["total"]["median"]
 
 
 def series_facts(series: DataFrame) -> DataFrame:

@@ -1,16 +1,19 @@
-"""KPIs, insights and summaries as rows, each with the numbers that support it.
+"""KPIs, insights and summaries, each with the numbers that support it.
 
-Everything here works on one-row facts (see `facts` and `reshape.period_sums`),
-so it costs nothing next to the group-bys that made them.
+The first half selects numbers from one-row facts (see `facts` and
+`reshape.period_sums`) as DataFrames. The second half words them: it takes the
+collected facts, a handful of numbers however large the table is, and gives
+rows of text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from ..functions.labels import column_label, fixed, format_large_number, period_label, signed_percent
-from .facts import one_row
+from ..functions.labels import column_label, large_number, period_label, signed_percent, to_fixed
 from .profile import Profile
 
 # Thresholds, list lengths and confidence limits.
@@ -43,32 +46,7 @@ def share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole * 100).otherwise(0.0)
 
 
-def _n(c) -> Column:
-    return format_large_number(c if isinstance(c, Column) else F.col(c))
-
-
-def _count(name: str) -> Column:
-    return F.col(name).cast("string")
-
-
-def _rows(facts: DataFrame, items: list[dict]) -> DataFrame:
-    """Turn one row of facts into insight rows, dropping those whose condition does not hold."""
-    structs = [
-        F.struct(
-            F.lit(item["position"]).alias("position"), F.lit(item["kind"]).alias("kind"), item["text"].alias("text"),
-            _as_column(item["type"]).alias("type"), _as_column(item["confidence"]).alias("confidence"),
-            _as_column(item.get("evidence")).cast("string").alias("evidence"), F.coalesce(item["when"], F.lit(False)).alias("keep"),
-        )
-        for item in items
-    ]
-    return facts.select(F.inline(F.array(*structs))).where("keep").drop("keep")
-
-
-def _as_column(value) -> Column:
-    return value if isinstance(value, Column) else F.lit(value)
-
-
-# --- standard tables: category insights ---------------------------------------
+# --- numbers: categories ------------------------------------------------------
 
 def leader(facts: DataFrame) -> DataFrame:
     """Top group with its share of the total and its average per record."""
@@ -102,52 +80,7 @@ def group_skew(facts: DataFrame, median: float | None) -> DataFrame:
     return facts.where(F.col("groups") >= SKEW_GROUPS).select("groups", "top_total", "mean", middle.alias("median"), skewed.alias("skewed"))
 
 
-def category_insights(facts: DataFrame, median: float | None, category: str, measure: str, rows: int) -> DataFrame:
-    what, groups = column_label(measure).lower(), column_label(category).lower()
-    level = confidence(rows)
-    pct = share(F.col("top_total"), F.col("total"))
-    top3 = share(F.col("top3_total"), F.col("total"))
-    ratio = F.when(F.col("bottom_total") > 0, F.col("top_total") / F.col("bottom_total")).otherwise(0.0)
-    middle = F.lit(median).cast("double")
-    return _rows(facts, [
-        {
-            "position": 0, "kind": "leader", "type": "positive", "confidence": level, "when": F.col("groups") >= 2,
-            "text": F.concat(
-                F.lit('"'), F.col("top_name"), F.lit(f'" dominates {what} — accounting for '), _n("top_total"), F.lit(" ("), fixed(pct, 0),
-                F.lit("% of total "), _n("total"), F.lit("), averaging "), _n(F.try_divide("top_total", "top_count")),
-                F.lit(" per record across "), _count("top_count"), F.lit(" entries."),
-            ),
-            "evidence": f'Aggregated "{measure}" grouped by "{category}" across {rows} records.',
-        },
-        {
-            "position": 1, "kind": "bottom", "type": "info", "confidence": level, "when": F.col("groups") >= 2,
-            "text": F.concat(
-                F.lit('"'), F.col("bottom_name"), F.lit(f'" has the lowest {what} at '), _n("bottom_total"), F.lit(" ("), _count("bottom_count"),
-                F.lit(" records)"), F.when(ratio > BOTTOM_RATIO, F.concat(F.lit(" — "), fixed(ratio, 0), F.lit("x less than the top performer"))).otherwise(""), F.lit("."),
-            ),
-        },
-        {
-            "position": 2, "kind": "concentration", "type": "warning", "confidence": level,
-            "when": (F.col("groups") >= CONCENTRATION_GROUPS) & (top3 > CONCENTRATION_SHARE),
-            "text": F.concat(
-                F.lit("High concentration: "), F.col("top3_names"), F.lit(" together hold "), fixed(top3, 0), F.lit(f"% of total {what} ("), _n("top3_total"),
-                F.lit(" of "), _n("total"), F.lit("). Remaining "), (F.col("groups") - 3).cast("string"), F.lit(" groups share the other "), fixed(100 - top3, 0), F.lit("%."),
-            ),
-            "evidence": F.concat(F.lit("Top 3 of "), _count("groups"), F.lit(f" {groups} groups by sum.")),
-        },
-        {
-            "position": 3, "kind": "skew", "type": "warning", "confidence": level,
-            "when": (F.col("groups") >= SKEW_GROUPS) & (F.col("top_total") > F.col("mean") * SKEW_FACTOR) & (middle < F.col("mean")),
-            "text": F.concat(
-                F.lit(f"Distribution is heavily skewed — the median {groups} contributes "), _n(middle), F.lit(" vs. a mean of "), _n("mean"),
-                F.lit(", indicating a few large players pull the average up significantly."),
-            ),
-            "evidence": F.concat(F.lit("Median vs mean comparison across "), _count("groups"), F.lit(" groups.")),
-        },
-    ])
-
-
-# --- standard tables: time insights -------------------------------------------
+# --- numbers: time ------------------------------------------------------------
 
 def overall_growth(series: DataFrame) -> DataFrame:
     """First against last period, when the first is positive."""
@@ -171,44 +104,7 @@ def peak(series: DataFrame) -> DataFrame:
     return series.where(inner).select("peak_period", "peak_total", "last_period", "last_total", below.alias("below_peak_pct"))
 
 
-def time_insights(series: DataFrame, time: str, measure: str, rows: int) -> DataFrame:
-    what, when = column_label(measure).lower(), column_label(time).lower()
-    level = confidence(rows)
-    overall = growth(F.col("last_total"), F.col("first_total"))
-    recent = growth(F.col("last_total"), F.col("prev_total"))
-    lower = F.col("last_total") < F.col("peak_total")
-    inner = (F.col("peak_period") != F.col("last_period")) & (F.col("peak_period") != F.col("first_period"))
-    enough = F.col("periods") >= 2
-    return _rows(series, [
-        {
-            "position": 4, "kind": "growth", "when": enough & overall.isNotNull(),
-            "type": F.when(overall >= 0, "positive").otherwise("negative"),
-            "confidence": F.when(F.col("periods") >= LONG_SERIES, "high").otherwise("medium"),
-            "text": F.concat(
-                F.lit(f"Overall, {what} "), F.when(overall >= 0, "grew").otherwise("declined"), F.lit(" by "), fixed(F.abs(overall), 0), F.lit("% from "),
-                F.col("first_period"), F.lit(" ("), _n("first_total"), F.lit(") to "), F.col("last_period"), F.lit(" ("), _n("last_total"), F.lit(") over "), _count("periods"), F.lit(" periods."),
-            ),
-            "evidence": F.concat(F.lit("First vs last period comparison across "), _count("periods"), F.lit(f" distinct {when} values.")),
-        },
-        {
-            "position": 5, "kind": "momentum", "when": enough & recent.isNotNull(), "type": F.when(recent >= 0, "positive").otherwise("negative"), "confidence": level,
-            "text": F.concat(
-                F.lit("Most recent period ("), F.col("last_period"), F.lit("): "), _n("last_total"), F.lit(" — a "), signed_percent(recent, 1),
-                F.lit(" change from the prior period ("), F.col("prev_period"), F.lit(": "), _n("prev_total"), F.lit(")."),
-            ),
-        },
-        {
-            "position": 6, "kind": "peak", "when": enough & inner, "type": F.when(lower, "warning").otherwise("positive"), "confidence": level,
-            "text": F.concat(
-                F.lit(f"Peak {what} occurred in "), F.col("peak_period"), F.lit(" at "), _n("peak_total"), F.lit(" — "),
-                F.when(lower, F.concat(F.lit("current level is "), fixed((1 - F.col("last_total") / F.col("peak_total")) * 100, 0), F.lit("% below peak"))).otherwise("currently at or above peak"),
-                F.lit("."),
-            ),
-        },
-    ])
-
-
-# --- standard tables: extremes, KPIs, summary ---------------------------------
+# --- numbers: extremes and wide tables ----------------------------------------
 
 def extreme_range(numeric: DataFrame) -> DataFrame:
     """Numeric columns whose maximum is more than five times their mean."""
@@ -216,50 +112,6 @@ def extreme_range(numeric: DataFrame) -> DataFrame:
     return numeric.where(wide).withColumn("times_mean", F.col("max") / F.col("mean"))
 
 
-def extreme_insights(numeric: DataFrame, columns: list[str], rows: int) -> DataFrame:
-    """For the first two numeric columns of the table."""
-    place = F.lit(0)
-    label = F.col("column")
-    for i, c in enumerate(columns[:2]):
-        place = F.when(F.col("column") == c, F.lit(7 + i)).otherwise(place)
-        label = F.when(F.col("column") == c, F.lit(column_label(c))).otherwise(label)
-    found = extreme_range(numeric.where(F.col("column").isin(columns[:2])))
-    return found.select(
-        place.cast("int").alias("position"),
-        F.lit("extreme_range").alias("kind"),
-        F.concat(
-            label, F.lit(" shows extreme range — max value ("), _n("max"), F.lit(") is "), fixed(F.col("times_mean"), 0), F.lit("x the average ("), _n("mean"),
-            F.lit("). Median is "), _n("median"), F.lit(", suggesting right-skewed distribution."),
-        ).alias("text"),
-        F.lit("warning").alias("type"),
-        F.lit("high" if rows >= MEDIUM_ROWS else "medium").alias("confidence"),
-        F.concat(
-            F.lit(f"Descriptive stats from {rows} values: min="), _n("min"), F.lit(", max="), _n("max"), F.lit(", mean="), _n("mean"), F.lit(", median="), _n("median"), F.lit("."),
-        ).alias("evidence"),
-    )
-
-
-def _kpi_table(spark, rows: list[tuple]) -> DataFrame:
-    """KPI rows from (label, number, text or None); a missing text is the number's large-number form."""
-    data = [(i, label, text, float(number)) for i, (label, number, text) in enumerate(rows[:KPIS])]
-    table = spark.createDataFrame(data, "position int, label string, text string, raw_value double")
-    return table.select("position", "label", F.coalesce("text", format_large_number(F.col("raw_value"))).alias("value"), "raw_value")
-
-
-def standard_kpis(df: DataFrame, profile: Profile) -> DataFrame:
-    rows: list[tuple] = [("Total Records", profile.rows, f"{profile.rows:,}")]
-    main = profile.main_measures()[:KPI_MEASURES]
-    rows += [(f"Total {c.label}", c.sum, None) for c in main]
-    if main:
-        rows.append((f"Avg {main[0].label}", main[0].stats["mean"], None))
-    if profile.categorical:
-        first = profile.categorical[0]
-        rows.append((f"{first.label} Groups", first.unique_count, f"{first.unique_count:,}"))
-    if main and len(rows) < KPIS and main[0].stats["max"] and main[0].stats["max"] != main[0].sum:
-        rows.append((f"Highest {main[0].label}", main[0].stats["max"], None))
-    return _kpi_table(df.sparkSession, rows)
-
-
 def wide_facts(sums: DataFrame, periods: list[str]) -> DataFrame:
     """Latest, previous, first, average, peak and lowest period from one row of period sums."""
     last = len(periods) - 1
@@ -283,155 +135,264 @@ def wide_facts(sums: DataFrame, periods: list[str]) -> DataFrame:
     )
 
 
-def wide_kpis(facts: DataFrame, category: str | None = None, distinct: int | None = None) -> DataFrame:
-    """(position, label, value, raw_value) of a wide table, at most five rows."""
-    rows = [
-        (0, F.concat(F.lit("Latest Period ("), F.col("latest_period"), F.lit(")")), _n("latest_total"), F.col("latest_total"), F.lit(True)),
-        (1, F.lit("Grand Total"), _n("grand_total"), F.col("grand_total"), F.lit(True)),
-        (2, F.lit("Period Average"), _n("period_average"), F.col("period_average"), F.lit(True)),
-        (
-            3, F.concat(F.lit("Growth ("), F.col("prev_period"), F.lit(" → "), F.col("latest_period"), F.lit(")")),
-            signed_percent(F.col("change_pct"), 1), F.col("change_pct"), F.col("change_pct").isNotNull(),
-        ),
-    ]
-    if category is not None and distinct is not None:
-        rows.append((4, F.lit(f"Distinct {column_label(category)}"), F.lit(f"{distinct:,}"), F.lit(float(distinct)), F.lit(True)))
-    structs = [
-        F.struct(F.lit(p).alias("position"), label.alias("label"), value.alias("value"), raw.cast("double").alias("raw_value"), keep.alias("keep"))
-        for p, label, value, raw, keep in rows
+# --- wording: insights --------------------------------------------------------
+
+@dataclass
+class Insight:
+    kind: str
+    text: str
+    type: str
+    confidence: str | None = None
+    evidence: str | None = None
+
+
+def insight_table(spark, insights: list[Insight], limit: int = INSIGHTS) -> DataFrame:
+    rows = [(i, x.kind, x.text, x.type, x.confidence, x.evidence) for i, x in enumerate(insights[:limit])]
+    return spark.createDataFrame(rows, INSIGHT_SCHEMA)
+
+
+def _pct(part: float, whole: float) -> float:
+    return part / whole * 100 if whole > 0 else 0.0
+
+
+def _change(new: float, old: float | None) -> float | None:
+    return (new - old) / old * 100 if old is not None and old > 0 else None
+
+
+def _tone(change: float) -> str:
+    return "positive" if change >= 0 else "negative"
+
+
+def category_insights(facts: Row, median: float | None, category: str, measure: str, rows: int) -> list[Insight]:
+    """Leader, bottom, concentration and skew of a measure over the groups of a category."""
+    if facts["groups"] < 2:
+        return []
+    what, groups = column_label(measure).lower(), column_label(category).lower()
+    level, n, total = confidence(rows), facts["groups"], facts["total"]
+    top, low = facts["top_total"], facts["bottom_total"]
+    out = [
+        Insight(
+            "leader",
+            f'"{facts["top_name"]}" dominates {what} — accounting for {large_number(top)} ({to_fixed(_pct(top, total), 0)}% of total {large_number(total)}), '
+            f"averaging {large_number(top / facts['top_count'])} per record across {facts['top_count']} entries.",
+            "positive", level, f'Aggregated "{measure}" grouped by "{category}" across {rows} records.',
+        )
     ]
-    return facts.select(F.inline(F.array(*structs))).where("keep").drop("keep")
+    ratio = top / low if low > 0 else 0.0
+    less = f" — {to_fixed(ratio, 0)}x less than the top performer" if ratio > BOTTOM_RATIO else ""
+    out.append(Insight("bottom", f'"{facts["bottom_name"]}" has the lowest {what} at {large_number(low)} ({facts["bottom_count"]} records){less}.', "info", level))
+
+    held = _pct(facts["top3_total"], total)
+    if n >= CONCENTRATION_GROUPS and held > CONCENTRATION_SHARE:
+        out.append(
+            Insight(
+                "concentration",
+                f"High concentration: {facts['top3_names']} together hold {to_fixed(held, 0)}% of total {what} ({large_number(facts['top3_total'])} of {large_number(total)}). "
+                f"Remaining {n - 3} groups share the other {to_fixed(100 - held, 0)}%.",
+                "warning", level, f"Top 3 of {n} {groups} groups by sum.",
+            )
+        )
+    mean = total / n
+    if n >= SKEW_GROUPS and median is not None and top > mean * SKEW_FACTOR and median < mean:
+        out.append(
+            Insight(
+                "skew",
+                f"Distribution is heavily skewed — the median {groups} contributes {large_number(median)} vs. a mean of {large_number(mean)}, "
+                "indicating a few large players pull the average up significantly.",
+                "warning", level, f"Median vs mean comparison across {n} groups.",
+            )
+        )
+    return out
+
+
+def time_insights(series: Row, time: str, measure: str, rows: int) -> list[Insight]:
+    """Overall growth, momentum and peak of a measure over time."""
+    if series["periods"] < 2:
+        return []
+    what, level, n = column_label(measure).lower(), confidence(rows), series["periods"]
+    first, last, prev, peak_total = (series[k] for k in ("first_total", "last_total", "prev_total", "peak_total"))
+    out = []
+    overall = _change(last, first)
+    if overall is not None:
+        out.append(
+            Insight(
+                "growth",
+                f"Overall, {what} {'grew' if overall >= 0 else 'declined'} by {to_fixed(abs(overall), 0)}% from {series['first_period']} ({large_number(first)}) "
+                f"to {series['last_period']} ({large_number(last)}) over {n} periods.",
+                _tone(overall), "high" if n >= LONG_SERIES else "medium", f"First vs last period comparison across {n} distinct {column_label(time).lower()} values.",
+            )
+        )
+    recent = _change(last, prev)
+    if recent is not None:
+        out.append(
+            Insight(
+                "momentum",
+                f"Most recent period ({series['last_period']}): {large_number(last)} — a {signed_percent(recent, 1)} change from the prior period "
+                f"({series['prev_period']}: {large_number(prev)}).",
+                _tone(recent), level,
+            )
+        )
+    if series["peak_period"] not in (series["first_period"], series["last_period"]):
+        below = last < peak_total
+        now = f"current level is {to_fixed((1 - last / peak_total) * 100, 0)}% below peak" if below else "currently at or above peak"
+        out.append(Insight("peak", f"Peak {what} occurred in {series['peak_period']} at {large_number(peak_total)} — {now}.", "warning" if below else "positive", level))
+    return out
+
+
+def extreme_insights(profile: Profile) -> list[Insight]:
+    """For the first two numeric columns: a maximum far above the mean."""
+    out = []
+    for c in profile.numeric[:2]:
+        low, high, mean, median = (c.stats.get(k) or 0.0 for k in ("min", "max", "mean", "median"))
+        if high and mean > 0 and high > mean * EXTREME_FACTOR:
+            stats = f"min={large_number(low)}, max={large_number(high)}, mean={large_number(mean)}, median={large_number(median)}"
+            out.append(
+                Insight(
+                    "extreme_range",
+                    f"{c.label} shows extreme range — max value ({large_number(high)}) is {to_fixed(high / mean, 0)}x the average ({large_number(mean)}). "
+                    f"Median is {large_number(median)}, suggesting right-skewed distribution.",
+                    "warning", "high" if profile.rows >= MEDIUM_ROWS else "medium", f"Descriptive stats from {profile.rows} values: {stats}.",
+                )
+            )
+    return out
 
 
-def wide_insights(facts: DataFrame, rows: int, groups: DataFrame | None = None, category: str | None = None, latest: str = "") -> DataFrame:
-    """Change, peak and lowest, CAGR, then the category rows, then the span."""
+def wide_insights(facts: Row, groups: Row | None = None, category: str | None = None) -> list[Insight]:
+    """Change, peak and lowest, CAGR, category rows, span."""
+    rows, n = facts["rows"], facts["periods"]
     level = confidence(rows, WIDE_HIGH_ROWS, WIDE_MEDIUM_ROWS)
-    change, cagr = F.col("change_pct"), F.col("cagr_pct")
-    steps = (F.col("periods") - 1).cast("string")
-    out = _rows(facts, [
-        {
-            "position": 0, "kind": "wide_growth", "when": change.isNotNull(), "type": F.when(change >= 0, "positive").otherwise("negative"), "confidence": level,
-            "text": F.concat(F.col("latest_period"), F.lit(" vs "), F.col("prev_period"), F.lit(": "), signed_percent(change, 1), F.lit(" change ("), _n("prev_total"), F.lit(" → "), _n("latest_total"), F.lit(").")),
-            "evidence": f"Sum of {rows} records across both periods.",
-        },
-        {
-            "position": 1, "kind": "wide_peak_low", "when": F.col("peak_period") != F.col("low_period"), "type": "info", "confidence": level,
-            "text": F.concat(F.lit("Peak period is "), F.col("peak_period"), F.lit(" with "), _n("peak_total"), F.lit(". Lowest is "), F.col("low_period"), F.lit(" at "), _n("low_total"), F.lit(".")),
-            "evidence": F.concat(F.lit("Compared aggregates across "), _count("periods"), F.lit(" periods.")),
-        },
-        {
-            "position": 2, "kind": "cagr", "when": cagr.isNotNull(), "type": F.when(cagr >= 0, "positive").otherwise("negative"),
-            "confidence": F.when(F.col("periods") >= LONG_SERIES, "high").otherwise("medium"),
-            "text": F.concat(F.lit("Compound annual growth rate (CAGR) across "), steps, F.lit(" periods: "), signed_percent(cagr, 1), F.lit(".")),
-            "evidence": F.concat(F.lit("Calculated from first period ("), _n("first_total"), F.lit(") to last ("), _n("latest_total"), F.lit(") over "), steps, F.lit(" periods.")),
-        },
-        {
-            "position": 6, "kind": "wide_span", "when": F.lit(True), "type": "info", "confidence": None,
-            "text": F.concat(F.lit("Dataset spans "), _count("periods"), F.lit(" periods from "), F.col("first_period"), F.lit(" to "), F.col("latest_period"), F.lit(f" across {rows} records.")),
-        },
-    ])
-    if groups is None or category is None:
-        return out
-    label, names = period_label(F.lit(latest)), column_label(category).lower()
-    level = F.when(F.col("groups") >= CONCENTRATION_GROUPS, "high").otherwise("medium")
-    top3 = share(F.col("top3_total"), F.col("total"))
-    return out.unionByName(_rows(groups, [
-        {
-            "position": 3, "kind": "wide_leader", "when": (F.col("groups") >= 2) & (F.col("total") > 0), "type": "positive", "confidence": level,
-            "text": F.concat(F.lit('"'), F.col("top_name"), F.lit('" leads in '), label, F.lit(" with "), _n("top_total"), F.lit(" ("), fixed(share(F.col("top_total"), F.col("total")), 0), F.lit("% share).")),
-            "evidence": F.concat(F.lit("Ranked "), _count("groups"), F.lit(f" {names} groups by "), label, F.lit(" values.")),
-        },
-        {
-            "position": 4, "kind": "wide_bottom", "when": F.col("groups") >= 2, "type": "info", "confidence": level,
-            "text": F.concat(F.lit('"'), F.col("bottom_name"), F.lit('" has the lowest '), label, F.lit(" value at "), _n("bottom_total"), F.lit(".")),
-        },
-        {
-            "position": 5, "kind": "wide_concentration", "when": (F.col("groups") >= CONCENTRATION_GROUPS) & (top3 > CONCENTRATION_SHARE), "type": "warning", "confidence": "high",
-            "text": F.concat(F.lit(f"Top 3 {names} account for "), fixed(top3, 0), F.lit("% of "), label, F.lit(" total — high concentration.")),
-            "evidence": F.concat(F.lit("Top 3 sum "), _n("top3_total"), F.lit(" out of total "), _n("total"), F.lit(".")),
-        },
-    ]))
-
-
-# --- summaries ----------------------------------------------------------------
-
-def _grew(pct: Column) -> Column:
-    return F.when(pct >= 0, "grew").otherwise("declined")
-
-
-def standard_summary(spark, profile: Profile, time_span: DataFrame | None, groups: DataFrame | None, series: DataFrame | None) -> DataFrame:
-    """One row (summary) of text for a standard table.
-
-    `time_span` and `series` are series facts (of all filled periods, and of the
-    main measure); `groups` are group facts of the main measure.
+    latest, change, cagr = facts["latest_period"], facts["change_pct"], facts["cagr_pct"]
+    out = []
+    if change is not None:
+        moved = f"{large_number(facts['prev_total'])} → {large_number(facts['latest_total'])}"
+        out.append(Insight("wide_growth", f"{latest} vs {facts['prev_period']}: {signed_percent(change, 1)} change ({moved}).", _tone(change), level, f"Sum of {rows} records across both periods."))
+    if facts["peak_period"] != facts["low_period"]:
+        text = f"Peak period is {facts['peak_period']} with {large_number(facts['peak_total'])}. Lowest is {facts['low_period']} at {large_number(facts['low_total'])}."
+        out.append(Insight("wide_peak_low", text, "info", level, f"Compared aggregates across {n} periods."))
+    if cagr is not None:
+        ends = f"first period ({large_number(facts['first_total'])}) to last ({large_number(facts['latest_total'])})"
+        out.append(
+            Insight(
+                "cagr", f"Compound annual growth rate (CAGR) across {n - 1} periods: {signed_percent(cagr, 1)}.", _tone(cagr),
+                "high" if n >= LONG_SERIES else "medium", f"Calculated from {ends} over {n - 1} periods.",
+            )
+        )
+    if groups is not None and category is not None and groups["groups"] >= 2:
+        names, k, total = column_label(category).lower(), groups["groups"], groups["total"]
+        level = "high" if k >= CONCENTRATION_GROUPS else "medium"
+        if total > 0:
+            text = f'"{groups["top_name"]}" leads in {latest} with {large_number(groups["top_total"])} ({to_fixed(_pct(groups["top_total"], total), 0)}% share).'
+            out.append(Insight("wide_leader", text, "positive", level, f"Ranked {k} {names} groups by {latest} values."))
+        out.append(Insight("wide_bottom", f'"{groups["bottom_name"]}" has the lowest {latest} value at {large_number(groups["bottom_total"])}.', "info", level))
+        held = _pct(groups["top3_total"], total)
+        if k >= CONCENTRATION_GROUPS and held > CONCENTRATION_SHARE:
+            text = f"Top 3 {names} account for {to_fixed(held, 0)}% of {latest} total — high concentration."
+            out.append(Insight("wide_concentration", text, "warning", "high", f"Top 3 sum {large_number(groups['top3_total'])} out of total {large_number(total)}."))
+    out.append(Insight("wide_span", f"Dataset spans {n} periods from {facts['first_period']} to {latest} across {rows} records.", "info"))
+    return out
+
+
+# --- wording: KPIs ------------------------------------------------------------
+
+def _kpi_table(spark, rows: list[tuple]) -> DataFrame:
+    """KPI rows from (label, number, text); without a text the number's short form is shown."""
+    data = [(i, label, text if text is not None else large_number(number), float(number)) for i, (label, number, text) in enumerate(rows[:KPIS])]
+    return spark.createDataFrame(data, KPI_SCHEMA)
+
+
+def standard_kpis(spark, profile: Profile) -> DataFrame:
+    rows: list[tuple] = [("Total Records", profile.rows, f"{profile.rows:,}")]
+    main = profile.main_measures()[:KPI_MEASURES]
+    rows += [(f"Total {c.label}", c.sum, None) for c in main]
+    if main:
+        rows.append((f"Avg {main[0].label}", main[0].stats["mean"], None))
+    if profile.categorical:
+        first = profile.categorical[0]
+        rows.append((f"{first.label} Groups", first.unique_count, f"{first.unique_count:,}"))
+    if main and len(rows) < KPIS and main[0].stats["max"] and main[0].stats["max"] != main[0].sum:
+        rows.append((f"Highest {main[0].label}", main[0].stats["max"], None))
+    return _kpi_table(spark, rows)
+
+
+def wide_kpis(spark, facts: Row, category: str | None = None, distinct: int | None = None) -> DataFrame:
+    rows: list[tuple] = [
+        (f"Latest Period ({facts['latest_period']})", facts["latest_total"], None),
+        ("Grand Total", facts["grand_total"], None),
+        ("Period Average", facts["period_average"], None),
+    ]
+    if facts["change_pct"] is not None:
+        rows.append((f"Growth ({facts['prev_period']} → {facts['latest_period']})", facts["change_pct"], signed_percent(facts["change_pct"], 1)))
+    if category is not None and distinct is not None:
+        rows.append((f"Distinct {column_label(category)}", distinct, f"{distinct:,}"))
+    return _kpi_table(spark, rows)
+
+
+# --- wording: summaries -------------------------------------------------------
+
+def _grew(change: float) -> str:
+    return "grew" if change >= 0 else "declined"
+
+
+def standard_summary(profile: Profile, span: Row | None = None, groups: Row | None = None, series: Row | None = None) -> str:
+    """Scope, main measure, category leader, change over time.
+
+    `groups` and `series` are facts of the main measure; `span` is any series'
+    facts, for the count of periods and the first and last.
     """
     category = profile.categorical[0] if profile.categorical else None
     main = profile.main_measures()[0] if profile.main_measures() else None
-    texts: list[DataFrame] = []
-
-    scope = [F.lit(f"{category.unique_count} {category.label.lower()} groups")] if category else []
-    base = spark.range(1)
-    if time_span is not None:
-        when = profile.temporal[0].label.lower()
-        base = time_span
-        span = F.concat(_count("periods"), F.lit(f" {when} periods ("), F.col("first_period"), F.lit("–"), F.col("last_period"), F.lit(")"))
-        scope.append(F.when(F.col("periods") >= 2, span))
-    covered = F.concat_ws(" and ", *scope) if scope else F.lit("")
-    opening = F.concat(F.lit(f"This analysis covers {profile.rows:,} records"), F.when(covered != "", F.concat(F.lit(" spanning "), covered)).otherwise(""), F.lit("."))
-    texts.append(base.select(opening.alias("s0")))
-
-    if main:
-        what, s = main.label.lower(), main.stats
-        parts = [
-            F.lit(f"The total {what} across all records is "), _n(F.lit(s["sum"])), F.lit(", with individual values ranging from "), _n(F.lit(s["min"])), F.lit(" to "), _n(F.lit(s["max"])),
-            F.lit(" (average: "), _n(F.lit(s["mean"])), F.lit(", median: "), _n(F.lit(s["median"])), F.lit(")."),
-        ]
-        if s["mean"] and s["median"] and s["mean"] > s["median"] * SUMMARY_SKEW:
-            parts.append(F.lit(
-                " The average is significantly higher than the median, indicating a right-skewed distribution where a small number of "
-                "high-value entries pull the overall figures upward."
-            ))
-        texts.append(spark.range(1).select(F.concat(*parts).alias("s1")))
-        if groups is not None and category is not None and len(category.top) >= 2:
-            pct = share(F.col("top_total"), F.col("total"))
-            line = F.concat(
-                F.lit(f'Among {category.unique_count} {category.label.lower()} groups, "'), F.col("top_name"), F.lit('" leads with '), _n("top_total"),
-                F.lit(f" in total {what} ("), fixed(pct, 0), F.lit("% market share)."),
-            )
-            texts.append(groups.select(F.when(F.col("groups") >= 2, line).alias("s2")))
-        if series is not None:
-            pct = growth(F.col("last_total"), F.col("first_total"))
-            line = F.concat(
-                F.lit("From "), F.col("first_period"), F.lit(" to "), F.col("last_period"), F.lit(f", total {what} "), _grew(pct), F.lit(" by "), fixed(F.abs(pct), 0),
-                F.lit("% ("), _n("first_total"), F.lit(" → "), _n("last_total"), F.lit(")."),
+    scope = []
+    if category:
+        scope.append(f"{category.unique_count} {category.label.lower()} groups")
+    if span is not None and span["periods"] >= 2:
+        scope.append(f"{span['periods']} {profile.temporal[0].label.lower()} periods ({span['first_period']}–{span['last_period']})")
+    parts = [f"This analysis covers {profile.rows:,} records" + (f" spanning {' and '.join(scope)}" if scope else "") + "."]
+    if main is None:
+        return parts[0]
+
+    what, s = main.label.lower(), main.stats
+    parts.append(
+        f"The total {what} across all records is {large_number(s['sum'])}, with individual values ranging from {large_number(s['min'])} to {large_number(s['max'])} "
+        f"(average: {large_number(s['mean'])}, median: {large_number(s['median'])})."
+    )
+    if s["mean"] and s["median"] and s["mean"] > s["median"] * SUMMARY_SKEW:
+        parts.append(
+            "The average is significantly higher than the median, indicating a right-skewed distribution where a small number of "
+            "high-value entries pull the overall figures upward."
+        )
+    if category and groups is not None and len(category.top) >= 2 and groups["groups"] >= 2:
+        held = to_fixed(_pct(groups["top_total"], groups["total"]), 0)
+        parts.append(
+            f'Among {category.unique_count} {category.label.lower()} groups, "{groups["top_name"]}" leads with {large_number(groups["top_total"])} in total {what} '
+            f"({held}% market share)."
+        )
+    if series is not None and series["periods"] >= 2:
+        change = _change(series["last_total"], series["first_total"])
+        if change is not None:
+            parts.append(
+                f"From {series['first_period']} to {series['last_period']}, total {what} {_grew(change)} by {to_fixed(abs(change), 0)}% "
+                f"({large_number(series['first_total'])} → {large_number(series['last_total'])})."
             )
-            texts.append(series.select(F.when(F.col("periods") >= 2, line).alias("s3")))
-    row = one_row(*texts)
-    return row.select(F.concat_ws(" ", *[F.col(c) for c in sorted(row.columns)]).alias("summary"))
+    return " ".join(parts)
 
 
-def wide_summary(facts: DataFrame, groups: DataFrame | None = None, category: str | None = None) -> DataFrame:
-    """One row (summary) of text for a wide table."""
-    against = (F.col("latest_total") / F.col("period_average") - 1) * 100
+def wide_summary(facts: Row, groups: Row | None = None, category: str | None = None) -> str:
+    """Scope, totals, growth, last change, category leader of a wide table."""
+    first, latest, average = facts["first_period"], facts["latest_period"], facts["period_average"]
+    against = f" ({signed_percent((facts['latest_total'] / average - 1) * 100, 0)} vs. period average)" if average > 0 else ""
     parts = [
-        F.concat(F.lit("This analysis covers "), _count("rows"), F.lit(" records over "), _count("periods"), F.lit(" periods ("), F.col("first_period"), F.lit(" to "), F.col("latest_period"), F.lit(").")),
-        F.concat(
-            F.lit("The aggregate total across all periods is "), _n("grand_total"), F.lit(", averaging "), _n("period_average"), F.lit(" per period. The latest period ("), F.col("latest_period"),
-            F.lit(") totals "), _n("latest_total"),
-            F.when(F.col("period_average") > 0, F.concat(F.lit(" ("), signed_percent(against, 0), F.lit(" vs. period average)"))).otherwise(""), F.lit("."),
-        ),
-        F.concat(
-            F.lit("From "), F.col("first_period"), F.lit(" to "), F.col("latest_period"), F.lit(", values "), _grew(F.col("growth_pct")), F.lit(" by "), fixed(F.abs("growth_pct"), 0),
-            F.lit("% ("), _n("first_total"), F.lit(" → "), _n("latest_total"), F.lit(")."),
-        ),
-        F.concat(F.lit("The most recent period-over-period change is "), signed_percent(F.col("change_pct"), 1), F.lit(".")),
+        f"This analysis covers {facts['rows']} records over {facts['periods']} periods ({first} to {latest}).",
+        f"The aggregate total across all periods is {large_number(facts['grand_total'])}, averaging {large_number(average)} per period. "
+        f"The latest period ({latest}) totals {large_number(facts['latest_total'])}{against}.",
     ]
-    texts = [facts.select(F.concat_ws(" ", *parts).alias("s0"))]
-    if groups is not None and category is not None:
-        line = F.concat(
-            F.lit("Among "), _count("groups"), F.lit(f' {column_label(category).lower()} groups, "'), F.col("top_name"), F.lit('" leads the latest period with '),
-            _n("top_total"), F.lit(" ("), fixed(share(F.col("top_total"), F.col("total")), 0), F.lit("% share)."),
+    if facts["growth_pct"] is not None:
+        moved = f"{large_number(facts['first_total'])} → {large_number(facts['latest_total'])}"
+        parts.append(f"From {first} to {latest}, values {_grew(facts['growth_pct'])} by {to_fixed(abs(facts['growth_pct']), 0)}% ({moved}).")
+    if facts["change_pct"] is not None:
+        parts.append(f"The most recent period-over-period change is {signed_percent(facts['change_pct'], 1)}.")
+    if groups is not None and category is not None and groups["groups"] >= 2:
+        held = to_fixed(_pct(groups["top_total"], groups["total"]), 0)
+        parts.append(
+            f'Among {groups["groups"]} {column_label(category).lower()} groups, "{groups["top_name"]}" leads the latest period with {large_number(groups["top_total"])} ({held}% share).'
         )
-        texts.append(groups.select(F.when(F.col("groups") >= 2, line).alias("s1")))
-    row = one_row(*texts)
-    return row.select(F.concat_ws(" ", *[F.col(c) for c in sorted(row.columns)]).alias("summary"))
+    return " ".join(parts)

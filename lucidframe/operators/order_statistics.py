@@ -4,12 +4,13 @@ An exact quantile normally means sorting a column or holding all its values in
 one task. Here every requested position of every column is answered by the same
 few scans:
 
-1. one aggregate counts the values and brackets each position with approximate
-   quantiles (bounded memory per task);
+1. the values are counted; columns small enough (`collect_limit` values in all) are
+   answered by one `percentile_disc`, others get each position bracketed by
+   approximate quantiles (bounded memory per task);
 2. one aggregate counts how many values lie below, on and between the bracket
    ends, which fixes the position exactly or leaves a much smaller open range;
-3. ranges of at most `collect_limit` rows are resolved by `percentile_disc`
-   inside the range; wider ones are bracketed again.
+3. ranges that are small enough by now are resolved by `percentile_disc`; wider
+   ones are bracketed again.
 
 Only counts and bracket ends (a few numbers per request) reach the driver.
 """
@@ -35,7 +36,7 @@ def upper_quartile(n: int) -> int:
     return 3 * n // 4
 
 
-COLLECT_LIMIT = 1_000_000
+COLLECT_LIMIT = 4_000_000
 ACCURACY = 10_000
 
 
@@ -65,11 +66,13 @@ def order_statistics(
     positions: dict[str, Callable[[int], int]],
     collect_limit: int = COLLECT_LIMIT,
     accuracy: int = ACCURACY,
+    counts: dict[str, int] | None = None,
 ) -> dict[str, dict[str, float | int | None]]:
     """For each named numeric column: its count `n`, and the value at each named position.
 
     Nulls and NaN are left out. Reads `df` a few times, so hand in a table or a
-    persisted frame rather than a long chain.
+    persisted frame rather than a long chain. Counts of the values, where known,
+    save the first pass.
     """
     if not columns:
         return {}
@@ -81,12 +84,14 @@ def order_statistics(
     names = list(columns)
     frame = df.select(*[values[name].alias(f"v{i}") for i, name in enumerate(names)])
     cols = {name: F.col(f"v{i}") for i, name in enumerate(names)}
-    counts = frame.agg(*[F.count(cols[name]).alias(f"n{i}") for i, name in enumerate(names)]).first()
+    if counts is None:
+        row = frame.agg(*[F.count(cols[name]).alias(f"n{i}") for i, name in enumerate(names)]).first()
+        counts = {name: row[f"n{i}"] for i, name in enumerate(names)}
 
     out: dict[str, dict[str, float | int | None]] = {}
     searches: dict[tuple[str, str], _Search] = {}
-    for i, name in enumerate(names):
-        n = counts[f"n{i}"]
+    for name in names:
+        n = counts[name]
         out[name] = {"n": n, **{p: None for p in positions}}
         for p, position in positions.items():
             if n:
@@ -96,10 +101,12 @@ def order_statistics(
         open_searches = [s for s in searches.values() if s.answer is None]
         if not open_searches:
             break
-        small = [s for s in open_searches if s.size <= collect_limit]
+        # The limit is for all searches together: they share one final task.
+        limit = max(1, collect_limit // len(open_searches))
+        small = [s for s in open_searches if s.size <= limit]
         if small:
             _resolve(frame, small)
-        large = [s for s in open_searches if s.size > collect_limit]
+        large = [s for s in open_searches if s.size > limit]
         if large:
             _narrow(frame, large, accuracy)
 
@@ -135,16 +142,16 @@ def _narrow(frame: DataFrame, searches: list[_Search], accuracy: int) -> None:
     ).first()
     brackets = [row[f"b{i}"] for i in range(len(searches))]
 
-    counts = []
+    parts_of = []
     for i, (s, (lo, hi)) in enumerate(zip(searches, brackets)):
         c, inside = s.column, s.inside()
-        counts += [
+        parts_of += [
             F.count_if(inside & (c < lo)).alias(f"below{i}"),
             F.count_if(inside & (c == lo)).alias(f"on_lo{i}"),
             F.count_if(inside & (c > lo) & (c < hi)).alias(f"between{i}"),
             F.count_if(inside & (c == hi) & (c > lo)).alias(f"on_hi{i}"),
         ]
-    row = frame.agg(*counts).first()
+    row = frame.agg(*parts_of).first()
 
     for i, (s, (lo, hi)) in enumerate(zip(searches, brackets)):
         # Walk over the five parts of the range; whichever holds the position decides.

@@ -104,6 +104,13 @@ def _one_row_per_column(row: DataFrame, columns: list[str], fields) -> DataFrame
     return row.select(F.inline(F.array(*structs)))
 
 
+def _number_stats(df: DataFrame, name: str, number: Column) -> tuple[Column, Column, Column]:
+    """Least, greatest and sum of the cells that are numbers, as doubles. Decimals are added exactly."""
+    if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+        number = F.when(~F.isnan(number), number)
+    return F.min(number).cast("double"), F.max(number).cast("double"), F.sum(number).cast("double")
+
+
 def column_facts(df: DataFrame, columns: list[str] | None = None, approximate: bool = False) -> DataFrame:
     """Everything the type rules look at, one row per column."""
     columns = columns or df.columns
@@ -117,16 +124,18 @@ def column_facts(df: DataFrame, columns: list[str] | None = None, approximate: b
         off_years = F.count_if((number < low) | (number > high))
         if isinstance(dtype, (T.NumericType, T.BooleanType)):
             cells += [col_of(c).alias(f"t{i}"), numeric_of(df, c).alias(f"v{i}")]
-            measured = F.count(number), zero, zero, off_years
+            measured = (F.count(number), zero, zero, off_years, *_number_stats(df, c, number))
         elif isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
             cells.append(col_of(c).alias(f"t{i}"))
-            measured = zero, F.count(cell), zero, zero
+            measured = (zero, F.count(cell), zero, zero, *[F.lit(None).cast("double")] * 3)
         else:
             filled = F.when(~missing_of(df, c), as_text(df, c))
             cells += [filled.alias(f"t{i}"), js_number(filled).alias(f"v{i}")]
-            measured = F.count(number), F.count_if(cell.rlike(DATE_START)), F.coalesce(F.sum(F.length(cell)), zero), off_years
+            dated = F.count_if(cell.rlike(DATE_START))
+            length = F.coalesce(F.sum(F.length(cell)), zero)
+            measured = (F.count(number), dated, length, off_years, *_number_stats(df, c, number))
         aggregates.append(F.count(cell).alias(f"f{i}"))
-        aggregates += [m.alias(f"{k}{i}") for k, m in zip("ndly", measured)]
+        aggregates += [m.alias(f"{k}{i}") for k, m in zip(("n", "d", "l", "y", "lo", "hi", "s"), measured)]
     cells = df.select(*cells)
     index = {c: i for i, c in enumerate(columns)}
     facts = _one_row_per_column(
@@ -140,6 +149,9 @@ def column_facts(df: DataFrame, columns: list[str] | None = None, approximate: b
             "dated": F.col(f"d{index[c]}"),
             "text_length": F.col(f"l{index[c]}"),
             "off_years": F.col(f"y{index[c]}"),
+            "min": F.col(f"lo{index[c]}"),
+            "max": F.col(f"hi{index[c]}"),
+            "sum": F.col(f"s{index[c]}"),
         },
     )
     unique = distinct_counts(df, columns, approximate)
@@ -185,34 +197,25 @@ def detect_column_types(df: DataFrame, columns: list[str] | None = None, approxi
 
 def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, count, min, max, sum, mean, median) of the cells that are numbers. The median is the upper one."""
-    if not columns:
-        return df.sparkSession.createDataFrame([], NUMERIC_SCHEMA)
     medians = order_statistics(df, {c: numeric_of(df, c) for c in columns}, {"median": upper_median})
+    index = {c: i for i, c in enumerate(columns)}
     aggregates = []
     for i, c in enumerate(columns):
-        v = numeric_of(df, c)
-        if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType, T.StringType)):
-            v = F.when(~F.isnan(v), v)
-        aggregates += [
-            F.count(v).alias(f"n{i}"), F.min(v).cast("double").alias(f"lo{i}"),
-            F.max(v).cast("double").alias(f"hi{i}"), F.sum(v).cast("double").alias(f"s{i}"),
-        ]
-    index = {c: i for i, c in enumerate(columns)}
-    return _one_row_per_column(
-        df.agg(*aggregates),
-        columns,
-        lambda c: {
-            "count": F.col(f"n{index[c]}"),
-            "min": F.col(f"lo{index[c]}"),
-            "max": F.col(f"hi{index[c]}"),
-            "sum": F.col(f"s{index[c]}"),
-            "mean": F.try_divide(F.col(f"s{index[c]}"), F.col(f"n{index[c]}")),
+        least, greatest, added = _number_stats(df, c, numeric_of(df, c))
+        aggregates += [least.alias(f"lo{i}"), greatest.alias(f"hi{i}"), added.alias(f"s{i}")]
+
+    def fields(c: str) -> dict[str, Column]:
+        i, n = index[c], medians[c]["n"]
+        return {
+            "count": F.lit(n).cast("bigint"),
+            "min": F.col(f"lo{i}"),
+            "max": F.col(f"hi{i}"),
+            "sum": F.col(f"s{i}"),
+            "mean": F.try_divide(F.col(f"s{i}"), F.lit(n)),
             "median": F.lit(medians[c]["median"]).cast("double"),
-        },
-    )
+        }
 
-
-NUMERIC_SCHEMA = "column string, count bigint, min double, max double, sum double, mean double, median double"
+    return _one_row_per_column(df.agg(*aggregates), columns, fields)
 
 
 def top_values(df: DataFrame, columns: list[str] | None = None, k: int = TOP_VALUES) -> DataFrame:
@@ -287,8 +290,12 @@ def profile(df: DataFrame, columns: list[str] | None = None, approximate: bool =
     rows = typed[0]["rows"] if typed else 0
     out = [ColumnProfile(r["column"], r["type"], r["unique_count"], rows - r["filled"]) for r in typed]
     by_name = {c.name: c for c in out}
-    for r in numeric_profile(df, [c.name for c in out if c.type == "numeric"]).collect():
-        by_name[r["column"]].stats = {k: r[k] for k in ("min", "max", "sum", "mean", "median")}
+    numbers = {r["column"]: r for r in typed if r["type"] == "numeric" and r["numeric"]}
+    medians = order_statistics(
+        df, {c: numeric_of(df, c) for c in numbers}, {"median": upper_median}, counts={c: r["numeric"] for c, r in numbers.items()}
+    )
+    for c, r in numbers.items():
+        by_name[c].stats = {"min": r["min"], "max": r["max"], "sum": r["sum"], "mean": r["sum"] / r["numeric"], "median": medians[c]["median"]}
     categories = [c.name for c in out if c.type == "categorical"]
     if categories:
         for r in top_values(df, categories).orderBy("column", "rank").collect():

@@ -1,0 +1,27 @@
+"""Joining a large table to a table of its groups when some groups are very large."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A group is hot above this many rows, and above this part of all rows; the
+# second bound means there can never be more than HOT_PARTS hot groups.
+HOT_ROWS = 100_000
+HOT_PARTS = 1_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Inner join of rows with one row per group; `size` is the group's row count.
+
+    Hot groups (at most a thousand) are broadcast, so their rows stay where they
+    are; the rows of all other groups are shuffled by key without them.
+    """
+    total = groups.agg(F.sum(size).alias("n")).first()["n"] or 0
+    limit = max(hot_rows, -(-total // HOT_PARTS))
+    hot = groups.where(F.col(size) > limit)
+    keys = [r[key] for r in hot.select(key).collect()]
+    if not keys:
+        return rows.join(groups, key)
+    is_hot = F.col(key).isin(keys)
+    return rows.where(is_hot).join(F.broadcast(hot), key).unionByName(rows.where(~is_hot).join(groups.where(F.col(size) <= limit), key))

@@ -1,15 +1,16 @@
 """Analysis of any table: profile, KPIs, charts, insights, summary, filters.
 
-The profile (one small record per column) reaches the driver and decides which
-aggregates to plan. The data does not: results are DataFrames, and the grouped
-tables behind the insights are persisted once and shared.
+The profile (one small record per column) and one-row facts reach the driver and
+decide which aggregates to plan. The data does not: charts, profiles and filters
+are aggregates, and the grouped table behind the insights is persisted while two
+of them read it.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.labels import column_label, dataset_title
@@ -74,83 +75,66 @@ def _empty(df: DataFrame, title: str) -> Analysis:
 
 
 def _analyze_standard(df: DataFrame, title: str, order_by: list[str] | None, approximate: bool) -> Analysis:
+    spark = df.sparkSession
     columns = [c for c in df.columns if not c.startswith("_")]
     profile = prof.profile(df, columns, approximate)
-    held: list[DataFrame] = []
-
-    def hold(frame: DataFrame) -> DataFrame:
-        held.append(frame.persist())
-        return held[-1]
-
     numbers, categories, times = profile.numeric, profile.categorical, profile.temporal
+    first = numbers[0].name if numbers else None
     main = profile.main_measures()[0].name if profile.main_measures() else None
-    parts = []
-    group_of: dict[str, DataFrame] = {}
-    series_of: dict[str, DataFrame] = {}
-    # The first and the main measure often coincide; each is grouped once.
-    for measure in dict.fromkeys([numbers[0].name if numbers else None, main]):
-        if measure and categories:
-            group_of[measure] = hold(fx.category_groups(df, categories[0].name, measure))
-        if measure and times:
-            series_of[measure] = hold(fx.time_groups(df, times[0].name, measure))
-    if numbers:
-        first = numbers[0].name
+    held: list[DataFrame] = []
+
+    # Facts of the first measure feed the insights, those of the main one the summary; often they coincide.
+    group_facts: dict[str, Row] = {}
+    series_facts: dict[str, Row] = {}
+    median = None
+    for measure in dict.fromkeys(m for m in (first, main) if m):
         if categories:
-            groups = group_of[first]
-            parts.append(ins.category_insights(fx.group_facts(groups), fx.group_median(groups), categories[0].name, first, profile.rows))
+            groups = fx.category_groups(df, categories[0].name, measure).persist()
+            held.append(groups)
+            group_facts[measure] = fx.group_facts(groups).first()
+            if measure == first and group_facts[measure]["groups"] >= ins.SKEW_GROUPS:
+                median = fx.group_median(groups, group_facts[measure]["groups"])
         if times:
-            parts.append(ins.time_insights(fx.series_facts(series_of[first]), times[0].name, first, profile.rows))
-        names = [c.name for c in numbers]
-        table = df.sparkSession.createDataFrame([(c.name, *[c.stats[k] for k in ("min", "max", "mean", "median")]) for c in numbers], "column string, min double, max double, mean double, median double")
-        parts.append(ins.extreme_insights(table, names, profile.rows))
-    insights = _first_rows(df, parts, ins.INSIGHTS)
-
-    span = None
-    if times:
-        any_series = next(iter(series_of.values()), None)
-        span = fx.series_facts(any_series if any_series is not None else fx.time_groups(df.withColumn("_one", F.lit(1)), times[0].name, "_one"))
-    summary = ins.standard_summary(
-        df.sparkSession, profile, span,
-        fx.group_facts(group_of[main]) if main in group_of else None,
-        fx.series_facts(series_of[main]) if main in series_of else None,
-    )
+            series_facts[measure] = fx.series_facts(fx.time_groups(df, times[0].name, measure)).first()
+
+    found: list[ins.Insight] = []
+    if first and categories:
+        found += ins.category_insights(group_facts[first], median, categories[0].name, first, profile.rows)
+    if first and times:
+        found += ins.time_insights(series_facts[first], times[0].name, first, profile.rows)
+    found += ins.extreme_insights(profile)
+
+    span = next(iter(series_facts.values()), None)
+    if times and span is None:
+        span = fx.series_facts(fx.time_groups(df.withColumn("_one", F.lit(1)), times[0].name, "_one")).first()
+    summary = ins.standard_summary(profile, span, group_facts.get(main), series_facts.get(main))
     return Analysis(
-        title, profile.rows, len(columns), False, profile, ins.standard_kpis(df, profile), ch.recommend_charts(df, profile, order_by), insights, summary,
-        filters_of(df, profile.categorical), prof.context_text(title, df.columns, profile), df, held,
+        title, profile.rows, len(columns), False, profile, ins.standard_kpis(spark, profile), ch.recommend_charts(df, profile, order_by),
+        ins.insight_table(spark, found), spark.createDataFrame([(summary,)], "summary string"), filters_of(df, profile.categorical),
+        prof.context_text(title, df.columns, profile), df, held,
     )
 
 
 def _analyze_wide(df: DataFrame, title: str, approximate: bool) -> Analysis:
+    spark = df.sparkSession
     periods = rs.period_columns(df.columns)
     categories = rs.category_columns(df)
-    long = rs.unpivot_periods(df, categories, periods)
-    profile = prof.profile(long, ["period", "value", *categories], approximate)
+    profile = prof.profile(rs.unpivot_periods(df, categories, periods), ["period", "value", *categories], approximate)
     raw = prof.profile(df, categories, approximate) if categories else prof.Profile(profile.rows, [])
-    facts = ins.wide_facts(rs.period_sums(df, periods), periods).persist()
-    rows = facts.first()["rows"]
-    groups = fx.group_facts(rs.category_totals(df, categories[0], periods[-1])).persist() if categories else None
+    facts = ins.wide_facts(rs.period_sums(df, periods), periods).first()
     category = categories[0] if categories else None
-    distinct = profile.categorical[0] if profile.categorical else None
+    groups = fx.group_facts(rs.category_totals(df, category, periods[-1])).first() if category else None
+    shown = profile.categorical[0] if profile.categorical else None
     return Analysis(
-        title, rows, len(df.columns), True, profile,
-        ins.wide_kpis(facts, distinct.name if distinct else None, distinct.unique_count if distinct else None),
+        title, facts["rows"], len(df.columns), True, profile,
+        ins.wide_kpis(spark, facts, shown.name if shown else None, shown.unique_count if shown else None),
         ch.recommend_wide_charts(df, periods, categories),
-        _first_rows(df, [ins.wide_insights(facts, rows, groups, category, periods[-1])], ins.WIDE_INSIGHTS),
-        ins.wide_summary(facts, groups, category),
-        filters_of(df, raw.categorical),
-        prof.context_text(title, df.columns, profile), df, [f for f in (facts, groups) if f is not None],
+        ins.insight_table(spark, ins.wide_insights(facts, groups, category), ins.WIDE_INSIGHTS),
+        spark.createDataFrame([(ins.wide_summary(facts, groups, category),)], "summary string"),
+        filters_of(df, raw.categorical), prof.context_text(title, df.columns, profile), df,
     )
 
 
-def _first_rows(df: DataFrame, parts: list[DataFrame], k: int) -> DataFrame:
-    if not parts:
-        return df.sparkSession.createDataFrame([], ins.INSIGHT_SCHEMA)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.orderBy("position").limit(k)
-
-
 def filters_of(df: DataFrame, categories: list[prof.ColumnProfile]) -> DataFrame:
     """Filter options from profiles that are already there."""
     rows, shown = [], 0
