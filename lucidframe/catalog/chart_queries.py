@@ -264,7 +264,7 @@ UNION ALL SELECT 2, 'High concentration: ' || names || ' together hold ' || {q.f
 def insights_standard(spark, sf_dir):
     """The whole standard analysis; the wording of its category insights is compared."""
     found = analyze(events(spark, sf_dir), "event_facts", ["event_id"]).insights
-    return found.where("position <= 3").select("position", "text", "type")
+    return found.where(F.col("kind").isin("leader", "bottom", "concentration")).select("position", "text", "type")
 
 
 @register("filtered_reanalysis", EVENT, "WITH f AS (SELECT * FROM event_facts WHERE event_type = 'purchase'), " + _kpis("f"))

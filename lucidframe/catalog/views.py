@@ -112,23 +112,17 @@ SELECT l_orderkey AS order_no, CAST(l_shipdate AS DATE) AS ship_date, l_returnfl
 FROM {lineitem}
 """
 
-# Delimited text, one document per customer in four styles; line 0 is the header,
-# and one line per order follows. A blank line and a title line come along.
-TEXT_LINES = """
-SELECT c_custkey AS doc_id, CAST(-1 AS BIGINT) AS line_no, ' Orders of ' || c_name || ' ' AS line FROM {customer}
-UNION ALL
-SELECT c_custkey AS doc_id, CAST(0 AS BIGINT) AS line_no,
-  CASE c_custkey % 4 WHEN 0 THEN 'order' || chr(9) || 'status' || chr(9) || 'price' WHEN 1 THEN 'order,status,price'
-    WHEN 2 THEN 'order|status|price' ELSE 'order   status   price' END AS line
-FROM {customer}
-UNION ALL
-SELECT c_custkey AS doc_id, CAST(1 AS BIGINT) AS line_no, '   ' AS line FROM {customer}
-UNION ALL
-SELECT o_custkey AS doc_id, 2 + o_orderkey AS line_no,
-  CAST(o_orderkey AS STRING) || d || o_orderstatus || d ||
-    CASE WHEN o_custkey % 4 = 1 THEN CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS STRING)
-         ELSE CAST(CAST(floor(o_totalprice / 1000) AS BIGINT) AS STRING) || ',' || lpad(CAST(CAST(floor(o_totalprice) AS BIGINT) % 1000 AS STRING), 3, '0') END AS line
-FROM (SELECT *, CASE o_custkey % 4 WHEN 0 THEN chr(9) WHEN 1 THEN ',' WHEN 2 THEN '|' ELSE '   ' END AS d FROM {orders}) o
+# Short documents with a small table, one per order, in six styles; the last is plain prose.
+ORDER_MEMOS = """
+SELECT doc_id, 'Memo of order ' || CAST(doc_id AS STRING) || chr(10) || '   ' || chr(10) ||
+  CASE WHEN d IS NULL THEN 'Nothing to report, all is well' || chr(10) || 'Status ' || o_orderstatus
+  ELSE 'field' || d || 'value' || d || d || 'note' || chr(10) || ' status' || d || o_orderstatus || d || ' ' || chr(10) || 'end of part' || chr(10) ||
+    'price' || d || price || d || o_orderpriority || chr(10) || 'customer' || d || CAST(o_custkey AS STRING) || chr(10) || chr(10) END AS text
+FROM (SELECT o_orderkey AS doc_id, o_orderstatus, o_orderpriority, o_custkey,
+    CASE o_orderkey % 6 WHEN 0 THEN chr(9) WHEN 1 THEN ',' WHEN 2 THEN '|' WHEN 3 THEN '    ' WHEN 4 THEN '  ' END AS d,
+    CASE WHEN o_orderkey % 6 = 1 THEN CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS STRING)
+      ELSE CAST(CAST(floor(o_totalprice / 1000) AS BIGINT) AS STRING) || ',' || lpad(CAST(CAST(floor(o_totalprice) AS BIGINT) % 1000 AS STRING), 3, '0') END AS price
+  FROM {orders}) o
 """
 
 # Raw cells, one sheet per order: a title, a merged header, a sub-header, one row per line.
@@ -172,7 +166,7 @@ VIEWS = {
     "dirty_customers": DIRTY_CUSTOMERS,
     "event_facts": EVENT_FACTS,
     "line_facts": LINE_FACTS,
-    "text_lines": TEXT_LINES,
+    "order_memos": ORDER_MEMOS,
     "cell_grid": CELL_GRID,
     "sparse_orders": SPARSE_ORDERS,
 }

@@ -18,7 +18,7 @@ HEADER_ROWS = 10
 HEADER_YEARS = (1900, 2099)
 TITLE_BONUS, BONUS_ROWS = 3, (1, 3)
 DATA_NUMBERS = 2
-LEAST_CELLS = 2
+LEAST_CELLS, LEAST_ROWS = 2, 3
 SUBHEADER_NUMERIC = 0.5
 GARBAGE_SHARE, GARBAGE_COLUMNS, GARBAGE_LENGTH = 0.4, 3, 2
 
@@ -75,6 +75,8 @@ def header_rows(cells: DataFrame) -> DataFrame:
         & ((after["numeric"] > sub["numeric"]) | (after["filled"] == 0))
     )
     scored = top.withColumns({"is_subheader": subheader, "score": F.when(usable, score)}).where(F.col("score") > 0)
+    long_enough = cells.groupBy("sheet_id").agg(F.max("row_idx").alias("_last")).where(F.col("_last") >= LEAST_ROWS - 1)
+    scored = scored.join(long_enough, "sheet_id", "left_semi")
     best = Window.partitionBy("sheet_id").orderBy(F.desc("score"), F.asc("row_idx"))
     first = scored.withColumn("_place", F.row_number().over(best)).where("_place = 1")
     return first.select(
@@ -107,12 +109,18 @@ def sheet_headers(cells: DataFrame, found: DataFrame | None = None) -> DataFrame
         .when(sub.isNotNull(), F.concat_ws(" ", "last", sub))
         .when(F.col("last").isNull(), F.concat(F.lit("Column "), (F.col("col_idx") + 1).cast("string"))),
     )
-    # Headers to the left that start with the last filled one. A number added to a
-    # repeated header does not change what it starts with.
-    columns = columns.withColumn("_left", F.collect_list(F.coalesce("base", F.concat(F.col("last"), F.lit(" ")))).over(so_far))
-    number = F.size(F.filter(F.col("_left"), lambda h: h.startswith(F.col("last"))))
-    header = F.coalesce(F.col("base"), F.concat_ws(" ", "last", number.cast("string")))
-    named = columns.select("sheet_id", "col_idx", header.alias("header"))
+    # A running number counts the headers up to here that start with the last filled
+    # one; adding a number to a header does not change what it starts with. One
+    # array per sheet holds its header row, which is as long as the sheet is wide.
+    start = F.coalesce("base", F.concat(F.col("last"), F.lit(" ")))
+    by_sheet = columns.groupBy("sheet_id").agg(F.sort_array(F.collect_list(F.struct("col_idx", "base", "last", start.alias("start")))).alias("row"))
+    starts = F.col("row")["start"]
+
+    def finish(h: Column, i: Column) -> Column:
+        number = F.size(F.filter(F.slice(starts, F.lit(1), i + 1), lambda s: s.startswith(h["last"])))
+        return F.struct(h["col_idx"].alias("col_idx"), F.coalesce(h["base"], F.concat_ws(" ", h["last"], number.cast("string"))).alias("header"))
+
+    named = by_sheet.select("sheet_id", F.inline(F.transform("row", finish)))
     repeat = F.row_number().over(Window.partitionBy("sheet_id", "header").orderBy("col_idx")) - 1
     return named.withColumn("name", F.when(repeat > 0, F.concat_ws("_", "header", repeat.cast("string"))).otherwise(F.col("header")))
 
@@ -134,16 +142,13 @@ def grid_cells(cells: DataFrame) -> DataFrame:
     Data rows start below the header and have two or more filled cells.
     """
     found = header_rows(cells)
-    headers = sheet_headers(cells, found)
+    # Everything known about a sheet, one row each; its names as a map as wide as its header.
+    names = sheet_headers(cells, found).groupBy("sheet_id").agg(F.map_from_entries(F.collect_list(F.struct("col_idx", "name"))).alias("names"))
     sizes = cells.groupBy("sheet_id").agg(F.count("*").alias("_cells"))
-    data = join_groups(cells, found.select("sheet_id", "data_from").join(sizes, "sheet_id"), "sheet_id", "_cells").where(F.col("row_idx") >= F.col("data_from"))
-    # The names of a sheet travel as one map: one row per sheet, as wide as its header.
-    names = headers.groupBy("sheet_id").agg(F.map_from_entries(F.collect_list(F.struct("col_idx", "name"))).alias("names"))
-    named = join_groups(data.select("sheet_id", "row_idx", "col_idx", "value"), names.join(sizes, "sheet_id"), "sheet_id", "_cells")
+    sheets = found.select("sheet_id", "data_from").join(names, "sheet_id").join(sizes, "sheet_id")
+    data = join_groups(cells, sheets, "sheet_id", "_cells").where(F.col("row_idx") >= F.col("data_from"))
+    named = data.withColumn("name", F.try_element_at("names", "col_idx")).where(F.col("name").isNotNull())
     kept = row_facts(cells).where(F.col("filled") >= LEAST_CELLS).select("sheet_id", "row_idx")
-    return (
-        named.withColumn("name", F.try_element_at("names", "col_idx"))
-        .where(F.col("name").isNotNull())
-        .join(kept, ["sheet_id", "row_idx"], "left_semi")
-        .select("sheet_id", "row_idx", "col_idx", "name", "value", js_number(F.col("value")).alias("number"))
+    return named.join(kept, ["sheet_id", "row_idx"], "left_semi").select(
+        "sheet_id", "row_idx", "col_idx", "name", "value", js_number(F.col("value")).alias("number")
     )

@@ -52,6 +52,14 @@ def _header_index(lines: Column, pattern: str, within: int | None, letter: bool)
     return F.array_position(F.transform(searched, fits), True)
 
 
+def _lines_with(lines: Column, pattern: str) -> Column:
+    return F.size(F.filter(lines, lambda line: line.rlike(pattern)))
+
+
+def _any_row(lines: Column, pattern: str) -> Column:
+    return F.exists(lines, lambda line: _is_row(line, pattern))
+
+
 def detect_tables(documents: DataFrame, text: str = "text") -> DataFrame:
     """Adds `lines` (array), and for documents with a table `separator`, `pattern` and `header_at` (1-based line)."""
     df = documents.withColumn("lines", text_lines(F.col(text)))
@@ -61,10 +69,8 @@ def detect_tables(documents: DataFrame, text: str = "text") -> DataFrame:
     choice = []
     for name, pattern, least_share, _, _, least_lines in SEPARATORS:
         at = F.col(f"_at_{name}")
-        holding = F.size(F.filter(lines, lambda line, p=pattern: line.rlike(p)))
         below = F.slice(lines, (at + 1).cast("int"), F.greatest(count, F.lit(1)))
-        has_row = F.exists(below, lambda line, p=pattern: _is_row(line, p))
-        fits = (count >= least_lines) & (at > 0) & (holding >= count * least_share) & has_row
+        fits = (count >= least_lines) & (at > 0) & (_lines_with(lines, pattern) >= count * least_share) & _any_row(below, pattern)
         choice.append(F.when(fits, F.struct(F.lit(name).alias("separator"), F.lit(pattern).alias("pattern"), at.alias("header_at"))))
     return (
         df.withColumn("_table", F.coalesce(*choice))
