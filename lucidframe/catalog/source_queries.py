@@ -125,7 +125,7 @@ NAMED_SQL = HEADERS_SQL + """, named AS (SELECT *, CASE WHEN row_number() OVER (
 
 @register("header_dedup", GRID, f"WITH {NAMED_SQL} SELECT * FROM named")
 def header_dedup(spark, sf_dir):
-    return grids.sheet_headers(view(spark, sf_dir, "cell_grid"))
+    return grids.sheet_headers(view(spark, sf_dir, "cell_grid")).drop("data_from")
 
 
 @register("grid_cells", GRID, f"""WITH {NAMED_SQL}

@@ -2,26 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A group is hot above this many rows, and above this part of all rows; the
-# second bound means there can never be more than HOT_PARTS hot groups.
+# A group is hot above this many rows. Of those the largest thousand are treated
+# apart: every group that holds more than a thousandth of the table is among them.
 HOT_ROWS = 100_000
-HOT_PARTS = 1_000
+HOT_GROUPS = 1_000
+
+
+def hot_keys(sizes: DataFrame, key: str, size: str, hot_rows: int = HOT_ROWS) -> list:
+    """Keys of the largest groups, from a table of group sizes; at most a thousand."""
+    return [r[key] for r in sizes.where(F.col(size) > hot_rows).orderBy(F.desc(size)).limit(HOT_GROUPS).collect()]
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Inner join of rows with one row per group; `size` is the group's row count.
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, hot: list, after: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Inner join of rows with one row per group.
 
-    Hot groups (at most a thousand) are broadcast, so their rows stay where they
-    are; the rows of all other groups are shuffled by key without them.
+    The hot groups are few, so they are broadcast and their rows stay where they
+    are; all other rows are shuffled by key without them. `after` is applied to
+    each part: work that needs the key's rows together finds the cold ones so.
     """
-    total = groups.agg(F.sum(size).alias("n")).first()["n"] or 0
-    limit = max(hot_rows, -(-total // HOT_PARTS))
-    hot = groups.where(F.col(size) > limit)
-    keys = [r[key] for r in hot.select(key).collect()]
-    if not keys:
-        return rows.join(groups, key)
-    is_hot = F.col(key).isin(keys)
-    return rows.where(is_hot).join(F.broadcast(hot), key).unionByName(rows.where(~is_hot).join(groups.where(F.col(size) <= limit), key))
+    if not hot:
+        return after(rows.join(groups, key))
+    is_hot = F.col(key).isin(hot)
+    spread = rows.where(is_hot).join(F.broadcast(groups.where(is_hot)), key)
+    return after(spread).unionByName(after(rows.where(~is_hot).join(groups.where(~is_hot), key)))

@@ -1,8 +1,9 @@
 """Raw cell grids: find each sheet's header row, compose its headers, read its data.
 
-Input is long, one row per cell: (sheet_id, row_idx, col_idx, value). Windows
-run over the first ten rows or over the header row of a sheet, never over its
-data, so long sheets are no problem.
+Input is long, one row per cell: (sheet_id, row_idx, col_idx, value). One
+aggregate by sheet brings the cells of its first rows together (a few times the
+sheet's width, however long it is); all header work follows on that partitioning
+without another shuffle.
 """
 
 from __future__ import annotations
@@ -11,10 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.coerce import NUMBER_PATTERN, js_number, strip_spaces
-from ..operators.skew import join_groups
+from ..operators.skew import HOT_ROWS, hot_keys, join_groups
 
 # Rows searched, year range, score weights, header limits.
 HEADER_ROWS = 10
+SEARCHED_ROWS = HEADER_ROWS + 2
 HEADER_YEARS = (1900, 2099)
 TITLE_BONUS, BONUS_ROWS = 3, (1, 3)
 DATA_NUMBERS = 2
@@ -49,9 +51,20 @@ def row_facts(cells: DataFrame) -> DataFrame:
     return facts.withColumn("texts", F.col("filled") - F.col("numeric"))
 
 
+def _heads(cells: DataFrame) -> DataFrame:
+    """(sheet_id, head): the cells of the first rows of each sheet that is long enough."""
+    first = F.when(F.col("row_idx") < SEARCHED_ROWS, F.struct("row_idx", "col_idx", "value"))
+    heads = cells.groupBy("sheet_id").agg(F.collect_list(first).alias("head"), F.max("row_idx").alias("last"))
+    return heads.where(F.col("last") >= LEAST_ROWS - 1).drop("last")
+
+
 def header_rows(cells: DataFrame) -> DataFrame:
     """(sheet_id, header_row, score, is_subheader, data_from): the best header row of each sheet that has one."""
-    top = row_facts(cells.where(F.col("row_idx") < HEADER_ROWS + 2))
+    return _best_rows(_heads(cells).select("sheet_id", F.inline("head")))
+
+
+def _best_rows(head_cells: DataFrame) -> DataFrame:
+    top = row_facts(head_cells)
     plain_numbers = F.col("numeric") - F.col("years")
     data_like = (plain_numbers > DATA_NUMBERS) & (F.col("texts") > 0) & (plain_numbers >= F.col("texts"))
     bonus = F.when(F.col("row_idx").between(*BONUS_ROWS), TITLE_BONUS).otherwise(0)
@@ -75,8 +88,6 @@ def header_rows(cells: DataFrame) -> DataFrame:
         & ((after["numeric"] > sub["numeric"]) | (after["filled"] == 0))
     )
     scored = top.withColumns({"is_subheader": subheader, "score": F.when(usable, score)}).where(F.col("score") > 0)
-    long_enough = cells.groupBy("sheet_id").agg(F.max("row_idx").alias("_last")).where(F.col("_last") >= LEAST_ROWS - 1)
-    scored = scored.join(long_enough, "sheet_id", "left_semi")
     best = Window.partitionBy("sheet_id").orderBy(F.desc("score"), F.asc("row_idx"))
     first = scored.withColumn("_place", F.row_number().over(best)).where("_place = 1")
     return first.select(
@@ -85,21 +96,17 @@ def header_rows(cells: DataFrame) -> DataFrame:
     )
 
 
-def sheet_headers(cells: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """(sheet_id, col_idx, header, name): composed header per column, and the name after repeats got a suffix.
-
-    An empty header cell takes the last filled one to its left, together with
-    its own sub-header, or else with a running number.
-    """
-    found = header_rows(cells) if found is None else found
-    near = cells.where(F.col("row_idx") <= HEADER_ROWS).join(found, "sheet_id")
+def _composed(cells: DataFrame) -> DataFrame:
+    """(sheet_id, data_from, row): per sheet an array of (col_idx, header), as long as the sheet is wide."""
+    head_cells = _heads(cells).select("sheet_id", F.inline("head"))
+    near = head_cells.join(_best_rows(head_cells), "sheet_id")
     text = F.coalesce(strip_spaces(F.col("value")), F.lit(""))
     header_cell = F.max(F.when(F.col("row_idx") == F.col("header_row"), text))
     sub_cell = F.max(F.when(F.col("is_subheader") & (F.col("row_idx") == F.col("header_row") + 1), text))
-    columns = near.groupBy("sheet_id", "col_idx").agg(header_cell.alias("own"), F.coalesce(sub_cell, F.lit("")).alias("sub")).where("own IS NOT NULL")
+    columns = near.groupBy("sheet_id", "data_from", "col_idx").agg(header_cell.alias("own"), F.coalesce(sub_cell, F.lit("")).alias("sub"))
+    columns = columns.where("own IS NOT NULL")
 
-    by_column = Window.partitionBy("sheet_id").orderBy("col_idx")
-    so_far = by_column.rowsBetween(Window.unboundedPreceding, 0)
+    so_far = Window.partitionBy("sheet_id").orderBy("col_idx").rowsBetween(Window.unboundedPreceding, 0)
     columns = columns.withColumn("last", F.last(F.when(F.col("own") != "", F.col("own")), ignorenulls=True).over(so_far))
     sub = F.when((F.col("sub") != "") & ~_numeric(F.col("sub")), F.col("sub"))
     # The fixed part of the header; a running number is still missing where this is null.
@@ -110,17 +117,26 @@ def sheet_headers(cells: DataFrame, found: DataFrame | None = None) -> DataFrame
         .when(F.col("last").isNull(), F.concat(F.lit("Column "), (F.col("col_idx") + 1).cast("string"))),
     )
     # A running number counts the headers up to here that start with the last filled
-    # one; adding a number to a header does not change what it starts with. One
-    # array per sheet holds its header row, which is as long as the sheet is wide.
+    # one; adding a number to a header does not change what it starts with.
     start = F.coalesce("base", F.concat(F.col("last"), F.lit(" ")))
-    by_sheet = columns.groupBy("sheet_id").agg(F.sort_array(F.collect_list(F.struct("col_idx", "base", "last", start.alias("start")))).alias("row"))
+    header_row = F.sort_array(F.collect_list(F.struct("col_idx", "base", "last", start.alias("start"))))
+    by_sheet = columns.groupBy("sheet_id", "data_from").agg(header_row.alias("row"))
     starts = F.col("row")["start"]
 
     def finish(h: Column, i: Column) -> Column:
         number = F.size(F.filter(F.slice(starts, F.lit(1), i + 1), lambda s: s.startswith(h["last"])))
         return F.struct(h["col_idx"].alias("col_idx"), F.coalesce(h["base"], F.concat_ws(" ", h["last"], number.cast("string"))).alias("header"))
 
-    named = by_sheet.select("sheet_id", F.inline(F.transform("row", finish)))
+    return by_sheet.withColumn("row", F.transform("row", finish))
+
+
+def sheet_headers(cells: DataFrame) -> DataFrame:
+    """(sheet_id, data_from, col_idx, header, name): composed header per column, and its name after repeats got a suffix.
+
+    An empty header cell takes the last filled one to its left, together with
+    its own sub-header, or else with a running number.
+    """
+    named = _composed(cells).select("sheet_id", "data_from", F.inline("row"))
     repeat = F.row_number().over(Window.partitionBy("sheet_id", "header").orderBy("col_idx")) - 1
     return named.withColumn("name", F.when(repeat > 0, F.concat_ws("_", "header", repeat.cast("string"))).otherwise(F.col("header")))
 
@@ -136,19 +152,21 @@ def header_quality(headers: DataFrame) -> DataFrame:
     return counted.withColumn("rejected", bad)
 
 
-def grid_cells(cells: DataFrame) -> DataFrame:
+def grid_cells(cells: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(sheet_id, row_idx, col_idx, name, value, number): the data cells of every sheet under their headers.
 
-    Data rows start below the header and have two or more filled cells.
+    Data rows start below the header and have two or more filled cells. Sheets
+    of very many cells meet their headers by broadcast, all others by shuffle.
     """
-    found = header_rows(cells)
-    # Everything known about a sheet, one row each; its names as a map as wide as its header.
-    names = sheet_headers(cells, found).groupBy("sheet_id").agg(F.map_from_entries(F.collect_list(F.struct("col_idx", "name"))).alias("names"))
-    sizes = cells.groupBy("sheet_id").agg(F.count("*").alias("_cells"))
-    sheets = found.select("sheet_id", "data_from").join(names, "sheet_id").join(sizes, "sheet_id")
-    data = join_groups(cells, sheets, "sheet_id", "_cells").where(F.col("row_idx") >= F.col("data_from"))
-    named = data.withColumn("name", F.try_element_at("names", "col_idx")).where(F.col("name").isNotNull())
-    kept = row_facts(cells).where(F.col("filled") >= LEAST_CELLS).select("sheet_id", "row_idx")
-    return named.join(kept, ["sheet_id", "row_idx"], "left_semi").select(
-        "sheet_id", "row_idx", "col_idx", "name", "value", js_number(F.col("value")).alias("number")
-    )
+    name_map = F.map_from_entries(F.collect_list(F.struct("col_idx", "name")))
+    sheets = sheet_headers(cells).groupBy("sheet_id", "data_from").agg(name_map.alias("names"))
+    hot = hot_keys(cells.groupBy("sheet_id").agg(F.count("*").alias("n")), "sheet_id", "n", hot_rows)
+    in_row = Window.partitionBy("sheet_id", "row_idx")
+
+    def full_rows(df: DataFrame) -> DataFrame:
+        return df.withColumn("_filled", F.count_if(_filled(F.col("value"))).over(in_row)).where(F.col("_filled") >= LEAST_CELLS)
+
+    data = join_groups(cells, sheets, "sheet_id", hot, full_rows).where(F.col("row_idx") >= F.col("data_from"))
+    return data.select(
+        "sheet_id", "row_idx", "col_idx", F.try_element_at("names", "col_idx").alias("name"), "value", js_number(F.col("value")).alias("number")
+    ).where("name IS NOT NULL")

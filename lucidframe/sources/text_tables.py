@@ -100,14 +100,15 @@ def table_cells(detected: DataFrame, key: str = "doc_id") -> DataFrame:
     Rows are lines below the header with two or more filled parts. A cell that
     is a number once its commas are gone has it in `number`.
     """
-    tables = detected.where(F.col("separator").isNotNull())
     pattern = F.col("pattern")
     rows = F.filter(F.transform(_below_header(), lambda line: _parts(line, pattern)), lambda parts: F.size(F.filter(parts, lambda p: p != "")) >= LEAST_PARTS)
     header = F.element_at("lines", F.col("header_at").cast("int"))
-    by_row = tables.select(F.col(key), _filled(header, pattern).alias("headers"), F.posexplode(rows).alias("row", "parts"))
+    # Outer explodes, filtered afterwards: a filter on the detection itself would be
+    # pushed below it and run the whole detection a second time.
+    by_row = detected.select(F.col(key), _filled(header, pattern).alias("headers"), F.posexplode_outer(rows).alias("row", "parts")).where("row IS NOT NULL")
     # A row may have fewer parts than headers: `get` gives null beyond the end.
     cells = F.transform(F.col("headers"), lambda h, i: F.struct(h.alias("header"), F.get(F.col("parts"), i).alias("value")))
-    by_cell = by_row.select(key, "row", F.posexplode(cells).alias("col", "cell"))
+    by_cell = by_row.select(key, "row", F.posexplode_outer(cells).alias("col", "cell"))
     value = F.when(F.col("cell.value") != "", F.col("cell.value"))
     return by_cell.select(
         key, "row", "col", F.col("cell.header").alias("header"), value.alias("value"), js_number(F.regexp_replace(value, ",", "")).alias("number")
