@@ -13,6 +13,7 @@ from ..plans.analyzer import analyze, refine
 from . import sql_text as q
 from .profile_queries import EVENTS, LINES, events, lines
 from .registry import register, view
+from .views import load
 
 LINE = ("line_facts",)
 EVENT = ("event_facts",)
@@ -65,7 +66,7 @@ def pie_share(spark, sf_dir):
 
 @register("pie_record_counts", (), "SELECT source AS name, COUNT(*) AS value FROM documents GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8")
 def pie_record_counts(spark, sf_dir):
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    documents = load(spark, sf_dir, "documents")
     return ch.record_counts(documents, "source", ch.PIE_RECORDS)
 
 
@@ -102,7 +103,7 @@ def pearson_strength(spark, sf_dir):
 
 @register("records_by_category", (), "SELECT source AS name, COUNT(*) AS value FROM documents GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15")
 def records_by_category(spark, sf_dir):
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    documents = load(spark, sf_dir, "documents")
     return ch.record_counts(documents, "source", ch.BARS)
 
 

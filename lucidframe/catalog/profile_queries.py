@@ -12,6 +12,7 @@ from ..operators import profile
 from ..operators.order_statistics import lower_quartile, order_statistics, upper_median, upper_quartile
 from . import sql_text as q
 from .registry import register, view
+from .views import load
 
 EVENTS = ["event_id", "event_day", "event_type", "value", "user_id"]
 LINES = ["order_no", "ship_date", "return_flag", "line_status", "quantity", "price", "discount", "tax"]
@@ -33,7 +34,7 @@ def contacts(spark, sf_dir):
 
 
 def documents(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*DOCUMENTS)
+    return load(spark, sf_dir, "documents").select(*DOCUMENTS)
 
 
 def _profiled(source: str, columns: list[str]) -> str:

@@ -43,7 +43,9 @@ class EmptyInputError(ValueError):
 
 def flatten(collections: DataFrame) -> DataFrame:
     """One row per feature, its attributes under their column names. Absent keys are null."""
-    features = collections.select(F.explode("features").alias("f"))
+    # An outer explode, filtered afterwards: for an inner one Spark adds a filter on the
+    # array below it, and a column of documents would be parsed twice.
+    features = collections.select(F.explode_outer("features").alias("f")).where("f IS NOT NULL")
     return features.select(*[F.col(f"f.attributes.{name}").alias(column) for name, column, _ in ATTRIBUTES])
 
 
