@@ -72,13 +72,9 @@ def scatter_points(df: DataFrame, x: str, y: str, order_by: list[str], k: int =
 
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row: pairs, r over all rows (0 when a column does not vary), and its strength and direction in words."""
-    pairs = _pairs(df, x, y).agg(
-        F.count("*").alias("pairs"), F.corr("_x", "_y").alias("r"), F.min("_x").alias("x0"), F.max("_x").alias("x1"),
-        F.min("_y").alias("y0"), F.max("_y").alias("y1"),
-    )
-    varies = (F.col("x0") < F.col("x1")) & (F.col("y0") < F.col("y1"))
-    r = F.when(varies, F.col("r")).otherwise(0.0)
-    named = pairs.select("pairs", r.alias("r"))
+    # `corr` itself fails on a column that does not vary.
+    r = F.try_divide(F.covar_pop("_x", "_y"), F.stddev_pop("_x") * F.stddev_pop("_y"))
+    named = _pairs(df, x, y).agg(F.count("*").alias("pairs"), F.coalesce(r, F.lit(0.0)).alias("r"))
     size = F.abs("r")
     return named.withColumns(
         {
