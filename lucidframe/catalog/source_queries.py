@@ -134,7 +134,8 @@ SELECT c.sheet_id, c.row_idx, c.col_idx, n.name, c.value, {q.number('c.value')}
 JOIN found f ON f.sheet_id = c.sheet_id AND c.row_idx >= f.header_row + CASE WHEN is_subheader THEN 2 ELSE 1 END
 JOIN facts r ON r.sheet_id = c.sheet_id AND r.row_idx = c.row_idx AND r.filled >= 2 JOIN named n ON n.sheet_id = c.sheet_id AND n.col_idx = c.col_idx""")
 def grid_cells(spark, sf_dir):
-    return grids.grid_cells(view(spark, sf_dir, "cell_grid"))
+    # Three passes read the cells; the view that makes them up should run once.
+    return grids.grid_cells(view(spark, sf_dir, "cell_grid").persist())
 
 
 @register("header_garbage", GRID, """

@@ -38,11 +38,11 @@ def _year(c: Column) -> Column:
     return F.coalesce((n == F.floor(n)) & n.between(*HEADER_YEARS), F.lit(False))
 
 
-def row_facts(cells: DataFrame) -> DataFrame:
-    """(sheet_id, row_idx, cells, filled, numeric, years, texts, gaps) of every row, map-side combined."""
+def row_facts(cells: DataFrame, *more: Column) -> DataFrame:
+    """(sheet_id, row_idx, filled, numeric, years, texts, gaps, more…) of every row, map-side combined."""
     v = F.col("value")
     facts = cells.groupBy("sheet_id", "row_idx").agg(
-        F.count("*").alias("cells"),
+        *more,
         F.count_if(_filled(v)).alias("filled"),
         F.count_if(_numeric(v)).alias("numeric"),
         F.count_if(_year(v)).alias("years"),
@@ -60,11 +60,13 @@ def _heads(cells: DataFrame) -> DataFrame:
 
 def header_rows(cells: DataFrame) -> DataFrame:
     """(sheet_id, header_row, score, is_subheader, data_from): the best header row of each sheet that has one."""
-    return _best_rows(_heads(cells).select("sheet_id", F.inline("head")))
+    return _best_rows(cells).drop("line", "sub_line")
 
 
-def _best_rows(head_cells: DataFrame) -> DataFrame:
-    top = row_facts(head_cells)
+def _best_rows(cells: DataFrame) -> DataFrame:
+    """The header rows with the cells of the row (`line`) and of the sub-header below it (`sub_line`)."""
+    head_cells = _heads(cells).select("sheet_id", F.inline("head"))
+    top = row_facts(head_cells, F.collect_list(F.struct("col_idx", "value")).alias("line"))
     plain_numbers = F.col("numeric") - F.col("years")
     data_like = (plain_numbers > DATA_NUMBERS) & (F.col("texts") > 0) & (plain_numbers >= F.col("texts"))
     bonus = F.when(F.col("row_idx").between(*BONUS_ROWS), TITLE_BONUS).otherwise(0)
@@ -77,33 +79,32 @@ def _best_rows(head_cells: DataFrame) -> DataFrame:
 
     def following(name: str, step: int) -> Column:
         candidates = [F.when(F.lead(gap, k).over(by_row) == F.col(gap) + step, F.lead(name, k).over(by_row)) for k in range(1, step + 1)]
-        return F.coalesce(*candidates, F.lit(0))
+        return F.coalesce(*candidates)
 
-    sub = {name: following(name, 1) for name in ("filled", "numeric")}
-    after = {name: following(name, 2) for name in ("filled", "numeric")}
+    sub = {name: F.coalesce(following(name, 1), F.lit(0)) for name in ("filled", "numeric")}
+    after = {name: F.coalesce(following(name, 2), F.lit(0)) for name in ("filled", "numeric")}
     subheader = (
         (sub["filled"] > 0)
         & (sub["numeric"] < sub["filled"] * SUBHEADER_NUMERIC)
         & ((F.col("filled") < sub["filled"]) | (F.col("gaps") > 0))
         & ((after["numeric"] > sub["numeric"]) | (after["filled"] == 0))
     )
-    scored = top.withColumns({"is_subheader": subheader, "score": F.when(usable, score)}).where(F.col("score") > 0)
+    scored = top.withColumns({"is_subheader": subheader, "score": F.when(usable, score), "sub_line": following("line", 1)}).where(F.col("score") > 0)
     best = Window.partitionBy("sheet_id").orderBy(F.desc("score"), F.asc("row_idx"))
     first = scored.withColumn("_place", F.row_number().over(best)).where("_place = 1")
     return first.select(
         "sheet_id", F.col("row_idx").alias("header_row"), "score", "is_subheader",
-        (F.col("row_idx") + F.when(F.col("is_subheader"), 2).otherwise(1)).alias("data_from"),
+        (F.col("row_idx") + F.when(F.col("is_subheader"), 2).otherwise(1)).alias("data_from"), "line", F.when(F.col("is_subheader"), F.col("sub_line")).alias("sub_line"),
     )
 
 
 def _composed(cells: DataFrame) -> DataFrame:
     """(sheet_id, data_from, row): per sheet an array of (col_idx, header), as long as the sheet is wide."""
-    head_cells = _heads(cells).select("sheet_id", F.inline("head"))
-    near = head_cells.join(_best_rows(head_cells), "sheet_id")
-    text = F.coalesce(strip_spaces(F.col("value")), F.lit(""))
-    header_cell = F.max(F.when(F.col("row_idx") == F.col("header_row"), text))
-    sub_cell = F.max(F.when(F.col("is_subheader") & (F.col("row_idx") == F.col("header_row") + 1), text))
-    columns = near.groupBy("sheet_id", "data_from", "col_idx").agg(header_cell.alias("own"), F.coalesce(sub_cell, F.lit("")).alias("sub"))
+    text = lambda cell: F.coalesce(strip_spaces(cell["value"]), F.lit(""))
+    own = F.transform("line", lambda cell: F.struct(cell["col_idx"].alias("col_idx"), text(cell).alias("own"), F.lit(None).cast("string").alias("sub")))
+    below = F.transform("sub_line", lambda cell: F.struct(cell["col_idx"].alias("col_idx"), F.lit(None).cast("string").alias("own"), text(cell).alias("sub")))
+    both = _best_rows(cells).select("sheet_id", "data_from", F.inline(F.when(F.col("sub_line").isNull(), own).otherwise(F.concat(own, below))))
+    columns = both.groupBy("sheet_id", "data_from", "col_idx").agg(F.max("own").alias("own"), F.coalesce(F.max("sub"), F.lit("")).alias("sub"))
     columns = columns.where("own IS NOT NULL")
 
     so_far = Window.partitionBy("sheet_id").orderBy("col_idx").rowsBetween(Window.unboundedPreceding, 0)
