@@ -17,7 +17,7 @@ NUMBERS = ["c_custkey", "balance"]
 
 
 def dirty(spark, sf_dir):
-    return view(spark, sf_dir, "dirty_customers")
+    return view(spark, sf_dir, "dirty_customers").persist()
 
 
 FENCES_SQL = ", ".join(

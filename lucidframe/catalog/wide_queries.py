@@ -22,7 +22,7 @@ TOTALS_SQL = "totals AS (" + q.union(
 
 
 def wide(spark, sf_dir):
-    return view(spark, sf_dir, "supplier_years")
+    return view(spark, sf_dir, "supplier_years").persist()
 
 
 def facts(spark, sf_dir):

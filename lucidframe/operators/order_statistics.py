@@ -36,7 +36,8 @@ def upper_quartile(n: int) -> int:
     return 3 * n // 4
 
 
-COLLECT_LIMIT = 4_000_000
+# Resolving values exactly costs far more per value than bracketing them, so the limit is low.
+COLLECT_LIMIT = 50_000
 ACCURACY = 10_000
 
 

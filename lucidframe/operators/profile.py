@@ -32,6 +32,8 @@ SAMPLES = 5
 FILTER_COLUMNS = 5
 FILTER_DISTINCT = (2, 50)
 LONG_TEXT = 64
+# One aggregate over many columns outgrows what the JVM compiles; chunks read their own columns only.
+COLUMNS_PER_AGGREGATE = 8
 BARE_NUMBER = r"^\d+[/.\\]?$"
 DOMAINS = (
     ("loan|lend|borrow|credit|debt", "This appears to be a lending/credit dataset."),
@@ -114,6 +116,13 @@ def _number_stats(df: DataFrame, name: str, number: Column) -> tuple[Column, Col
 def column_facts(df: DataFrame, columns: list[str] | None = None, approximate: bool = False) -> DataFrame:
     """Everything the type rules look at, one row per column."""
     columns = columns or df.columns
+    chunks = [columns[i : i + COLUMNS_PER_AGGREGATE] for i in range(0, len(columns), COLUMNS_PER_AGGREGATE)]
+    facts = reduce(DataFrame.unionAll, [_chunk_facts(df, chunk, columns.index(chunk[0])) for chunk in chunks])
+    unique = distinct_counts(df, columns, approximate)
+    return facts.join(unique, "column", "left").fillna(0, ["unique_count"])
+
+
+def _chunk_facts(df: DataFrame, columns: list[str], offset: int) -> DataFrame:
     low, high = YEAR_RANGE
     # What the column's own type already says is not parsed out of text again.
     cells, aggregates = [], [F.count("*").alias("rows")]
@@ -136,26 +145,13 @@ def column_facts(df: DataFrame, columns: list[str] | None = None, approximate: b
             measured = (F.count(number), dated, length, off_years, *_number_stats(df, c, number))
         aggregates.append(F.count(cell).alias(f"f{i}"))
         aggregates += [m.alias(f"{k}{i}") for k, m in zip(("n", "d", "l", "y", "lo", "hi", "s"), measured)]
-    cells = df.select(*cells)
+    names = {"f": "filled", "n": "numeric", "d": "dated", "l": "text_length", "y": "off_years", "lo": "min", "hi": "max", "s": "sum"}
     index = {c: i for i, c in enumerate(columns)}
-    facts = _one_row_per_column(
-        cells.agg(*aggregates),
+    return _one_row_per_column(
+        df.select(*cells).agg(*aggregates),
         columns,
-        lambda c: {
-            "position": F.lit(index[c]),
-            "rows": F.col("rows"),
-            "filled": F.col(f"f{index[c]}"),
-            "numeric": F.col(f"n{index[c]}"),
-            "dated": F.col(f"d{index[c]}"),
-            "text_length": F.col(f"l{index[c]}"),
-            "off_years": F.col(f"y{index[c]}"),
-            "min": F.col(f"lo{index[c]}"),
-            "max": F.col(f"hi{index[c]}"),
-            "sum": F.col(f"s{index[c]}"),
-        },
+        lambda c: {"position": F.lit(offset + index[c]), "rows": F.col("rows"), **{n: F.col(f"{k}{index[c]}") for k, n in names.items()}},
     )
-    unique = distinct_counts(df, columns, approximate)
-    return facts.join(unique, "column", "left").fillna(0, ["unique_count"])
 
 
 def column_type(strict_ids: bool = False, integral: Column | None = None) -> Column:
