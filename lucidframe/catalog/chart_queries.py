@@ -11,7 +11,7 @@ from ..operators import insights as ins
 from ..operators import profile as prof
 from ..plans.analyzer import analyze, refine
 from . import sql_text as q
-from .profile_queries import EVENTS, LINES, events, lines
+from .profile_queries import EVENTS, LINES, events, kept_events, kept_lines, lines
 from .registry import register, view
 from .views import load
 
@@ -125,7 +125,7 @@ SELECT * FROM (SELECT CAST(row_number() OVER (ORDER BY p) - 1 AS INTEGER) AS pos
 
 @register("kpi_standard", EVENT, "WITH " + _kpis("event_facts"))
 def kpi_standard(spark, sf_dir):
-    df = events(spark, sf_dir)
+    df = kept_events(spark, sf_dir)
     return ins.standard_kpis(spark, prof.profile(df))
 
 
@@ -155,7 +155,7 @@ def chart_recommendations(spark, sf_dir):
     def one(name, df):
         return ch.chart_table(df, ch.recommend_charts(df, prof.profile(df))).withColumn("dataset", F.lit(name))
 
-    return one("event_facts", events(spark, sf_dir)).unionByName(one("line_facts", lines(spark, sf_dir)))
+    return one("event_facts", kept_events(spark, sf_dir)).unionByName(one("line_facts", kept_lines(spark, sf_dir)))
 
 
 @register("insight_leader", EVENT, f"""
@@ -227,7 +227,7 @@ SELECT *, ROUND(max / mean, 6) AS times_mean FROM (
     {q.at_index('user_id', 'n // 2', 'event_facts')} FROM event_facts)
 WHERE mean > 0 AND max <> 0 AND max > mean * 5""")
 def insight_extreme_range(spark, sf_dir):
-    found = ins.extreme_range(prof.numeric_profile(events(spark, sf_dir), ["value", "user_id"]))
+    found = ins.extreme_range(prof.numeric_profile(kept_events(spark, sf_dir), ["value", "user_id"]))
     return found.withColumn("times_mean", F.round("times_mean", 6))
 
 
@@ -241,7 +241,7 @@ SELECT (SELECT COUNT(*) FROM event_facts) AS records, t.n AS groups, (SELECT COU
   ROUND(((SELECT total FROM d ORDER BY period DESC LIMIT 1) / (SELECT total FROM d ORDER BY period LIMIT 1) - 1) * 100, 6) AS growth_pct
 FROM t, r a WHERE a.up = 1""")
 def executive_summary_facts(spark, sf_dir):
-    df = events(spark, sf_dir)
+    df = kept_events(spark, sf_dir)
     measured = prof.numeric_profile(df, ["value"]).select(
         F.col("sum").alias("total"), F.col("min").alias("least"), F.col("max").alias("greatest"), "mean", "median", (F.col("mean") > 1.5 * F.col("median")).alias("right_skewed")
     )
@@ -264,13 +264,13 @@ UNION ALL SELECT 2, 'High concentration: ' || names || ' together hold ' || {q.f
   || '). Remaining ' || (n - 3) || ' groups share the other ' || {q.fixed('100 - s / t.total * 100', 0)} || '%.', 'warning' FROM three, t WHERE n >= 5 AND s / t.total > 0.5""")
 def insights_standard(spark, sf_dir):
     """The whole standard analysis; the wording of its category insights is compared."""
-    found = analyze(events(spark, sf_dir), "event_facts", ["event_id"]).insights
+    found = analyze(kept_events(spark, sf_dir), "event_facts", ["event_id"]).insights
     return found.where(F.col("kind").isin("leader", "bottom", "concentration")).select("position", "text", "type")
 
 
 @register("filtered_reanalysis", EVENT, "WITH f AS (SELECT * FROM event_facts WHERE event_type = 'purchase'), " + _kpis("f"))
 def filtered_reanalysis(spark, sf_dir):
-    whole = analyze(events(spark, sf_dir), "event_facts", ["event_id"])
+    whole = analyze(kept_events(spark, sf_dir), "event_facts", ["event_id"])
     return refine(whole, {"event_type": "purchase"}, ["event_id"]).kpis
 
 

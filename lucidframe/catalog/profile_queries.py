@@ -21,18 +21,26 @@ DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
 MEASURES = ["quantity", "price", "discount", "tax"]
 
 
-# Profiling reads its table several times, so the views are persisted: made up once,
-# spilled where memory is short, made up again where an executor is lost.
 def lines(spark, sf_dir):
-    return view(spark, sf_dir, "line_facts").persist().select(*LINES)
+    return view(spark, sf_dir, "line_facts").select(*LINES)
 
 
 def events(spark, sf_dir):
-    return view(spark, sf_dir, "event_facts").persist()
+    return view(spark, sf_dir, "event_facts")
 
 
 def contacts(spark, sf_dir):
-    return view(spark, sf_dir, "dirty_customers").persist()
+    return view(spark, sf_dir, "dirty_customers")
+
+
+# A full profile reads its table several times, so these views are persisted: made up
+# once, spilled where memory is short, made up again where an executor is lost.
+def kept_lines(spark, sf_dir):
+    return lines(spark, sf_dir).persist()
+
+
+def kept_events(spark, sf_dir):
+    return events(spark, sf_dir).persist()
 
 
 def documents(spark, sf_dir):
@@ -57,14 +65,14 @@ SELECT '{c}' AS "column", COUNT({c}) AS count, CAST(MIN({c}) AS DOUBLE) AS min,
   CAST(SUM({c}) AS DOUBLE) AS sum, CAST(SUM({c}) AS DOUBLE) / COUNT({c}) AS mean,
   {q.at_index(c, 'n // 2', 'line_facts')} AS median FROM line_facts""" for c in MEASURES]))
 def profile_numeric(spark, sf_dir):
-    return profile.numeric_profile(lines(spark, sf_dir), MEASURES)
+    return profile.numeric_profile(kept_lines(spark, sf_dir), MEASURES)
 
 
 @register("upper_median", ("event_facts",), q.union([f"""
 SELECT '{c}' AS "column", COUNT({c}) AS n, {q.at_index(c, 'n // 4', 'event_facts')} AS q1,
   {q.at_index(c, 'n // 2', 'event_facts')} AS median, {q.at_index(c, '(3 * n) // 4', 'event_facts')} AS q3 FROM event_facts""" for c in ("value", "user_id", "event_id")]))
 def upper_median_query(spark, sf_dir):
-    df = events(spark, sf_dir)
+    df = kept_events(spark, sf_dir)
     names = ["value", "user_id", "event_id"]
     stats = order_statistics(df, {c: col_of(c) for c in names}, {"q1": lower_quartile, "median": upper_median, "q3": upper_quartile})
     rows = [(c, s["n"], s["q1"], s["median"], s["q3"]) for c, s in stats.items()]
@@ -141,6 +149,6 @@ SELECT '{title}' AS dataset, concat_ws(' ', {domain}, (
 
 @register("dataset_context", ("event_facts", "line_facts"), q.union([_context("event_facts", EVENTS, "Event Facts"), _context("line_facts", LINES, "Sales Lines")]))
 def dataset_context(spark, sf_dir):
-    return profile.dataset_context(events(spark, sf_dir), "Event Facts").unionByName(
-        profile.dataset_context(lines(spark, sf_dir), "Sales Lines")
+    return profile.dataset_context(kept_events(spark, sf_dir), "Event Facts").unionByName(
+        profile.dataset_context(kept_lines(spark, sf_dir), "Sales Lines")
     )
