@@ -15,4 +15,6 @@ def tolerant_date(c: Column) -> Column:
 
 
 def epoch_ms_date(c: Column) -> Column:
-    return F.timestamp_millis(c).cast("date")
+    """The UTC day of a time in milliseconds, whatever the session's time zone is."""
+    day = F.lit(86_400_000).cast("bigint")
+    return F.date_from_unix_date(((c - F.pmod(c, day)) / day).cast("int"))

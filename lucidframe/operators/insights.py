@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.labels import column_label, large_number, period_label, signed_percent, to_fixed
+from . import wording as w
 from .profile import Profile
 
 # Thresholds, list lengths and confidence limits.
@@ -165,77 +166,58 @@ def _tone(change: float) -> str:
 
 def category_insights(facts: Row, median: float | None, category: str, measure: str, rows: int) -> list[Insight]:
     """Leader, bottom, concentration and skew of a measure over the groups of a category."""
-    if facts["groups"] < 2:
+    n, total = facts["groups"], facts["total"]
+    if n < 2:
         return []
-    what, groups = column_label(measure).lower(), column_label(category).lower()
-    level, n, total = confidence(rows), facts["groups"], facts["total"]
+    level = confidence(rows)
+    names = {"what": column_label(measure).lower(), "groups": column_label(category).lower(), "n": n, "total": large_number(total)}
     top, low = facts["top_total"], facts["bottom_total"]
-    out = [
-        Insight(
-            "leader",
-            f'"{facts["top_name"]}" dominates {what} — accounting for {large_number(top)} ({to_fixed(_pct(top, total), 0)}% of total {large_number(total)}), '
-            f"averaging {large_number(top / facts['top_count'])} per record across {facts['top_count']} entries.",
-            "positive", level, f'Aggregated "{measure}" grouped by "{category}" across {rows} records.',
-        )
-    ]
+    text = w.LEADER.format(
+        top=facts["top_name"], value=large_number(top), share=to_fixed(_pct(top, total), 0),
+        average=large_number(top / facts["top_count"]), records=facts["top_count"], **names,
+    )
+    out = [Insight("leader", text, "positive", level, w.LEADER_EVIDENCE.format(measure=measure, category=category, rows=rows))]
+
     ratio = top / low if low > 0 else 0.0
-    less = f" — {to_fixed(ratio, 0)}x less than the top performer" if ratio > BOTTOM_RATIO else ""
-    out.append(Insight("bottom", f'"{facts["bottom_name"]}" has the lowest {what} at {large_number(low)} ({facts["bottom_count"]} records){less}.', "info", level))
+    less = w.BOTTOM_LESS.format(times=to_fixed(ratio, 0)) if ratio > BOTTOM_RATIO else ""
+    out.append(Insight("bottom", w.BOTTOM.format(low=facts["bottom_name"], value=large_number(low), records=facts["bottom_count"], less=less, **names), "info", level))
 
     held = _pct(facts["top3_total"], total)
     if n >= CONCENTRATION_GROUPS and held > CONCENTRATION_SHARE:
-        out.append(
-            Insight(
-                "concentration",
-                f"High concentration: {facts['top3_names']} together hold {to_fixed(held, 0)}% of total {what} ({large_number(facts['top3_total'])} of {large_number(total)}). "
-                f"Remaining {n - 3} groups share the other {to_fixed(100 - held, 0)}%.",
-                "warning", level, f"Top 3 of {n} {groups} groups by sum.",
-            )
+        text = w.CONCENTRATION.format(
+            names=facts["top3_names"], share=to_fixed(held, 0), value=large_number(facts["top3_total"]), others=n - 3, rest=to_fixed(100 - held, 0), **names
         )
+        out.append(Insight("concentration", text, "warning", level, w.CONCENTRATION_EVIDENCE.format(**names)))
+
     mean = total / n
     if n >= SKEW_GROUPS and median is not None and top > mean * SKEW_FACTOR and median < mean:
-        out.append(
-            Insight(
-                "skew",
-                f"Distribution is heavily skewed — the median {groups} contributes {large_number(median)} vs. a mean of {large_number(mean)}, "
-                "indicating a few large players pull the average up significantly.",
-                "warning", level, f"Median vs mean comparison across {n} groups.",
-            )
-        )
+        text = w.SKEW.format(median=large_number(median), mean=large_number(mean), **names)
+        out.append(Insight("skew", text, "warning", level, w.SKEW_EVIDENCE.format(**names)))
     return out
 
 
 def time_insights(series: Row, time: str, measure: str, rows: int) -> list[Insight]:
     """Overall growth, momentum and peak of a measure over time."""
-    if series["periods"] < 2:
+    n = series["periods"]
+    if n < 2:
         return []
-    what, level, n = column_label(measure).lower(), confidence(rows), series["periods"]
-    first, last, prev, peak_total = (series[k] for k in ("first_total", "last_total", "prev_total", "peak_total"))
+    level = confidence(rows)
+    first, last, previous, peak_total = (series[k] for k in ("first_total", "last_total", "prev_total", "peak_total"))
+    names = {"what": column_label(measure).lower(), "time": column_label(time).lower(), "n": n, "first": series["first_period"], "last": series["last_period"]}
     out = []
     overall = _change(last, first)
     if overall is not None:
-        out.append(
-            Insight(
-                "growth",
-                f"Overall, {what} {'grew' if overall >= 0 else 'declined'} by {to_fixed(abs(overall), 0)}% from {series['first_period']} ({large_number(first)}) "
-                f"to {series['last_period']} ({large_number(last)}) over {n} periods.",
-                _tone(overall), "high" if n >= LONG_SERIES else "medium", f"First vs last period comparison across {n} distinct {column_label(time).lower()} values.",
-            )
-        )
-    recent = _change(last, prev)
+        text = w.GROWTH.format(moved=_grew(overall), percent=to_fixed(abs(overall), 0), first_value=large_number(first), last_value=large_number(last), **names)
+        out.append(Insight("growth", text, _tone(overall), "high" if n >= LONG_SERIES else "medium", w.GROWTH_EVIDENCE.format(**names)))
+    recent = _change(last, previous)
     if recent is not None:
-        out.append(
-            Insight(
-                "momentum",
-                f"Most recent period ({series['last_period']}): {large_number(last)} — a {signed_percent(recent, 1)} change from the prior period "
-                f"({series['prev_period']}: {large_number(prev)}).",
-                _tone(recent), level,
-            )
-        )
-    if series["peak_period"] not in (series["first_period"], series["last_period"]):
+        text = w.MOMENTUM.format(value=large_number(last), percent=signed_percent(recent, 1), previous=series["prev_period"], previous_value=large_number(previous), **names)
+        out.append(Insight("momentum", text, _tone(recent), level))
+    if series["peak_period"] not in (names["first"], names["last"]):
         below = last < peak_total
-        now = f"current level is {to_fixed((1 - last / peak_total) * 100, 0)}% below peak" if below else "currently at or above peak"
-        out.append(Insight("peak", f"Peak {what} occurred in {series['peak_period']} at {large_number(peak_total)} — {now}.", "warning" if below else "positive", level))
+        now = w.PEAK_BELOW.format(percent=to_fixed((1 - last / peak_total) * 100, 0)) if below else w.PEAK_HELD
+        text = w.PEAK.format(peak=series["peak_period"], value=large_number(peak_total), now=now, **names)
+        out.append(Insight("peak", text, "warning" if below else "positive", level))
     return out
 
 
@@ -245,50 +227,56 @@ def extreme_insights(profile: Profile) -> list[Insight]:
     for c in profile.numeric[:2]:
         low, high, mean, median = (c.stats.get(k) or 0.0 for k in ("min", "max", "mean", "median"))
         if high and mean > 0 and high > mean * EXTREME_FACTOR:
-            stats = f"min={large_number(low)}, max={large_number(high)}, mean={large_number(mean)}, median={large_number(median)}"
-            out.append(
-                Insight(
-                    "extreme_range",
-                    f"{c.label} shows extreme range — max value ({large_number(high)}) is {to_fixed(high / mean, 0)}x the average ({large_number(mean)}). "
-                    f"Median is {large_number(median)}, suggesting right-skewed distribution.",
-                    "warning", "high" if profile.rows >= MEDIUM_ROWS else "medium", f"Descriptive stats from {profile.rows} values: {stats}.",
-                )
-            )
+            shown = {"low": large_number(low), "high": large_number(high), "mean": large_number(mean), "median": large_number(median)}
+            text = w.EXTREME.format(label=c.label, times=to_fixed(high / mean, 0), **shown)
+            level = "high" if profile.rows >= MEDIUM_ROWS else "medium"
+            out.append(Insight("extreme_range", text, "warning", level, w.EXTREME_EVIDENCE.format(rows=profile.rows, **shown)))
     return out
 
 
+def _wide_names(facts: Row) -> dict[str, object]:
+    return {
+        "rows": facts["rows"], "n": facts["periods"], "steps": facts["periods"] - 1, "first": facts["first_period"], "latest": facts["latest_period"],
+        "first_value": large_number(facts["first_total"]), "latest_value": large_number(facts["latest_total"]),
+    }
+
+
 def wide_insights(facts: Row, groups: Row | None = None, category: str | None = None) -> list[Insight]:
     """Change, peak and lowest, CAGR, category rows, span."""
-    rows, n = facts["rows"], facts["periods"]
-    level = confidence(rows, WIDE_HIGH_ROWS, WIDE_MEDIUM_ROWS)
-    latest, change, cagr = facts["latest_period"], facts["change_pct"], facts["cagr_pct"]
+    names = _wide_names(facts)
+    level = confidence(facts["rows"], WIDE_HIGH_ROWS, WIDE_MEDIUM_ROWS)
+    change, cagr = facts["change_pct"], facts["cagr_pct"]
     out = []
     if change is not None:
-        moved = f"{large_number(facts['prev_total'])} → {large_number(facts['latest_total'])}"
-        out.append(Insight("wide_growth", f"{latest} vs {facts['prev_period']}: {signed_percent(change, 1)} change ({moved}).", _tone(change), level, f"Sum of {rows} records across both periods."))
+        text = w.WIDE_GROWTH.format(previous=facts["prev_period"], percent=signed_percent(change, 1), previous_value=large_number(facts["prev_total"]), **names)
+        out.append(Insight("wide_growth", text, _tone(change), level, w.WIDE_GROWTH_EVIDENCE.format(**names)))
     if facts["peak_period"] != facts["low_period"]:
-        text = f"Peak period is {facts['peak_period']} with {large_number(facts['peak_total'])}. Lowest is {facts['low_period']} at {large_number(facts['low_total'])}."
-        out.append(Insight("wide_peak_low", text, "info", level, f"Compared aggregates across {n} periods."))
-    if cagr is not None:
-        ends = f"first period ({large_number(facts['first_total'])}) to last ({large_number(facts['latest_total'])})"
-        out.append(
-            Insight(
-                "cagr", f"Compound annual growth rate (CAGR) across {n - 1} periods: {signed_percent(cagr, 1)}.", _tone(cagr),
-                "high" if n >= LONG_SERIES else "medium", f"Calculated from {ends} over {n - 1} periods.",
-            )
+        text = w.WIDE_PEAK_LOW.format(
+            peak=facts["peak_period"], peak_value=large_number(facts["peak_total"]), low=facts["low_period"], low_value=large_number(facts["low_total"])
         )
+        out.append(Insight("wide_peak_low", text, "info", level, w.WIDE_PEAK_LOW_EVIDENCE.format(**names)))
+    if cagr is not None:
+        text = w.CAGR.format(percent=signed_percent(cagr, 1), **names)
+        out.append(Insight("cagr", text, _tone(cagr), "high" if facts["periods"] >= LONG_SERIES else "medium", w.CAGR_EVIDENCE.format(**names)))
     if groups is not None and category is not None and groups["groups"] >= 2:
-        names, k, total = column_label(category).lower(), groups["groups"], groups["total"]
-        level = "high" if k >= CONCENTRATION_GROUPS else "medium"
-        if total > 0:
-            text = f'"{groups["top_name"]}" leads in {latest} with {large_number(groups["top_total"])} ({to_fixed(_pct(groups["top_total"], total), 0)}% share).'
-            out.append(Insight("wide_leader", text, "positive", level, f"Ranked {k} {names} groups by {latest} values."))
-        out.append(Insight("wide_bottom", f'"{groups["bottom_name"]}" has the lowest {latest} value at {large_number(groups["bottom_total"])}.', "info", level))
-        held = _pct(groups["top3_total"], total)
-        if k >= CONCENTRATION_GROUPS and held > CONCENTRATION_SHARE:
-            text = f"Top 3 {names} account for {to_fixed(held, 0)}% of {latest} total — high concentration."
-            out.append(Insight("wide_concentration", text, "warning", "high", f"Top 3 sum {large_number(groups['top3_total'])} out of total {large_number(total)}."))
-    out.append(Insight("wide_span", f"Dataset spans {n} periods from {facts['first_period']} to {latest} across {rows} records.", "info"))
+        out += _wide_category_insights(groups, column_label(category).lower(), facts["latest_period"])
+    out.append(Insight("wide_span", w.WIDE_SPAN.format(**names), "info"))
+    return out
+
+
+def _wide_category_insights(groups: Row, label: str, latest: str) -> list[Insight]:
+    n, total = groups["groups"], groups["total"]
+    level = "high" if n >= CONCENTRATION_GROUPS else "medium"
+    names = {"n": n, "groups": label, "latest": latest}
+    out = []
+    if total > 0:
+        text = w.WIDE_LEADER.format(top=groups["top_name"], value=large_number(groups["top_total"]), share=to_fixed(_pct(groups["top_total"], total), 0), **names)
+        out.append(Insight("wide_leader", text, "positive", level, w.WIDE_LEADER_EVIDENCE.format(**names)))
+    out.append(Insight("wide_bottom", w.WIDE_BOTTOM.format(low=groups["bottom_name"], value=large_number(groups["bottom_total"]), **names), "info", level))
+    held = _pct(groups["top3_total"], total)
+    if n >= CONCENTRATION_GROUPS and held > CONCENTRATION_SHARE:
+        evidence = w.WIDE_CONCENTRATION_EVIDENCE.format(value=large_number(groups["top3_total"]), total=large_number(total))
+        out.append(Insight("wide_concentration", w.WIDE_CONCENTRATION.format(share=to_fixed(held, 0), **names), "warning", "high", evidence))
     return out
 
 
@@ -301,36 +289,37 @@ def _kpi_table(spark, rows: list[tuple]) -> DataFrame:
 
 
 def standard_kpis(spark, profile: Profile) -> DataFrame:
-    rows: list[tuple] = [("Total Records", profile.rows, f"{profile.rows:,}")]
+    rows: list[tuple] = [(w.KPI_RECORDS, profile.rows, f"{profile.rows:,}")]
     main = profile.main_measures()[:KPI_MEASURES]
-    rows += [(f"Total {c.label}", c.sum, None) for c in main]
+    rows += [(w.KPI_TOTAL.format(label=c.label), c.sum, None) for c in main]
     if main:
-        rows.append((f"Avg {main[0].label}", main[0].stats["mean"], None))
+        rows.append((w.KPI_AVERAGE.format(label=main[0].label), main[0].stats["mean"], None))
     if profile.categorical:
         first = profile.categorical[0]
-        rows.append((f"{first.label} Groups", first.unique_count, f"{first.unique_count:,}"))
+        rows.append((w.KPI_GROUPS.format(label=first.label), first.unique_count, f"{first.unique_count:,}"))
     if main and len(rows) < KPIS and main[0].stats["max"] and main[0].stats["max"] != main[0].sum:
-        rows.append((f"Highest {main[0].label}", main[0].stats["max"], None))
+        rows.append((w.KPI_HIGHEST.format(label=main[0].label), main[0].stats["max"], None))
     return _kpi_table(spark, rows)
 
 
 def wide_kpis(spark, facts: Row, category: str | None = None, distinct: int | None = None) -> DataFrame:
+    latest = facts["latest_period"]
     rows: list[tuple] = [
-        (f"Latest Period ({facts['latest_period']})", facts["latest_total"], None),
-        ("Grand Total", facts["grand_total"], None),
-        ("Period Average", facts["period_average"], None),
+        (w.KPI_LATEST.format(latest=latest), facts["latest_total"], None),
+        (w.KPI_GRAND_TOTAL, facts["grand_total"], None),
+        (w.KPI_PERIOD_AVERAGE, facts["period_average"], None),
     ]
     if facts["change_pct"] is not None:
-        rows.append((f"Growth ({facts['prev_period']} → {facts['latest_period']})", facts["change_pct"], signed_percent(facts["change_pct"], 1)))
+        rows.append((w.KPI_GROWTH.format(previous=facts["prev_period"], latest=latest), facts["change_pct"], signed_percent(facts["change_pct"], 1)))
     if category is not None and distinct is not None:
-        rows.append((f"Distinct {column_label(category)}", distinct, f"{distinct:,}"))
+        rows.append((w.KPI_DISTINCT.format(label=column_label(category)), distinct, f"{distinct:,}"))
     return _kpi_table(spark, rows)
 
 
 # --- wording: summaries -------------------------------------------------------
 
 def _grew(change: float) -> str:
-    return "grew" if change >= 0 else "declined"
+    return w.GREW if change >= 0 else w.DECLINED
 
 
 def standard_summary(profile: Profile, span: Row | None = None, groups: Row | None = None, series: Row | None = None) -> str:
@@ -343,56 +332,50 @@ def standard_summary(profile: Profile, span: Row | None = None, groups: Row | No
     main = profile.main_measures()[0] if profile.main_measures() else None
     scope = []
     if category:
-        scope.append(f"{category.unique_count} {category.label.lower()} groups")
+        scope.append(w.SCOPE_GROUPS.format(n=category.unique_count, groups=category.label.lower()))
     if span is not None and span["periods"] >= 2:
-        scope.append(f"{span['periods']} {profile.temporal[0].label.lower()} periods ({span['first_period']}–{span['last_period']})")
-    parts = [f"This analysis covers {profile.rows:,} records" + (f" spanning {' and '.join(scope)}" if scope else "") + "."]
+        scope.append(w.SCOPE_PERIODS.format(n=span["periods"], time=profile.temporal[0].label.lower(), first=span["first_period"], last=span["last_period"]))
+    spanning = w.SCOPE_SPANNING.format(parts=" and ".join(scope)) if scope else ""
+    parts = [w.SCOPE.format(rows=f"{profile.rows:,}", spanning=spanning)]
     if main is None:
         return parts[0]
 
     what, s = main.label.lower(), main.stats
-    parts.append(
-        f"The total {what} across all records is {large_number(s['sum'])}, with individual values ranging from {large_number(s['min'])} to {large_number(s['max'])} "
-        f"(average: {large_number(s['mean'])}, median: {large_number(s['median'])})."
-    )
+    shown = {k: large_number(s[v]) for k, v in (("total", "sum"), ("low", "min"), ("high", "max"), ("mean", "mean"), ("median", "median"))}
+    parts.append(w.MAIN.format(what=what, **shown))
     if s["mean"] and s["median"] and s["mean"] > s["median"] * SUMMARY_SKEW:
-        parts.append(
-            "The average is significantly higher than the median, indicating a right-skewed distribution where a small number of "
-            "high-value entries pull the overall figures upward."
-        )
+        parts.append(w.MAIN_SKEWED)
     if category and groups is not None and len(category.top) >= 2 and groups["groups"] >= 2:
         held = to_fixed(_pct(groups["top_total"], groups["total"]), 0)
         parts.append(
-            f'Among {category.unique_count} {category.label.lower()} groups, "{groups["top_name"]}" leads with {large_number(groups["top_total"])} in total {what} '
-            f"({held}% market share)."
+            w.MAIN_LEADER.format(n=category.unique_count, groups=category.label.lower(), top=groups["top_name"], value=large_number(groups["top_total"]), what=what, share=held)
         )
-    if series is not None and series["periods"] >= 2:
-        change = _change(series["last_total"], series["first_total"])
-        if change is not None:
-            parts.append(
-                f"From {series['first_period']} to {series['last_period']}, total {what} {_grew(change)} by {to_fixed(abs(change), 0)}% "
-                f"({large_number(series['first_total'])} → {large_number(series['last_total'])})."
+    change = _change(series["last_total"], series["first_total"]) if series is not None and series["periods"] >= 2 else None
+    if change is not None:
+        parts.append(
+            w.MAIN_CHANGE.format(
+                first=series["first_period"], last=series["last_period"], what=what, moved=_grew(change), percent=to_fixed(abs(change), 0),
+                first_value=large_number(series["first_total"]), last_value=large_number(series["last_total"]),
             )
+        )
     return " ".join(parts)
 
 
 def wide_summary(facts: Row, groups: Row | None = None, category: str | None = None) -> str:
     """Scope, totals, growth, last change, category leader of a wide table."""
-    first, latest, average = facts["first_period"], facts["latest_period"], facts["period_average"]
-    against = f" ({signed_percent((facts['latest_total'] / average - 1) * 100, 0)} vs. period average)" if average > 0 else ""
+    names, average = _wide_names(facts), facts["period_average"]
+    against = w.WIDE_AGAINST.format(percent=signed_percent((facts["latest_total"] / average - 1) * 100, 0)) if average > 0 else ""
     parts = [
-        f"This analysis covers {facts['rows']} records over {facts['periods']} periods ({first} to {latest}).",
-        f"The aggregate total across all periods is {large_number(facts['grand_total'])}, averaging {large_number(average)} per period. "
-        f"The latest period ({latest}) totals {large_number(facts['latest_total'])}{against}.",
+        w.WIDE_SCOPE.format(**names),
+        w.WIDE_TOTALS.format(total=large_number(facts["grand_total"]), average=large_number(average), value=names["latest_value"], against=against, **names),
     ]
     if facts["growth_pct"] is not None:
-        moved = f"{large_number(facts['first_total'])} → {large_number(facts['latest_total'])}"
-        parts.append(f"From {first} to {latest}, values {_grew(facts['growth_pct'])} by {to_fixed(abs(facts['growth_pct']), 0)}% ({moved}).")
+        parts.append(w.WIDE_CHANGE.format(moved=_grew(facts["growth_pct"]), percent=to_fixed(abs(facts["growth_pct"]), 0), **names))
     if facts["change_pct"] is not None:
-        parts.append(f"The most recent period-over-period change is {signed_percent(facts['change_pct'], 1)}.")
+        parts.append(w.WIDE_LAST_CHANGE.format(percent=signed_percent(facts["change_pct"], 1)))
     if groups is not None and category is not None and groups["groups"] >= 2:
         held = to_fixed(_pct(groups["top_total"], groups["total"]), 0)
         parts.append(
-            f'Among {groups["groups"]} {column_label(category).lower()} groups, "{groups["top_name"]}" leads the latest period with {large_number(groups["top_total"])} ({held}% share).'
+            w.WIDE_SUMMARY_LEADER.format(n=groups["groups"], groups=column_label(category).lower(), top=groups["top_name"], value=large_number(groups["top_total"]), share=held)
         )
     return " ".join(parts)

@@ -27,7 +27,7 @@ def build_session(app_name: str = "lucidframe", master: str | None = None, **ove
 
 
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
-    """The folder reliable checkpoints go to: the cluster's own, or `fallback` where none is set."""
+    """The shared folder for checkpoints and streaming state: the cluster's own, or `fallback` where none is set."""
     current = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current is None and fallback is not None:
         spark.sparkContext.setCheckpointDir(fallback)
