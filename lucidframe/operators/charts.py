@@ -11,6 +11,7 @@ from ..functions.coerce import col_of, group_key, is_missing, numeric_of, total
 from ..functions.labels import column_label
 from . import profile as prof
 from . import reshape
+from . import wording as w
 
 # Chart limits and the wording of correlation strength.
 GROUPS = 30
@@ -134,66 +135,66 @@ def recommend_charts(df: DataFrame, profile: prof.Profile, order_by: list[str] |
     timed = bool(time and numbers) and groups[time.name] > 1 and counts["timed"] >= profile.rows * LEAST_TIME_SHARE
     if timed:
         measures = [c.name for c in numbers[:TIME_MEASURES]]
-        charts.append(Chart("line", f"{numbers[0].label} Over {time.label}", time.name, measures, time_series(df, time.name, measures, GROUPS)))
+        charts.append(Chart("line", w.CHART_OVER_TIME.format(measure=numbers[0].label, time=time.label), time.name, measures, time_series(df, time.name, measures, GROUPS)))
 
     if good and numbers and groups[good[0].name] >= 2:
         category, measure, n = good[0], numbers[0], groups[good[0].name]
         kind = _bar_kind(n)
         charts.append(
-            Chart(kind, f"{measure.label} by {category.label}", category.name, [measure.name], largest_groups(df, category.name, [measure.name], _bar_rows(kind)))
+            Chart(kind, w.CHART_BY.format(measure=measure.label, category=category.label), category.name, [measure.name], largest_groups(df, category.name, [measure.name], _bar_rows(kind)))
         )
         if n <= PIE_GROUPS:
             data = shares(largest_groups(df, category.name, [measure.name]), category.name, measure.name)
-            charts.append(Chart("pie", f"{measure.label} Share by {category.label}", category.name, [measure.name], data))
+            charts.append(Chart("pie", w.CHART_SHARE.format(measure=measure.label, category=category.label), category.name, [measure.name], data))
         elif len(category.top) >= 2:
-            charts.append(Chart("pie", f"Record Distribution by {category.label}", "name", ["value"], record_counts(df, category.name, PIE_RECORDS)))
+            charts.append(Chart("pie", w.CHART_RECORD_SHARE.format(category=category.label), "name", ["value"], record_counts(df, category.name, PIE_RECORDS)))
 
     if len(good) > 1 and numbers and groups[good[1].name] >= 2:
         category, measure = good[1], numbers[min(1, len(numbers) - 1)]
         kind = _bar_kind(groups[category.name])
         charts.append(
-            Chart(kind, f"{measure.label} by {category.label}", category.name, [measure.name], largest_groups(df, category.name, [measure.name], _bar_rows(kind)))
+            Chart(kind, w.CHART_BY.format(measure=measure.label, category=category.label), category.name, [measure.name], largest_groups(df, category.name, [measure.name], _bar_rows(kind)))
         )
 
     if timed and len(numbers) > 1:
         measure = numbers[1]
-        charts.append(Chart("area", f"{measure.label} Trend", time.name, [measure.name], time_series(df, time.name, [measure.name], GROUPS)))
+        charts.append(Chart("area", w.CHART_TREND.format(measure=measure.label), time.name, [measure.name], time_series(df, time.name, [measure.name], GROUPS)))
 
     if pair and counts["pairs"] > LEAST_POINTS:
         x, y = numbers[0], numbers[1]
-        charts.append(Chart("scatter", f"{x.label} vs {y.label}", x.name, [y.name], scatter_points(df, x.name, y.name, order_by or [])))
+        charts.append(Chart("scatter", w.CHART_PAIR.format(x=x.label, y=y.label), x.name, [y.name], scatter_points(df, x.name, y.name, order_by or [])))
 
     if wider and len(numbers) > 1 and len(charts) < 4 and groups[wider[0].name] >= 2:
         category, measure = wider[0], numbers[1]
         data = largest_groups(df, category.name, [measure.name], BARS)
-        charts.append(Chart("horizontal-bar", f"{measure.label} by {category.label}", category.name, [measure.name], data))
+        charts.append(Chart("horizontal-bar", w.CHART_BY.format(measure=measure.label, category=category.label), category.name, [measure.name], data))
 
     if not charts and categories and len(categories[0].top) >= 2:
         category = categories[0]
         n = len(category.top)
-        charts.append(Chart(_bar_kind(n), f"Records by {category.label}", "name", ["value"], record_counts(df, category.name, BARS)))
+        charts.append(Chart(_bar_kind(n), w.CHART_RECORDS.format(category=category.label), "name", ["value"], record_counts(df, category.name, BARS)))
         if n <= PIE_GROUPS:
-            charts.append(Chart("pie", f"Distribution by {category.label}", "name", ["value"], record_counts(df, category.name, prof.TOP_VALUES)))
+            charts.append(Chart("pie", w.CHART_DISTRIBUTION.format(category=category.label), "name", ["value"], record_counts(df, category.name, prof.TOP_VALUES)))
     return charts
 
 
 def recommend_wide_charts(df: DataFrame, periods: list[str], categories: list[str]) -> list[Chart]:
     """The charts a wide table supports."""
     totals = reshape.period_totals(df, periods).orderBy("position").select("period", "total")
-    charts = [Chart("line", "Total Over Time", "period", ["total"], totals), Chart("area", "Volume Trend", "period", ["total"], totals)]
+    charts = [Chart("line", w.CHART_TOTAL_OVER_TIME, "period", ["total"], totals), Chart("area", w.CHART_VOLUME, "period", ["total"], totals)]
     latest = periods[-1]
     for place, category in enumerate(categories[:2]):
         label = column_label(category)
         data = reshape.period_by_category(df, category, latest)
         n = data.count()
         if n >= 2:
-            charts.append(Chart(_bar_kind(n), f"{latest.strip()} by {label}", category, ["value"], data))
+            charts.append(Chart(_bar_kind(n), w.CHART_PERIOD_BY.format(period=latest.strip(), category=label), category, ["value"], data))
         if place == 0:
             if 2 <= n <= WIDE_PIE_GROUPS:
-                charts.append(Chart("pie", f"{latest.strip()} Share", category, ["value"], shares(data, "name", "value")))
+                charts.append(Chart("pie", w.CHART_PERIOD_SHARE.format(period=latest.strip()), category, ["value"], shares(data, "name", "value")))
             leaders = reshape.top_categories(df, category)
             if len(leaders) >= 2:
-                charts.append(Chart("line", f"Top {label} Over Time", "period", leaders, reshape.multi_series(df, category)))
+                charts.append(Chart("line", w.CHART_LEADERS.format(category=label), "period", leaders, reshape.multi_series(df, category)))
     return charts
 
 

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.coerce import col_of, js_number, missing_of, numeric_of
-from ..functions.labels import column_label, format_large_number, large_number
+from ..functions.labels import column_label, large_number
+from . import wording as w
 from .order_statistics import order_statistics, upper_median
 
 # Name hints, patterns, thresholds and limits of the type rules and reports.
@@ -329,37 +330,13 @@ def context_text(name: str, columns: list[str], profiled: Profile) -> str:
     parts = [next((s for pattern, s in DOMAINS if re.search(pattern, words)), "")]
     unclear = [c for c in profiled.numeric if re.search(AMBIGUOUS_NAME, c.name)][:AMBIGUOUS_SHOWN]
     if unclear:
-        shown = [f'"{c.name}" (numeric, range: {large_number(c.stats["min"])} – {large_number(c.stats["max"])})' for c in unclear]
-        parts.append(f"Note: columns {', '.join(shown)} may have abbreviated names from the source file.")
+        shown = [w.CONTEXT_COLUMN.format(name=c.name, low=large_number(c.stats["min"]), high=large_number(c.stats["max"])) for c in unclear]
+        parts.append(w.CONTEXT_NOTE.format(columns=", ".join(shown)))
     return " ".join(p for p in parts if p)
 
 
-def domain_of(text: Column) -> Column:
-    """The first subject area whose words occur in the text."""
-    lowered = F.lower(text)
-    choice = F.when(F.lit(False), "")
-    for pattern, sentence in DOMAINS:
-        choice = choice.when(lowered.rlike(pattern), sentence)
-    return choice
-
-
 def dataset_context(df: DataFrame, name: str, columns: list[str] | None = None) -> DataFrame:
     """One row (dataset, context): the subject area, and a note on numeric columns with unclear names."""
     columns = columns or df.columns
-    typed = detect_column_types(df, columns).where(F.col("type") == "numeric").orderBy("position").collect()
-    unclear = [r["column"] for r in typed if re.search(AMBIGUOUS_NAME, r["column"])][:AMBIGUOUS_SHOWN]
-    subject = domain_of(F.lit(f"{name} {' '.join(columns)}"))
-    parts = [subject]
-    if unclear:
-        ranges = df.agg(
-            *[F.min(numeric_of(df, c)).cast("double").alias(f"lo{i}") for i, c in enumerate(unclear)],
-            *[F.max(numeric_of(df, c)).cast("double").alias(f"hi{i}") for i, c in enumerate(unclear)],
-        )
-        described = [
-            F.concat(F.lit(f'"{c}" (numeric, range: '), format_large_number(F.col(f"lo{i}")), F.lit(" – "), format_large_number(F.col(f"hi{i}")), F.lit(")"))
-            for i, c in enumerate(unclear)
-        ]
-        parts.append(F.concat(F.lit("Note: columns "), F.concat_ws(", ", *described), F.lit(" may have abbreviated names from the source file.")))
-    else:
-        ranges = df.agg(F.count("*").alias("rows"))
-    return ranges.select(F.lit(name).alias("dataset"), F.concat_ws(" ", *parts).alias("context"))
+    text = context_text(name, columns, profile(df, columns))
+    return df.sparkSession.createDataFrame([(name, text)], "dataset string, context string")

@@ -79,3 +79,21 @@ WIDE_AGAINST = " ({percent} vs. period average)"
 WIDE_CHANGE = "From {first} to {latest}, values {moved} by {percent}% ({first_value} → {latest_value})."
 WIDE_LAST_CHANGE = "The most recent period-over-period change is {percent}."
 WIDE_SUMMARY_LEADER = 'Among {n} {groups} groups, "{top}" leads the latest period with {value} ({share}% share).'
+
+CHART_OVER_TIME = "{measure} Over {time}"
+CHART_BY = "{measure} by {category}"
+CHART_SHARE = "{measure} Share by {category}"
+CHART_RECORD_SHARE = "Record Distribution by {category}"
+CHART_TREND = "{measure} Trend"
+CHART_PAIR = "{x} vs {y}"
+CHART_RECORDS = "Records by {category}"
+CHART_DISTRIBUTION = "Distribution by {category}"
+CHART_TOTAL_OVER_TIME = "Total Over Time"
+CHART_VOLUME = "Volume Trend"
+CHART_PERIOD_BY = "{period} by {category}"
+CHART_PERIOD_SHARE = "{period} Share"
+CHART_LEADERS = "Top {category} Over Time"
+
+CONTEXT_NOTE = "Note: columns {columns} may have abbreviated names from the source file."
+CONTEXT_COLUMN = '"{name}" (numeric, range: {low} – {high})'
+NO_DATA = "No data to analyze."

@@ -19,8 +19,7 @@ from ..operators import facts as fx
 from ..operators import insights as ins
 from ..operators import profile as prof
 from ..operators import reshape as rs
-
-NO_DATA = "No data to analyze."
+from ..operators.wording import NO_DATA
 
 
 @dataclass
