@@ -255,13 +255,17 @@ def executive_summary_facts(spark, sf_dir):
 
 
 @register("insights_standard", EVENT, f"""
-WITH {EVENT_SUMS}, {RANKED}, three AS (SELECT SUM(total) AS s, string_agg('"' || name || '"', ', ' ORDER BY up) AS names FROM r WHERE up <= 3),
-  c AS (SELECT COUNT(*) AS m FROM event_facts)
-SELECT 0 AS position, '"' || name || '" dominates value — accounting for ' || {q.large_number('r.total')} || ' (' || {q.fixed('r.total / t.total * 100', 0)} || '% of total ' || {q.large_number('t.total')}
-  || '), averaging ' || {q.large_number('r.total / count')} || ' per record across ' || count || ' entries.' AS text, 'positive' AS type FROM r, t WHERE up = 1
-UNION ALL SELECT 1, '"' || b.name || '" has the lowest value at ' || {q.large_number('b.total')} || ' (' || b.count || ' records).', 'info' FROM r b WHERE down = 1
-UNION ALL SELECT 2, 'High concentration: ' || names || ' together hold ' || {q.fixed('s / t.total * 100', 0)} || '% of total value (' || {q.large_number('s')} || ' of ' || {q.large_number('t.total')}
-  || '). Remaining ' || (n - 3) || ' groups share the other ' || {q.fixed('100 - s / t.total * 100', 0)} || '%.', 'warning' FROM three, t WHERE n >= 5 AND s / t.total > 0.5""")
+WITH ty AS ({q.column_types('event_facts', EVENTS)}), pick AS (SELECT "column" AS c FROM ty WHERE type = 'numeric' ORDER BY position LIMIT 1),
+  g AS (SELECT event_type AS name, CAST(SUM(CASE WHEN (SELECT c FROM pick) = 'value' THEN CAST(value AS DECIMAL(18,2)) ELSE CAST(user_id AS DECIMAL(18,2)) END) AS DOUBLE) AS total, COUNT(*) AS count
+    FROM event_facts WHERE trim(event_type) <> '' GROUP BY 1),
+  {RANKED}, l AS (SELECT CASE c WHEN 'value' THEN 'value' ELSE 'user id' END AS what FROM pick),
+  three AS (SELECT SUM(total) AS s, string_agg('"' || name || '"', ', ' ORDER BY up) AS names FROM r WHERE up <= 3)
+SELECT 0 AS position, '"' || name || '" dominates ' || what || ' — accounting for ' || {q.large_number('r.total')} || ' (' || {q.fixed('r.total / t.total * 100', 0)} || '% of total ' || {q.large_number('t.total')}
+  || '), averaging ' || {q.large_number('r.total / count')} || ' per record across ' || count || ' entries.' AS text, 'positive' AS type FROM r, t, l WHERE up = 1
+UNION ALL SELECT 1, '"' || b.name || '" has the lowest ' || what || ' at ' || {q.large_number('b.total')} || ' (' || b.count || ' records)'
+  || CASE WHEN a.total / b.total > 2 THEN ' — ' || {q.fixed('a.total / b.total', 0)} || 'x less than the top performer' ELSE '' END || '.', 'info' FROM r b, r a, l WHERE b.down = 1 AND a.up = 1
+UNION ALL SELECT 2, 'High concentration: ' || names || ' together hold ' || {q.fixed('s / t.total * 100', 0)} || '% of total ' || what || ' (' || {q.large_number('s')} || ' of ' || {q.large_number('t.total')}
+  || '). Remaining ' || (n - 3) || ' groups share the other ' || {q.fixed('100 - s / t.total * 100', 0)} || '%.', 'warning' FROM three, t, l WHERE n >= 5 AND s / t.total > 0.5""")
 def insights_standard(spark, sf_dir):
     """The whole standard analysis; the wording of its category insights is compared."""
     found = analyze(kept_events(spark, sf_dir), "event_facts", ["event_id"]).insights
