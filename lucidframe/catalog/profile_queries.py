@@ -80,7 +80,7 @@ def upper_median_query(spark, sf_dir):
 
 
 @register("profile_top_values", ("line_facts",), f"""
-SELECT "column", rank, value, count FROM (
+SELECT "column", CAST(rank AS INTEGER) AS rank, value, count FROM (
   SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY count DESC, value) AS rank FROM ({q.frequencies('line_facts', LINES)}))
 WHERE rank <= 20""")
 def profile_top_values(spark, sf_dir):
@@ -92,7 +92,7 @@ LINE_ORDER = ["order_no", "_part", "_supp"]
 
 
 @register("profile_samples", ("line_facts",), q.union([f"""
-SELECT * FROM (SELECT '{c}' AS "column", row_number() OVER (ORDER BY order_no, _part, _supp, CAST({c} AS VARCHAR)) AS position, CAST({c} AS VARCHAR) AS value
+SELECT * FROM (SELECT '{c}' AS "column", CAST(row_number() OVER (ORDER BY order_no, _part, _supp, CAST({c} AS VARCHAR)) AS INTEGER) AS position, CAST({c} AS VARCHAR) AS value
   FROM line_facts WHERE NOT {q.missing(c)}) WHERE position <= 5""" for c in SAMPLED]))
 def profile_samples(spark, sf_dir):
     df = view(spark, sf_dir, "line_facts")

@@ -84,7 +84,7 @@ def table_shapes(detected: DataFrame, key: str = "doc_id") -> DataFrame:
     header = F.element_at("lines", F.col("header_at").cast("int"))
     rows = F.filter(_below_header(), lambda line: _is_row(line, F.col("pattern")))
     return detected.select(
-        key, F.size("lines").alias("line_count"), "separator", (F.col("header_at") - 1).alias("header_line"),
+        key, F.size("lines").alias("line_count"), "separator", (F.col("header_at") - 1).cast("int").alias("header_line"),
         F.when(F.col("separator").isNotNull(), F.array_join(_filled(header, F.col("pattern")), " / ")).alias("headers"),
         F.when(F.col("separator").isNotNull(), F.size(rows)).alias("row_count"),
     )
