@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, ngram_join, sql_text, url_filters
+from . import hamming_index, mixing, ngram_join, sql_text, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,3 +42,8 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(sql_text.mixed_rows())
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_to_weights(_table(spark, sf_dir, "documents"))
+
+
+@_query()
+def op5_hamming_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_index.nearest(_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
