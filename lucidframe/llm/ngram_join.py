@@ -32,7 +32,8 @@ PARTS_PER_DIFFERENCE = 1.25
 LARGEST = 1 << 40  # bands reach beyond any text
 
 _U = np.uint64
-_SKETCH = [f"sketch{i}" for i in range(4)]
+SKETCH_BITS = 1024
+_SKETCH = [f"sketch{i}" for i in range(SKETCH_BITS // 64)]
 
 
 def _tops() -> np.ndarray:
@@ -74,8 +75,8 @@ def signatures(features: np.ndarray) -> np.ndarray:
 
 
 def sketch(features: np.ndarray) -> np.ndarray:
-    """256 parities: two sets differ in at least as many features as their sketches in bits."""
-    odd = np.bincount((mix(features) & _U(255)).astype(np.int64), minlength=256) & 1
+    """Parities of hash buckets: two sets differ in at least as many features as their sketches in bits."""
+    odd = np.bincount((mix(features) & _U(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -88,14 +89,14 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = batch.num_rows
         sizes, digests = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        sketches, found = np.zeros((n, 4), np.int64), [np.zeros(0, np.uint64)] * n
+        sketches, found = np.zeros((n, len(_SKETCH)), np.int64), [np.zeros(0, np.uint64)] * n
         for row, features in shingle_sets(batch.column(1)):
             sizes[row] = len(features)
             if len(features):
                 digests[row], sketches[row], found[row] = set_digest(features), sketch(features), signatures(features)
         offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
         flat = np.concatenate(found).view(np.int64) if n else np.zeros(0, np.int64)
-        columns = [batch.column(0), pa.array(sizes), pa.array(digests)] + [pa.array(sketches[:, i]) for i in range(4)]
+        columns = [batch.column(0), pa.array(sizes), pa.array(digests)] + [pa.array(sketches[:, i]) for i in range(len(_SKETCH))]
         yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "n_shingles", "node", *_SKETCH, "signatures"])
 
 
