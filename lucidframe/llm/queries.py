@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hamming_index, mixing, ngram_join, sql_text, url_filters
+from . import hamming_index, mixing, ngram_join, packing, sql_text, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -47,3 +48,8 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op5_hamming_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming_index.nearest(_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
+@_query()
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
