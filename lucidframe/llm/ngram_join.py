@@ -8,9 +8,12 @@ digest of the features in such a part is a signature that both sets have. Per ba
 misses all of them with probability under 0.6 ** PARTS (1e-10). Sets up to `SMALL` features take
 single features instead (enough of them that two similar sets must share one), which is exact.
 
-Candidates of a signature are joined to one pivot per signature, compared by a lower bound of their
-difference, then by whole sets. Only where a signature still holds several components are the members
-outside its largest component compared with all others, so copies never meet in all pairs.
+A set takes part in two band pairs: as one of the larger band in its own, and as one of the smaller band in the
+next. Two sets of the smaller band meet in their own band pair, so here only pairs with one of the larger band count.
+
+The members of a signature are first paired with a few pivots, compared by a lower bound of their difference, then by
+whole sets. Only where a signature still holds several components are the members outside its largest component
+compared with all others, so copies never meet in all pairs.
 """
 
 from __future__ import annotations
@@ -62,16 +65,19 @@ def _part_signatures(features: np.ndarray, band: int) -> np.ndarray:
     return mix(np.add.reduceat(values, firsts) + part[firsts].astype(np.uint64) * _U(0x9E3779B97F4A7C15) + _U(band + 1))
 
 
-def signatures(features: np.ndarray) -> np.ndarray:
-    """All signatures of a sorted feature set: two sets with similarity >= 3/4 share one."""
+def signatures(features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of a sorted feature set in its own band pair and in the next one.
+
+    Two sets with similarity >= 3/4 share one that is at least one's own.
+    """
     n = len(features)
-    found = []
-    if n <= SMALL:
-        found.append(mix(features[: n - (3 * n + 3) // 4 + 1] ^ _U(0x5BF03635)) if n else features)
-    if 4 * (SMALL + 1) <= 4 * n * 4 // 3 + 4 and n:
+    own, following = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    if 0 < n <= SMALL:
+        own = mix(features[: n - (3 * n + 3) // 4 + 1] ^ _U(0x5BF03635))
+    if 4 * n >= 3 * (SMALL + 1):
         band = int(np.searchsorted(_TOPS, n))
-        found += [_part_signatures(features, band), _part_signatures(features, band + 1)]
-    return np.unique(np.concatenate(found)) if found else features
+        own, following = np.concatenate((own, _part_signatures(features, band))), _part_signatures(features, band + 1)
+    return own, following
 
 
 def sketch(features: np.ndarray) -> np.ndarray:
@@ -85,19 +91,23 @@ def set_digest(features: np.ndarray) -> int:
     return int(mix(np.array([total], dtype=np.uint64)).view(np.int64)[0])
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([_NONE, *arrays]).view(np.int64)))
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = batch.num_rows
         sizes, digests = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        sketches, found = np.zeros((n, len(_SKETCH)), np.int64), [np.zeros(0, np.uint64)] * n
+        sketches, own, following = np.zeros((n, len(_SKETCH)), np.int64), [_NONE] * n, [_NONE] * n
         for row, features in shingle_sets(batch.column(1)):
             sizes[row] = len(features)
             if len(features):
-                digests[row], sketches[row], found[row] = set_digest(features), sketch(features), signatures(features)
-        offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
-        flat = np.concatenate(found).view(np.int64) if n else np.zeros(0, np.int64)
+                digests[row], sketches[row] = set_digest(features), sketch(features)
+                own[row], following[row] = signatures(features)
         columns = [batch.column(0), pa.array(sizes), pa.array(digests)] + [pa.array(sketches[:, i]) for i in range(len(_SKETCH))]
-        yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "n_shingles", "node", *_SKETCH, "signatures"])
+        yield pa.RecordBatch.from_arrays([*columns, _lists(own), _lists(following)], ["doc_id", "n_shingles", "node", *_SKETCH, "own", "following"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +139,6 @@ def _may_link(x: str, y: str) -> Column:
 
 def _links(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of set digests whose whole sets are similar enough."""
-    pairs = written(pairs)
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = nodes.join(classes, "node").select(F.col("rep").alias("doc_id")).distinct()
     sets = texts.join(wanted, "doc_id").select("text").mapInArrow(_sets, "node long, features binary").join(nodes, "node", "left_semi").dropDuplicates(["node"])
@@ -147,29 +156,33 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nothing. Other columns are not looked at. An empty table gives no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = written(texts.mapInArrow(_describe, "doc_id long, n_shingles long, node long, " + ", ".join(f"{s} long" for s in _SKETCH) + ", signatures array<long>"))
+    described = written(texts.mapInArrow(_describe, "doc_id long, n_shingles long, node long, " + ", ".join(f"{s} long" for s in _SKETCH) + ", own array<long>, following array<long>"))
     filled = described.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = written(filled.groupBy("node").agg(F.min("doc_id").alias("rep"), *(F.min(c).alias(c) for c in ["n_shingles", *_SKETCH])))
 
-    signed = filled.select("node", F.explode("signatures").alias("signature"))
-    shared = signed.groupBy("signature").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot <> last").drop("last")
-    members = written(signed.join(shared, "signature").distinct())
+    signed = filled.select("node", F.lit(1).alias("larger"), F.explode("own").alias("signature"))
+    signed = signed.unionByName(filled.select("node", F.lit(0).alias("larger"), F.explode("following").alias("signature")))
+    shared = signed.groupBy("signature").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.max("larger").alias("largest")).where("first <> last AND largest = 1")
+    members = written(signed.join(shared.select("signature"), "signature").distinct())
 
     described_as = lambda side: classes.select(F.col("node").alias(side), F.struct("n_shingles", *_SKETCH).alias(f"of_{side}"))
-    stars = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    stars = stars.join(described_as("b"), "b").join(described_as("a"), "a").where(_may_link("of_a", "of_b")).select("a", "b")
+    nearest = [F.min(F.col("node").bitwiseXOR(F.lit(p))).bitwiseXOR(F.lit(p)) for p in PIVOTS]
+    pivots = members.where("larger = 1").groupBy("signature").agg(F.array_distinct(F.array(*nearest)).alias("pivots"))
+    stars = members.join(pivots, "signature").select("node", F.explode("pivots").alias("pivot")).where("node <> pivot")
+    stars = stars.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    stars = written(stars.join(described_as("b"), "b").join(described_as("a"), "a").where(_may_link("of_a", "of_b")).select("a", "b"))
     links = written(_links(texts, classes, stars))
 
     labels = components(links)
-    labelled = members.select("signature", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = labelled.groupBy("signature", "component").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("signature").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
     rows = written(labelled.join(mixed, "signature").join(described_as("node"), "node"))
     x, y = rows.where("component <> main").alias("x"), rows.alias("y")
-    apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
+    apart = (F.col("x.larger") + F.col("y.larger") > 0) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
     crossed = x.join(y, (F.col("x.signature") == F.col("y.signature")) & apart & _may_link("x.of_node", "y.of_node"))
     crossed = crossed.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    crossed = crossed.join(stars, ["a", "b"], "left_anti")
+    crossed = written(crossed.join(stars, ["a", "b"], "left_anti"))
     links = written(links.union(_links(texts, classes, crossed)))
 
     reps = classes.select("node", "rep")

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import fingerprints, hamming_index, mixing, ngram_join, packing, sql_text, toxicity, url_filters
+from . import fingerprints, hamming_index, language_id, mixing, ngram_join, packing, pseudonyms, secret_scans, sql_text, toxicity, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -63,3 +64,25 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query(sql_text.secrets())
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = secret_scans.scan_documents(_table(spark, sf_dir, "documents"))
+    found = F.col("found")
+    count = lambda kind: F.size(F.filter(found, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter(found, lambda x: x["n"] < len(secret_scans.BASE_RULES))
+    return scanned.select("doc_id", *(count(rule.kind) for rule in secret_scans.BASE_RULES), F.sha2(secret_scans.written_spans(base), 256).alias("base_sha256"), secret_scans.written_spans(found).alias("spans"))
+
+
+@_query()
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_pages(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+
+
+PSEUDONYM_KEY = b"a key of the test tables"
+
+
+@_query()
+def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymise(_table(spark, sf_dir, "documents"), PSEUDONYM_KEY)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, secret_scans
 from .url_filters import ADDRESS, LOWER, UPPER
 
 
@@ -63,3 +63,27 @@ rows AS MATERIALIZED (
 chances AS (SELECT source, lang, topic, least(weight / tokens, 1.0) AS chance FROM raked)
 SELECT doc_id, source, lang, topic, tokens::BIGINT AS tokens, round(coalesce(chance, 0.0), 9) AS probability, draw < coalesce(chance, 0.0) AS kept
 FROM rows LEFT JOIN chances USING (source, lang, topic)"""
+
+
+def _spans(n: int, rule: secret_scans.Rule) -> str:
+    """List of (start, n, end, kind) of one rule's matches in t."""
+    pattern = rule.pattern.replace("'", "''")
+    before = "coalesce(list_sum(list_transform({}, lambda x: length(x))), 0)"
+    return (
+        f"(SELECT list_filter(list_transform(range(1, len(m) + 1), lambda i: {{'start': ({before.format('p[1:i]')} + {before.format('m[1:i-1]')})::BIGINT, 'n': {n}, "
+        f"'end': ({before.format('p[1:i]')} + {before.format('m[1:i]')})::BIGINT, 'kind': '{rule.kind}', 'long': length(v[i])}}), lambda s: s.long >= {rule.least}) "
+        f"FROM (SELECT string_split_regex(t, '{pattern}') AS p, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {rule.group}) AS v))"
+    )
+
+
+def secrets(rules: list[secret_scans.Rule] = secret_scans.RULES, source: str = "documents") -> str:
+    """doc_id, counts, digest and list of the spans of every row of a table."""
+    lists = " || ".join(_spans(n, rule) for n, rule in enumerate(rules))
+    written = lambda found: f"array_to_string(list_transform({found}, lambda s: s.kind || ':' || s.start || ':' || s.\"end\"), ',')"
+    base = f"list_filter(found, lambda s: s.n < {sum(rule.base for rule in rules)})"
+    counts = ", ".join(f"len(list_filter(found, lambda s: s.kind = '{rule.kind}'))::BIGINT AS n_{rule.kind}" for rule in rules if rule.base)
+    return f"""
+WITH texts AS (SELECT doc_id, coalesce("text", '') AS t FROM {source}),
+scanned AS (SELECT doc_id, list_sort({lists}) AS found FROM texts)
+SELECT doc_id, {counts}, sha256({written(base)}) AS base_sha256, {written('found')} AS spans
+FROM scanned"""
