@@ -34,7 +34,10 @@ PARTS = 48
 PARTS_PER_DIFFERENCE = 1.25
 LARGEST = 1 << 40  # bands reach beyond any text
 
+PIVOTS = [0, -1, 0x3C6EF372FE94F82B, -0x4AB325AA0D1B5C71]  # a pivot is the member next to each of these numbers
+
 _U = np.uint64
+_NONE = np.zeros(0, np.uint64)
 SKETCH_BITS = 1024
 _SKETCH = [f"sketch{i}" for i in range(SKETCH_BITS // 64)]
 

@@ -10,6 +10,7 @@ count rises and the block is packed again.
 from __future__ import annotations
 
 import heapq
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -20,11 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .words import text_slices, word_bounds, word_digests
+from .words import digests_of, text_slices, word_bounds
 
 CAPACITY = 4096
 BLOCK_PIECES = 512  # memory of a task: so many pieces of at most a window each
-CACHED_WORDS = 400_000
+CACHED_WORDS = 2_000_000  # a worker's words, about 80 MB; beyond that it starts anew
+MARK = "\x01"
 
 
 def difference(sizes: np.ndarray, windows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,54 +83,75 @@ class WordIds:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already use all cores
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.normalizer is None or self.tokenizer.normalizer.normalize_str("A") != "a":
             raise ValueError(f"{path} doesn't lower-case")
+        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[int, int] = {}
-        self.flat, self.starts, self.used = np.zeros(1 << 16, np.uint32), [0], 0
-
-    def _learn(self, digests: list[int], words: list[str]) -> None:
-        for digest, encoded in zip(digests, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            ids = encoded.ids
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.place[digest] = len(self.starts) - 1
-            self.starts.append(self.used)
+        self.known = np.zeros(0, np.uint64)  # digests of the words learned, in order
+        self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words side by side, and the number of ids of each.
+
+        One call for all: the words are parted by a mark that is a token of its own. Words that hold the mark go one by one.
+        """
+        if len(self.mark) == 1 and not any(MARK.encode() in word for word in words):
+            text = f" {MARK} ".join(word.decode() for word in words)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            marks = np.flatnonzero(ids == self.mark[0])
+            if len(marks) == len(words) - 1:
+                return np.delete(ids, marks), np.diff(np.concatenate(([-1], marks, [len(ids)]))) - 1
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([word.decode() for word in words], add_special_tokens=False)]
+        return np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found])
 
     def __call__(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         """(row, ids) of every text in order."""
         for first, data, offsets in text_slices(column):
-            digests, before = word_digests(data, offsets)
-            distinct, sample, which = np.unique(digests, return_index=True, return_inverse=True)
-            if len(self.place) > CACHED_WORDS:
+            starts, ends, before = word_bounds(data, offsets)
+            distinct, sample, which = np.unique(digests_of(data, starts, ends), return_index=True, return_inverse=True)
+            if len(self.known) > CACHED_WORDS:
                 self.forget()
-            keys = distinct.tolist()
-            new = [i for i, key in enumerate(keys) if key not in self.place]
-            if new:
-                starts, ends, _ = word_bounds(data, offsets)
+            places = np.searchsorted(self.known, distinct)
+            new = np.ones(len(distinct), bool)
+            inside = places < len(self.known)
+            new[inside] = self.known[places[inside]] != distinct[inside]
+            if new.any():
                 raw = data.tobytes()
-                self._learn([keys[i] for i in new], [raw[starts[j] : ends[j]].decode() for j in sample[new].tolist()])
-            places = np.fromiter((self.place[key] for key in keys), np.int64, len(keys))[which]
-            begins = np.array(self.starts)
-            lengths = (begins[1:] - begins[:-1])[places]
+                ids, lengths = self._encoded([raw[starts[j] : ends[j]] for j in sample[new].tolist()])
+                begins = len(self.flat) + np.concatenate(([0], np.cumsum(lengths)[:-1]))
+                at = places[new]
+                self.flat = np.concatenate((self.flat, ids))
+                self.known, self.starts, self.lengths = np.insert(self.known, at, distinct[new]), np.insert(self.starts, at, begins), np.insert(self.lengths, at, lengths)
+                places = np.searchsorted(self.known, distinct)
+            words = places[which]
+            lengths = self.lengths[words]
             until = np.concatenate(([0], np.cumsum(lengths)))
-            ids = self.flat[np.arange(until[-1]) + np.repeat(begins[places] - until[:-1], lengths)]
+            ids = self.flat[np.arange(until[-1]) + np.repeat(self.starts[words] - until[:-1], lengths)]
             for row in range(len(offsets) - 1):
                 yield first + row, ids[until[before[row]] : until[before[row + 1]]]
 
 
+_LEARNED: dict[str, WordIds] = {}  # a worker's tasks share the words they have learned
+
+
+def word_ids(path: str) -> WordIds:
+    if path not in _LEARNED:
+        _LEARNED[path] = WordIds(path)
+    return _LEARNED[path]
+
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
 def _packer(path: str, end_id: int, capacity: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordIds(path)
+        encode = word_ids(path)
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 32
         open_pieces: list[list] = []

@@ -71,14 +71,19 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 def word_digests(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A digest of every word, and per row the number of words before it."""
     starts, ends, before = word_bounds(data, offsets)
+    return digests_of(data, starts, ends), before
+
+
+def digests_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A digest of the lower-cased bytes of every word."""
     if len(starts) == 0:
-        return np.zeros(0, np.uint64), before
+        return np.zeros(0, np.uint64)
     lengths = ends - starts
     firsts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     place = np.arange(int(lengths.sum())) - np.repeat(firsts, lengths)
     values = _LOWER[data[place + np.repeat(starts, lengths)]].astype(np.uint64) + _U(1)
     values *= _powers(int(lengths.max()))[place]
-    return mix(np.add.reduceat(values, firsts)), before
+    return mix(np.add.reduceat(values, firsts))
 
 
 def shingle_sets(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray]]:
