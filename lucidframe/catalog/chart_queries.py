@@ -13,7 +13,7 @@ from ..plans.analyzer import analyze, refine
 from . import sql_text as q
 from .profile_queries import EVENTS, LINES, events, kept_events, kept_lines, lines
 from .registry import register, view
-from .views import load
+from .views import read
 
 LINE = ("line_facts",)
 EVENT = ("event_facts",)
@@ -64,9 +64,17 @@ def pie_share(spark, sf_dir):
     return ch.shares(groups, "event_type", "value").withColumn("share", F.round("share", 6))
 
 
+@register("pie_share_of_all", EVENT, f"WITH {USER_SUMS} SELECT name, total AS value, ROUND(total / (SELECT SUM(total) FROM g), 6) AS share FROM g ORDER BY total DESC, name LIMIT 30")
+def pie_share_of_all(spark, sf_dir):
+    """The largest of many groups, each as a part of the total of all."""
+    df = events(spark, sf_dir)
+    groups = ch.largest_groups(df, "user_id", ["value"])
+    return ch.shares(groups, "user_id", "value", ch.group_sums(df, "user_id", ["value"])).withColumn("share", F.round("share", 6))
+
+
 @register("pie_record_counts", (), "SELECT source AS name, COUNT(*) AS value FROM documents GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8")
 def pie_record_counts(spark, sf_dir):
-    documents = load(spark, sf_dir, "documents")
+    documents = read(spark, sf_dir, "documents")
     return ch.record_counts(documents, "source", ch.PIE_RECORDS)
 
 
@@ -75,9 +83,9 @@ def bar_second_category(spark, sf_dir):
     return ch.largest_groups(lines(spark, sf_dir), "line_status", ["discount"])
 
 
-@register("area_over_time", LINE, "SELECT CAST(ship_date AS VARCHAR) AS ship_date, CAST(SUM(discount) AS DOUBLE) AS discount FROM line_facts GROUP BY 1 ORDER BY 1 LIMIT 30")
+@register("area_over_time", LINE, "SELECT CAST(ship_date AS VARCHAR) AS ship_date, CAST(SUM(discount) AS DOUBLE) AS discount FROM line_facts GROUP BY 1 ORDER BY 1")
 def area_over_time(spark, sf_dir):
-    return ch.time_series(lines(spark, sf_dir), "ship_date", ["discount"], ch.GROUPS)
+    return ch.time_series(lines(spark, sf_dir), "ship_date", ["discount"])
 
 
 @register("scatter_points", LINE, """
@@ -103,7 +111,7 @@ def pearson_strength(spark, sf_dir):
 
 @register("records_by_category", (), "SELECT source AS name, COUNT(*) AS value FROM documents GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15")
 def records_by_category(spark, sf_dir):
-    documents = load(spark, sf_dir, "documents")
+    documents = read(spark, sf_dir, "documents")
     return ch.record_counts(documents, "source", ch.BARS)
 
 

@@ -8,7 +8,7 @@ from ..functions.coerce import col_of, currency_number, percent_number
 from ..operators import cleaning, dedup
 from . import sql_text as q
 from .registry import register, view
-from .views import load
+from .views import read
 
 DIRTY = ("dirty_customers",)
 COLUMNS = ["c_custkey", "segment", "balance_text", "rate_text", "note", "balance"]
@@ -81,7 +81,7 @@ def normalize_text_report(spark, sf_dir):
 @register("normalize_documents", (), f"SELECT doc_id, {q.squeeze('text')} AS text FROM documents")
 def normalize_documents(spark, sf_dir):
     """The whitespace step over whole document texts."""
-    documents = load(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
     return cleaning.normalize_text(documents)
 
 

@@ -12,7 +12,7 @@ from ..operators import profile
 from ..operators.order_statistics import lower_quartile, order_statistics, upper_median, upper_quartile
 from . import sql_text as q
 from .registry import register, view
-from .views import load
+from .views import read
 
 EVENTS = ["event_id", "event_day", "event_type", "value", "user_id"]
 LINES = ["order_no", "ship_date", "return_flag", "line_status", "quantity", "price", "discount", "tax"]
@@ -44,7 +44,7 @@ def kept_events(spark, sf_dir):
 
 
 def documents(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select(*DOCUMENTS)
+    return read(spark, sf_dir, "documents").select(*DOCUMENTS)
 
 
 def _profiled(source: str, columns: list[str]) -> str:
@@ -75,7 +75,7 @@ def upper_median_query(spark, sf_dir):
     df = kept_events(spark, sf_dir)
     names = ["value", "user_id", "event_id"]
     stats = order_statistics(df, {c: col_of(c) for c in names}, {"q1": lower_quartile, "median": upper_median, "q3": upper_quartile})
-    rows = [(c, s["n"], s["q1"], s["median"], s["q3"]) for c, s in stats.items()]
+    rows = [(c, s["n"], *(float(s[p]) for p in ("q1", "median", "q3"))) for c, s in stats.items()]
     return spark.createDataFrame(rows, "column string, n bigint, q1 double, median double, q3 double")
 
 

@@ -20,34 +20,39 @@ DEDUPED_SQL = """deduped AS (
       ORDER BY infra_year DESC NULLS LAST, completion_year DESC NULLS LAST, _order, _part, _supp) AS rn
     FROM projects_raw) WHERE rn = 1)"""
 
-CLEAN_SQL = DEDUPED_SQL + """, projects AS (
-  SELECT
-    COALESCE(TRIM(project_id), 'UNK-' || md5(concat_ws('|', COALESCE(contract_id, '\\N'), CAST(_order AS VARCHAR), CAST(_part AS VARCHAR), CAST(_supp AS VARCHAR)))) AS project_id,
-    COALESCE(TRIM(contract_id), '') AS contract_id,
-    COALESCE(TRIM(region), 'Unknown Region') AS region,
-    COALESCE(TRIM(province), 'Unknown Province') AS province,
-    COALESCE(TRIM(municipality), 'Unknown Municipality') AS municipality,
-    COALESCE(TRIM(project_description), 'No Description') AS project_description,
-    COALESCE(TRIM(type_of_work), 'Unclassified') AS type_of_work,
-    COALESCE(TRIM(infra_type), 'Unclassified') AS infra_type,
-    COALESCE(TRIM(program), '') AS program,
-    CAST(COALESCE(abc, 0) AS DOUBLE) AS abc,
-    CAST(COALESCE(contract_cost, 0) AS DOUBLE) AS contract_cost,
-    CAST(COALESCE(abc, 0) - COALESCE(contract_cost, 0) AS DOUBLE) AS cost_savings,
-    CAST(COALESCE(infra_year, 0) AS INTEGER) AS infra_year,
-    CAST(COALESCE(completion_year, 0) AS INTEGER) AS completion_year,
-    COALESCE(TRIM(funding_year), '') AS funding_year,
-    COALESCE(TRIM(start_date), '') AS start_date,
-    COALESCE(TRIM(completion_date_actual), '') AS completion_date_actual,
-    completion_date_original,
-    COALESCE(TRY_CAST(completion_date_actual AS DATE) > CAST(EPOCH_MS(completion_date_original) AS DATE), FALSE) AS is_delayed,
-    CAST(DATE_DIFF('day', TRY_CAST(start_date AS DATE), TRY_CAST(completion_date_actual AS DATE)) AS BIGINT) AS duration_days,
-    COALESCE(TRIM(contractor), 'Unknown Contractor') AS contractor,
-    COALESCE(TRIM(implementing_office), '') AS implementing_office,
-    COALESCE(TRIM(district_engineering_office), '') AS district_engineering_office,
-    COALESCE(TRIM(legislative_district), '') AS legislative_district,
-    longitude, latitude
-  FROM deduped)"""
+# What a missing text becomes, and the numbers a missing one turns into zero.
+_TEXT_DEFAULTS = {
+    "region": "Unknown Region", "province": "Unknown Province", "municipality": "Unknown Municipality", "contractor": "Unknown Contractor",
+    "project_description": "No Description", "type_of_work": "Unclassified", "infra_type": "Unclassified",
+    **dict.fromkeys(["contract_id", "program", "funding_year", "start_date", "completion_date_actual", "implementing_office", "district_engineering_office", "legislative_district"], ""),
+}
+_ZERO_DEFAULTS = {"abc": "DOUBLE", "contract_cost": "DOUBLE", "infra_year": "INTEGER", "completion_year": "INTEGER"}
+_DONE, _START = "TRY_CAST(completion_date_actual AS DATE)", "TRY_CAST(start_date AS DATE)"
+_DUE = "CAST(EPOCH_MS(completion_date_original) AS DATE)"
+_SAVED = "ifnull(abc, 0) - ifnull(contract_cost, 0)"
+_KEY = "concat_ws('|', ifnull(contract_id, '\\N'), _order::VARCHAR, _part::VARCHAR, _supp::VARCHAR)"
+
+
+def _text(name: str) -> str:
+    return f"ifnull(trim({name}), '{_TEXT_DEFAULTS[name]}') AS {name}"
+
+
+_CLEAN_COLUMNS = [
+    f"ifnull(trim(project_id), 'UNK-' || md5({_KEY})) AS project_id",
+    *[_text(name) for name in _TEXT_DEFAULTS],
+    *[f"ifnull({name}, 0)::{kind} AS {name}" for name, kind in _ZERO_DEFAULTS.items()],
+    f"({_SAVED})::DOUBLE AS cost_savings",
+    f"ifnull({_DONE} > {_DUE}, FALSE) AS is_delayed",
+    f"date_diff('day', {_START}, {_DONE})::BIGINT AS duration_days",
+    "completion_date_original", "longitude", "latitude",
+]
+CLEAN_SQL = f"{DEDUPED_SQL}, projects AS (SELECT {', '.join(_CLEAN_COLUMNS)} FROM deduped)"
+
+
+def _nulls(columns: dict[str, str], source: str) -> str:
+    """Counts of null cells under the given names."""
+    return ", ".join(f"COUNT(*) FILTER (WHERE {c} IS NULL) AS {name}" for name, c in columns.items()) + f" FROM {source}"
+
 
 COST = "CAST(SUM(CAST(contract_cost AS DECIMAL(18,2))) AS DOUBLE)"
 AVERAGE = f"{COST} / COUNT(contract_cost)"
@@ -74,19 +79,15 @@ def on_deduped(name: str, sql: str):
     return register(name, RAW, "WITH " + DEDUPED_SQL + sql)
 
 
-@register("audit_nulls", RAW, """
-SELECT COUNT(*) AS total_rows, COUNT(*) - COUNT(region) AS region_nulls, COUNT(*) - COUNT(province) AS province_nulls,
-  COUNT(*) - COUNT(contract_cost) AS cost_nulls, COUNT(*) - COUNT(contractor) AS contractor_nulls,
-  COUNT(*) - COUNT(type_of_work) AS type_nulls
-FROM projects_raw""")
+_AUDITED = {"region_nulls": "region", "province_nulls": "province", "cost_nulls": "contract_cost", "contractor_nulls": "contractor", "type_nulls": "type_of_work"}
+
+
+@register("audit_nulls", RAW, f"SELECT COUNT(*) AS total_rows, {_nulls(_AUDITED, 'projects_raw')}")
 def audit_nulls(spark, sf_dir):
     return audit.null_counts(raw(spark, sf_dir))
 
 
-@register("audit_duplicates", RAW, """
-SELECT COUNT(*) AS duplicate_rows FROM (
-  SELECT row_number() OVER (PARTITION BY project_id, contract_id ORDER BY infra_year DESC) AS rn FROM projects_raw)
-WHERE rn > 1""")
+@register("audit_duplicates", RAW, "SELECT COUNT(*) - COUNT(DISTINCT {'p': project_id, 'c': contract_id}) AS duplicate_rows FROM projects_raw")
 def audit_duplicates(spark, sf_dir):
     return audit.duplicate_count(raw(spark, sf_dir), records.RECORD_KEY)
 
@@ -113,18 +114,15 @@ def clean_projects(spark, sf_dir):
     return clean(spark, sf_dir)
 
 
-@register("clean_defaults", RAW, """
-SELECT _order, _part, _supp, contract_id AS raw_contract_id,
-  COALESCE(TRIM(region), 'Unknown Region') AS region, COALESCE(TRIM(province), 'Unknown Province') AS province,
-  COALESCE(TRIM(type_of_work), 'Unclassified') AS type_of_work, COALESCE(TRIM(contractor), 'Unknown Contractor') AS contractor,
-  COALESCE(TRIM(funding_year), '') AS funding_year, COALESCE(TRIM(start_date), '') AS start_date
-FROM projects_raw""")
+_SHOWN = ["region", "province", "type_of_work", "contractor", "funding_year", "start_date", "municipality", "project_description", "infra_type", "program", "implementing_office"]
+
+
+@register("clean_defaults", RAW, f"SELECT _order, _part, _supp, contract_id AS raw_contract_id, {', '.join(map(_text, _SHOWN))} FROM projects_raw")
 def clean_defaults(spark, sf_dir):
-    names = ["region", "province", "type_of_work", "contractor", "funding_year", "start_date"]
     return raw(spark, sf_dir).select(
         *TIE,
         F.col("contract_id").alias("raw_contract_id"),
-        *[records.text_or(F.col(n), records.DEFAULTS[n]).alias(n) for n in names],
+        *[records.text_or(F.col(n), records.DEFAULTS[n]).alias(n) for n in _SHOWN],
     )
 
 
@@ -143,36 +141,27 @@ def surrogate_key_counts(spark, sf_dir):
     )
 
 
-@register("cost_savings", RAW, """
-SELECT _order, _part, _supp, contract_id, COALESCE(abc, 0) - COALESCE(contract_cost, 0) AS cost_savings FROM projects_raw""")
+@register("cost_savings", RAW, f"SELECT _order, _part, _supp, contract_id, {_SAVED} AS cost_savings FROM projects_raw")
 def cost_savings(spark, sf_dir):
     return raw(spark, sf_dir).select(*TIE, "contract_id", records.cost_savings().alias("cost_savings"))
 
 
-@register("delay_flag", RAW, """
-SELECT _order, _part, _supp, contract_id, CASE
-    WHEN completion_date_original IS NOT NULL AND TRY_CAST(completion_date_actual AS DATE) IS NOT NULL
-      AND TRY_CAST(completion_date_actual AS DATE) > CAST(EPOCH_MS(completion_date_original) AS DATE)
-    THEN TRUE ELSE FALSE END AS is_delayed
-FROM projects_raw""")
+@register("delay_flag", RAW, f"SELECT _order, _part, _supp, contract_id, ifnull({_DONE} > {_DUE}, FALSE) AS is_delayed FROM projects_raw")
 def delay_flag(spark, sf_dir):
     return raw(spark, sf_dir).select(*TIE, "contract_id", records.is_delayed().alias("is_delayed"))
 
 
-@register("duration_days", RAW, """
-SELECT _order, _part, _supp, contract_id,
-  CAST(DATE_DIFF('day', TRY_CAST(start_date AS DATE), TRY_CAST(completion_date_actual AS DATE)) AS BIGINT) AS duration_days
-FROM projects_raw""")
+@register("duration_days", RAW, f"SELECT _order, _part, _supp, contract_id, date_diff('day', {_START}, {_DONE})::BIGINT AS duration_days FROM projects_raw")
 def duration_days(spark, sf_dir):
     return raw(spark, sf_dir).select(*TIE, "contract_id", records.duration_days().alias("duration_days"))
 
 
-@on_clean("validate_core_fields", """
-SELECT *, r = 0 AND p = 0 AND d = 0 AND t = 0 AND c = 0 AS passed,
-  CASE WHEN r = 0 AND p = 0 AND d = 0 AND t = 0 AND c = 0 THEN 'PASS' ELSE 'WARN' END AS status
-FROM (SELECT COUNT(*) - COUNT(region) AS r, COUNT(*) - COUNT(province) AS p, COUNT(*) - COUNT(project_description) AS d,
-  COUNT(*) - COUNT(type_of_work) AS t, COUNT(*) - COUNT(contractor) AS c FROM projects)
-""".replace("SELECT *,", "SELECT r AS region_nulls, p AS province_nulls, d AS project_description_nulls, t AS type_of_work_nulls, c AS contractor_nulls,"))
+_CORE = {f"{c}_nulls": c for c in ("region", "province", "project_description", "type_of_work", "contractor")}
+
+
+@on_clean("validate_core_fields", f"""
+SELECT * EXCLUDE (missing), missing = 0 AS passed, if(missing = 0, 'PASS', 'WARN') AS status
+FROM (SELECT *, {' + '.join(_CORE)} AS missing FROM (SELECT {_nulls(_CORE, 'projects')}))""")
 def validate_core_fields(spark, sf_dir):
     return audit.validate_no_nulls(clean(spark, sf_dir))
 

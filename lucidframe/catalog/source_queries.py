@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..sources import grids, normalize, text_tables
 from . import sql_text as q
 from .registry import register, view
-from .views import load
+from .views import read
 
 MEMOS = ("order_memos",)
 GRID = ("cell_grid",)
@@ -65,7 +65,7 @@ SELECT doc_id, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, header,
 
 
 def documents(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", "text")
+    return read(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 @register("text_table_detect", MEMOS, _shapes_sql("order_memos"))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import shared_folder
 from ..streaming import running
 from .registry import register
 
@@ -21,8 +20,7 @@ def event_stream(spark, sf_dir):
 @register("stream_running_totals", (), """
 SELECT CAST(ts AS DATE) AS event_day, event_type, CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total, CAST(COUNT(*) AS BIGINT) AS count FROM events GROUP BY 1, 2""")
 def stream_running_totals(spark, sf_dir):
-    # The cluster's shared folder; only a session without one, as on a laptop, gets its own.
-    folder = f"{ensure_checkpoint_dir(spark, f'{tempfile.gettempdir()}/checkpoints')}/running-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/running-{uuid.uuid4().hex}"
     keys = ["event_day", "event_type"]
     running.keep_totals(event_stream(spark, sf_dir), keys, "value", f"{folder}/totals", f"{folder}/checkpoint").awaitTermination()
     return running.read_totals(spark, f"{folder}/totals", keys).withColumn("total", F.col("total").cast("double"))

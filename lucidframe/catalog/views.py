@@ -171,9 +171,6 @@ VIEWS = {
     "sparse_orders": SPARSE_ORDERS,
 }
 
-# Tables whose rows carry the work of a view; the others are looked up.
-SPREAD = {"lineitem", "orders", "events", "documents"}
-
 _EXPLODE = {"spark": "explode(array(0, 1, 2, 3, 4, 5))", "duckdb": "unnest([0, 1, 2, 3, 4, 5])"}
 
 
@@ -186,23 +183,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spread(read(spark, sf_dir, table))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a table too small to be split, dealt out to all cores.
-
-    A file with one row group is read by one task, and all narrow work on it
-    would stay in that task. Input with as many splits as cores is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = _dialect(VIEWS[name], "spark")
-    used = {t: (load if t in SPREAD else read)(spark, sf_dir, t) for t in set(re.findall(r"\{(\w+)\}", text))}
+    used = {t: read(spark, sf_dir, t) for t in set(re.findall(r"\{(\w+)\}", text))}
     return spark.sql(text, **used)
 
 

@@ -47,9 +47,12 @@ def time_series(df: DataFrame, time: str, measures: list[str], k: int | None = N
     return ordered if k is None else ordered.limit(k)
 
 
-def shares(groups: DataFrame, name: str, value: str) -> DataFrame:
-    """(name, value, share): each group's part of the total, for a table of a few groups."""
-    whole = groups.agg(F.sum(col_of(value)).alias("t")).select("t")
+def shares(groups: DataFrame, name: str, value: str, of: DataFrame | None = None) -> DataFrame:
+    """(name, value, share): each group's part of the total of `of`, by default of the groups themselves.
+
+    Hand in all groups as `of` where `groups` are the largest ones only.
+    """
+    whole = (groups if of is None else of).agg(F.sum(col_of(value)).alias("t")).select("t")
     return groups.select(
         col_of(name).alias("name"), col_of(value).alias("value"), F.try_divide(col_of(value), whole.scalar()).alias("share")
     )
@@ -135,7 +138,7 @@ def recommend_charts(df: DataFrame, profile: prof.Profile, order_by: list[str] |
     timed = bool(time and numbers) and groups[time.name] > 1 and counts["timed"] >= profile.rows * LEAST_TIME_SHARE
     if timed:
         measures = [c.name for c in numbers[:TIME_MEASURES]]
-        charts.append(Chart("line", w.CHART_OVER_TIME.format(measure=numbers[0].label, time=time.label), time.name, measures, time_series(df, time.name, measures, GROUPS)))
+        charts.append(Chart("line", w.CHART_OVER_TIME.format(measure=numbers[0].label, time=time.label), time.name, measures, time_series(df, time.name, measures)))
 
     if good and numbers and groups[good[0].name] >= 2:
         category, measure, n = good[0], numbers[0], groups[good[0].name]
@@ -144,7 +147,7 @@ def recommend_charts(df: DataFrame, profile: prof.Profile, order_by: list[str] |
             Chart(kind, w.CHART_BY.format(measure=measure.label, category=category.label), category.name, [measure.name], largest_groups(df, category.name, [measure.name], _bar_rows(kind)))
         )
         if n <= PIE_GROUPS:
-            data = shares(largest_groups(df, category.name, [measure.name]), category.name, measure.name)
+            data = shares(largest_groups(df, category.name, [measure.name]), category.name, measure.name, group_sums(df, category.name, [measure.name]))
             charts.append(Chart("pie", w.CHART_SHARE.format(measure=measure.label, category=category.label), category.name, [measure.name], data))
         elif len(category.top) >= 2:
             charts.append(Chart("pie", w.CHART_RECORD_SHARE.format(category=category.label), "name", ["value"], record_counts(df, category.name, PIE_RECORDS)))
@@ -158,7 +161,7 @@ def recommend_charts(df: DataFrame, profile: prof.Profile, order_by: list[str] |
 
     if timed and len(numbers) > 1:
         measure = numbers[1]
-        charts.append(Chart("area", w.CHART_TREND.format(measure=measure.label), time.name, [measure.name], time_series(df, time.name, [measure.name], GROUPS)))
+        charts.append(Chart("area", w.CHART_TREND.format(measure=measure.label), time.name, [measure.name], time_series(df, time.name, [measure.name])))
 
     if pair and counts["pairs"] > LEAST_POINTS:
         x, y = numbers[0], numbers[1]

@@ -27,9 +27,6 @@ STEPS = (
     "Normalize text", "Clean categoricals", "Clean numbers",
 )
 
-# A variant map up to this many rows is broadcast; a larger one is joined by a salted shuffle.
-BROADCAST_ROWS = 100_000
-SALTS = 16
 
 
 def text_columns(df: DataFrame) -> list[str]:
@@ -42,20 +39,18 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 # --- column names -------------------------------------------------------------
 
+CONTROL_SIGNS = dict.fromkeys([*range(32), 127])
+
+
 def clean_name(name: str) -> str:
-    kept = re.sub(r"[\x00-\x1f\x7f]", "", name.strip())
-    return re.sub(r"\s+", " ", kept) or name
+    """Words of a name parted by single blanks, without control characters; a name with nothing else stays."""
+    return " ".join(name.strip().translate(CONTROL_SIGNS).split()) or name
 
 
 def suffix_repeats(names: list[str]) -> list[str]:
-    """a, a, a becomes a, a_1, a_2."""
-    seen: dict[str, int] = {}
-    out = []
-    for name in names:
-        n = seen.get(name, 0)
-        seen[name] = n + 1
-        out.append(f"{name}_{n}" if n else name)
-    return out
+    """Names told apart: a repeat carries the number of its equals before it, as in a, a_1, a_2."""
+    before = [names[:i].count(name) for i, name in enumerate(names)]
+    return [f"{name}_{n}" if n else name for name, n in zip(names, before)]
 
 
 def fix_column_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -97,7 +92,7 @@ def iqr_fences(df: DataFrame, columns: list[str] | None = None) -> dict[str, Fen
     """Exact quartile fences of every numeric column with enough values."""
     columns = numeric_columns(df) if columns is None else columns
     stats = order_statistics(df, {c: col_of(c) for c in columns}, {"q1": lower_quartile, "q3": upper_quartile})
-    return {c: Fences(s["n"], s["q1"], s["q3"]) for c, s in stats.items() if s["n"] >= LEAST_VALUES}
+    return {c: Fences(s["n"], float(s["q1"]), float(s["q3"])) for c, s in stats.items() if s["n"] >= LEAST_VALUES}
 
 
 def outlier_report(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -163,33 +158,25 @@ def case_variants(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return several.select("column", "key", sentence_case(F.col("key")).alias("canonical"))
 
 
-def merge_case_variants(df: DataFrame, columns: list[str] | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Give all spellings of a text the same form. Columns without variants are not touched."""
+def merge_case_variants(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Give all spellings of a text the same form.
+
+    Each column meets its own variants in a left join. How is Spark's choice: by broadcast where the variants' size in bytes
+    allows it, else by a shuffle whose large partitions are split, so a text that fills a third of the table is no
+    single task's work.
+    """
     columns = text_columns(df) if columns is None else columns
     if not columns:
         return df
-    variants = case_variants(df, columns).persist()
-    sizes = {r["column"]: r["n"] for r in variants.groupBy("column").agg(F.count("*").alias("n")).collect()}
+    variants = case_variants(df, columns)
     out = df
     for c in columns:
-        if c in sizes:
-            mapping = variants.where(F.col("column") == c).select(F.col("key").alias("_key"), F.col("canonical").alias("_canonical"))
-            out = _apply_mapping(out, c, mapping, sizes[c] <= broadcast_rows)
+        mapping = variants.where(F.col("column") == c).select(F.col("key").alias("_key"), F.col("canonical").alias("_canonical"))
+        out = out.withColumn("_key", variant_key(col_of(c))).join(mapping, "_key", "left")
+        out = out.withColumn(c, F.coalesce(F.col("_canonical"), col_of(c))).drop("_key", "_canonical")
     return out.select(*[col_of(c) for c in df.columns])
 
 
-def _apply_mapping(df: DataFrame, column: str, mapping: DataFrame, small: bool) -> DataFrame:
-    keyed = df.withColumn("_key", variant_key(col_of(column)))
-    if small:
-        joined = keyed.join(F.broadcast(mapping), "_key", "left")
-    else:
-        # One text may fill a third of the table: spread each key over several tasks.
-        salt = F.pmod(F.xxhash64(*[col_of(c) for c in df.columns]), F.lit(SALTS)).cast("int")
-        spread = mapping.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = keyed.withColumn("_salt", salt).join(spread, ["_key", "_salt"], "left").drop("_salt")
-    return joined.withColumn(column, F.coalesce(F.col("_canonical"), col_of(column))).drop("_key", "_canonical")
-
-
 # --- numbers in text ----------------------------------------------------------
 
 def clean_numbers(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -4,24 +4,26 @@ An exact quantile normally means sorting a column or holding all its values in
 one task. Here every requested position of every column is answered by the same
 few scans:
 
-1. the values are counted; columns small enough (`collect_limit` values in all) are
-   answered by one `percentile_disc`, others get each position bracketed by
-   approximate quantiles (bounded memory per task);
+1. each position is bracketed by approximate quantiles (bounded memory per task);
 2. one aggregate counts how many values lie below, on and between the bracket
    ends, which fixes the position exactly or leaves a much smaller open range;
-3. ranges that are small enough by now are resolved by `percentile_disc`; wider
-   ones are bracketed again.
+3. ranges of at most `gathered` values in all are sorted and read off; wider ones
+   are bracketed again.
 
-Only counts and bracket ends (a few numbers per request) reach the driver.
+Values are compared in their column's own type, so large integers and decimals
+keep all their digits. Only counts and bracket ends (a few numbers per request)
+reach the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Positions, as 0-based index into the n sorted values of a column.
 def lower_quartile(n: int) -> int:
@@ -36,8 +38,8 @@ def upper_quartile(n: int) -> int:
     return 3 * n // 4
 
 
-# Resolving values exactly costs far more per value than bracketing them, so the limit is low.
-COLLECT_LIMIT = 50_000
+# So many values at most are gathered and sorted for all positions together, in one task.
+GATHERED = 50_000
 ACCURACY = 10_000
 
 
@@ -48,9 +50,10 @@ class _Search:
     column: Column
     index: int
     size: int
-    low: float | None = None
-    high: float | None = None
-    answer: float | None = None
+    low: int | float | Decimal | None = None
+    high: int | float | Decimal | None = None
+    answer: int | float | Decimal | None = None
+    stuck: bool = False
 
     def inside(self) -> Column:
         condition = self.column.isNotNull()
@@ -65,11 +68,11 @@ def order_statistics(
     df: DataFrame,
     columns: dict[str, Column],
     positions: dict[str, Callable[[int], int]],
-    collect_limit: int = COLLECT_LIMIT,
+    gathered: int = GATHERED,
     accuracy: int = ACCURACY,
     counts: dict[str, int] | None = None,
-) -> dict[str, dict[str, float | int | None]]:
-    """For each named numeric column: its count `n`, and the value at each named position.
+) -> dict[str, dict[str, int | float | Decimal | None]]:
+    """For each named numeric column: its count `n`, and the value at each named position, in the column's own type.
 
     Nulls and NaN are left out. Reads `df` a few times, so hand in a table or a
     persisted frame rather than a long chain. Counts of the values, where known,
@@ -77,10 +80,17 @@ def order_statistics(
     """
     if not columns:
         return {}
+    types = df.select(*[c.alias(f"v{i}") for i, c in enumerate(columns.values())]).schema
     values = {}
-    for name, c in columns.items():
-        v = c.cast("double")
-        values[name] = F.when(~F.isnan(v), v)
+    for i, (name, c) in enumerate(columns.items()):
+        kind = types[f"v{i}"].dataType
+        if isinstance(kind, T.IntegralType):
+            values[name] = c.cast("bigint")
+        elif isinstance(kind, T.DecimalType):
+            values[name] = c
+        else:
+            v = c.cast("double")
+            values[name] = F.when(~F.isnan(v), v)
 
     names = list(columns)
     frame = df.select(*[values[name].alias(f"v{i}") for i, name in enumerate(names)])
@@ -98,50 +108,37 @@ def order_statistics(
             if n:
                 searches[name, p] = _Search(cols[name], position(n), n)
 
-    while True:
-        open_searches = [s for s in searches.values() if s.answer is None]
-        if not open_searches:
-            break
-        # The limit is for all searches together: they share one final task.
-        limit = max(1, collect_limit // len(open_searches))
-        small = [s for s in open_searches if s.size <= limit]
+    while open_searches := [s for s in searches.values() if s.answer is None]:
+        _narrow(frame, open_searches, accuracy)
+        left = [s for s in open_searches if s.answer is None]
+        small = [s for s in left if s.size <= max(1, gathered // len(left))]
         if small:
-            _resolve(frame, small)
-        large = [s for s in open_searches if s.size > limit]
-        if large:
-            _narrow(frame, large, accuracy)
+            _read_off(frame, small)
 
     for (name, p), s in searches.items():
         out[name][p] = s.answer
     return out
 
 
-def _resolve(frame: DataFrame, searches: list[_Search]) -> None:
-    # Half a step past the index, so that rounding of the fraction cannot pick a neighbour.
-    ranged = frame.select(*[F.when(s.inside(), s.column).alias(f"r{i}") for i, s in enumerate(searches)])
-    row = ranged.agg(
-        *[
-            F.expr(f"percentile_disc({(s.index + 0.5) / s.size!r}D) WITHIN GROUP (ORDER BY r{i})").alias(f"a{i}")
-            for i, s in enumerate(searches)
-        ]
-    ).first()
+def _read_off(frame: DataFrame, searches: list[_Search]) -> None:
+    row = frame.agg(*[F.sort_array(F.collect_list(F.when(s.inside(), s.column)))[s.index].alias(f"a{i}") for i, s in enumerate(searches)]).first()
     for i, s in enumerate(searches):
         s.answer = row[f"a{i}"]
 
 
 def _narrow(frame: DataFrame, searches: list[_Search], accuracy: int) -> None:
     slack = 3.0 / accuracy
-    row = frame.agg(
-        *[
-            F.percentile_approx(
-                F.when(s.inside(), s.column),
-                [max(0.0, (s.index + 0.5) / s.size - slack), min(1.0, (s.index + 0.5) / s.size + slack)],
-                accuracy,
-            ).alias(f"b{i}")
-            for i, s in enumerate(searches)
-        ]
-    ).first()
-    brackets = [row[f"b{i}"] for i in range(len(searches))]
+    wanted = []
+    for i, s in enumerate(searches):
+        c, at = F.when(s.inside(), s.column), (s.index + 0.5) / s.size
+        ends = F.percentile_approx(c, [max(0.0, at - slack), min(1.0, at + slack)], accuracy)
+        wanted += [ends.alias(f"b{i}"), F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}")]
+    row = frame.agg(*wanted).first()
+    # Approximate quantiles go through doubles: they are kept inside the range, which is halved where they part it badly.
+    brackets = []
+    for i, s in enumerate(searches):
+        least, most = row[f"lo{i}"], row[f"hi{i}"]
+        brackets.append((_middle(least, most),) * 2 if s.stuck else tuple(min(max(end, least), most) for end in row[f"b{i}"]))
 
     parts_of = []
     for i, (s, (lo, hi)) in enumerate(zip(searches, brackets)):
@@ -170,6 +167,15 @@ def _narrow(frame: DataFrame, searches: list[_Search], accuracy: int) -> None:
                 if answer is not None:
                     s.answer = answer
                 else:
+                    s.stuck = 2 * size > s.size
                     s.index, s.size, s.low, s.high = index, size, low, high
                 break
             index -= size
+
+
+def _middle(low: int | float | Decimal, high: int | float | Decimal) -> int | float | Decimal:
+    if isinstance(low, int):
+        return (low + high) // 2
+    if isinstance(low, Decimal):
+        return (low + (high - low) / 2).quantize(low)
+    return low + (high - low) / 2

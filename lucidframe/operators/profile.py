@@ -32,7 +32,6 @@ TOP_VALUES = 20
 SAMPLES = 5
 FILTER_COLUMNS = 5
 FILTER_DISTINCT = (2, 50)
-LONG_TEXT = 64
 # One aggregate over many columns outgrows what the JVM compiles; chunks read their own columns only.
 COLUMNS_PER_AGGREGATE = 8
 BARE_NUMBER = r"^\d+[/.\\]?$"
@@ -82,9 +81,8 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None, approximate
 
 
 def _distinct_table(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, value, count) with long texts replaced by a digest: whole documents need not be shuffled to be told apart."""
-    value = F.when(F.length("value") > LONG_TEXT, F.concat(F.lit("md5:"), F.md5("value"))).otherwise(F.col("value"))
-    return _long_form(df, columns).groupBy("column", value.alias("value")).agg(F.count("*").alias("count"))
+    """(column, value, count) with digests for values: whole documents need not be shuffled to be told apart."""
+    return _long_form(df, columns).groupBy("column", F.md5("value").alias("value")).agg(F.count("*").alias("count"))
 
 
 def profile_columns(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -292,7 +290,7 @@ def profile(df: DataFrame, columns: list[str] | None = None, approximate: bool =
         df, {c: numeric_of(df, c) for c in numbers}, {"median": upper_median}, counts={c: r["numeric"] for c, r in numbers.items()}
     )
     for c, r in numbers.items():
-        by_name[c].stats = {"min": r["min"], "max": r["max"], "sum": r["sum"], "mean": r["sum"] / r["numeric"], "median": medians[c]["median"]}
+        by_name[c].stats = {"min": r["min"], "max": r["max"], "sum": r["sum"], "mean": r["sum"] / r["numeric"], "median": float(medians[c]["median"])}
     categories = [c.name for c in out if c.type == "categorical"]
     if categories:
         for r in top_values(df, categories).orderBy("column", "rank").collect():
@@ -305,17 +303,17 @@ def profile(df: DataFrame, columns: list[str] | None = None, approximate: bool =
 def filter_options(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column, label, value, count): values worth offering as a filter, for at most five columns."""
     low, high = FILTER_DISTINCT
-    candidates = (
-        detect_column_types(df, columns)
-        .where((F.col("type") == "categorical") & F.col("unique_count").between(low, high))
-        .select("column", "position")
-    )
-    usable = top_values(df, columns).where((F.length("value") >= 2) & ~F.col("value").rlike(BARE_NUMBER))
+    # Types come first, one row per column: values are then counted in columns that qualify only.
+    found = detect_column_types(df, columns).where((F.col("type") == "categorical") & F.col("unique_count").between(low, high)).collect()
+    names = [r["column"] for r in sorted(found, key=lambda r: r["position"])]
+    if not names:
+        return df.sparkSession.createDataFrame([], "column string, label string, value string, count bigint")
+    position = reduce(lambda acc, i: acc.when(F.col("column") == names[i], i), range(len(names)), F.when(F.lit(False), -1))
+    usable = top_values(df, names).where((F.length("value") >= 2) & ~F.col("value").rlike(BARE_NUMBER))
     # From here on there are at most twenty rows per column.
     per_column = Window.partitionBy("column")
-    offered = usable.join(candidates, "column").withColumn("usable", F.count("*").over(per_column)).where("usable >= 2")
+    offered = usable.withColumns({"position": position, "usable": F.count("*").over(per_column)}).where("usable >= 2")
     first = offered.select("column", "position").distinct().orderBy("position").limit(FILTER_COLUMNS).select("column")
-    names = columns or df.columns
     label = reduce(lambda acc, c: acc.when(F.col("column") == c, column_label(c)), names, F.when(F.lit(False), ""))
     return offered.join(first, "column", "left_semi").select("column", label.alias("label"), "value", "count")
 

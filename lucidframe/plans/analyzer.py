@@ -8,11 +8,14 @@ of them read it.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import re
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.coerce import col_of
 from ..functions.labels import column_label, dataset_title
 from ..operators import charts as ch
 from ..operators import facts as fx
@@ -36,6 +39,8 @@ class Analysis:
     filters: DataFrame
     context: str
     source: DataFrame
+    approximate: bool = False
+    helpers: tuple[str, ...] = ()
     _held: list[DataFrame] = field(default_factory=list)
 
     def release(self) -> None:
@@ -44,27 +49,40 @@ class Analysis:
             df.unpersist()
 
 
-def analyze(df: DataFrame, name: str, order_by: list[str] | None = None, approximate: bool = False) -> Analysis:
-    """Analyze a table; one with enough period columns is treated as wide. `order_by` fixes which rows are the first."""
+def analyze(df: DataFrame, name: str, order_by: list[str] | None = None, approximate: bool = False, helpers: tuple[str, ...] = ()) -> Analysis:
+    """Analyze a table; one with enough period columns is treated as wide.
+
+    `order_by` fixes which rows are the first. Columns named in `helpers` are there to order rows or to join, and are not
+    analyzed; all others are, whatever their names.
+    """
     title = dataset_title(name)
     if df.isEmpty():
         return _empty(df, title)
-    return _analyze_wide(df, title, approximate) if rs.is_wide(df.columns) else _analyze_standard(df, title, order_by, approximate)
+    out = _analyze_wide(df, title, approximate) if rs.is_wide(df.columns) else _analyze_standard(df, title, order_by, approximate, helpers)
+    return replace(out, approximate=approximate, helpers=helpers)
 
 
 def refine(analysis: Analysis, selected: dict[str, str], order_by: list[str] | None = None) -> Analysis:
     """The analysis of the rows whose cells equal the selected texts; the given one when no row does."""
     rows = filter_rows(analysis.source, selected)
-    return analysis if rows.isEmpty() else analyze(rows, analysis.name, order_by)
+    return analysis if rows.isEmpty() else analyze(rows, analysis.name, order_by, analysis.approximate, analysis.helpers)
 
 
 def filter_rows(df: DataFrame, selected: dict[str, str]) -> DataFrame:
     for column, value in selected.items():
         if value:
-            df = df.where(prof.as_text(df, column) == F.lit(value))
+            df = df.where(_equals(df, column, value))
     return df
 
 
+def _equals(df: DataFrame, column: str, value: str) -> Column:
+    """A cell whose text is `value`; whole numbers are compared as numbers, which readers can push down."""
+    dtype = df.schema[column].dataType
+    if isinstance(dtype, T.IntegralType) and re.fullmatch(r"0|-?[1-9]\d{0,17}", value):
+        return col_of(column) == F.lit(int(value)).cast("bigint")
+    return prof.as_text(df, column) == F.lit(value)
+
+
 def _empty(df: DataFrame, title: str) -> Analysis:
     spark = df.sparkSession
     return Analysis(
@@ -73,9 +91,9 @@ def _empty(df: DataFrame, title: str) -> Analysis:
     )
 
 
-def _analyze_standard(df: DataFrame, title: str, order_by: list[str] | None, approximate: bool) -> Analysis:
+def _analyze_standard(df: DataFrame, title: str, order_by: list[str] | None, approximate: bool, helpers: tuple[str, ...]) -> Analysis:
     spark = df.sparkSession
-    columns = [c for c in df.columns if not c.startswith("_")]
+    columns = [c for c in df.columns if c not in helpers]
     profile = prof.profile(df, columns, approximate)
     numbers, categories, times = profile.numeric, profile.categorical, profile.temporal
     first = numbers[0].name if numbers else None
@@ -110,7 +128,7 @@ def _analyze_standard(df: DataFrame, title: str, order_by: list[str] | None, app
     return Analysis(
         title, profile.rows, len(columns), False, profile, ins.standard_kpis(spark, profile), ch.recommend_charts(df, profile, order_by),
         ins.insight_table(spark, found), spark.createDataFrame([(summary,)], "summary string"), filters_of(df, profile.categorical),
-        prof.context_text(title, df.columns, profile), df, held,
+        prof.context_text(title, df.columns, profile), df, _held=held,
     )
 
 

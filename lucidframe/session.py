@@ -26,10 +26,14 @@ def build_session(app_name: str = "lucidframe", master: str | None = None, **ove
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
-    """The shared folder for checkpoints and streaming state: the cluster's own, or `fallback` where none is set."""
-    current = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if current is None and fallback is not None:
-        spark.sparkContext.setCheckpointDir(fallback)
-        current = fallback
-    return current
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, for checkpoints and streaming state: the cluster's spark.checkpoint.dir.
+
+    Without that setting, a local master uses a folder in the warehouse directory; a cluster has none, which is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
+    return folder.rstrip("/")

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.coerce import NUMBER_PATTERN, js_number, strip_spaces
-from ..operators.skew import HOT_ROWS, hot_keys, join_groups
 
 # Rows searched, year range, score weights, header limits.
 HEADER_ROWS = 10
@@ -46,27 +45,28 @@ def row_facts(cells: DataFrame, *more: Column) -> DataFrame:
         F.count_if(_filled(v)).alias("filled"),
         F.count_if(_numeric(v)).alias("numeric"),
         F.count_if(_year(v)).alias("years"),
-        F.count_if(v.isNull() | (v == "")).alias("gaps"),
+        # Cells up to the row's last one that are empty or not in the table at all.
+        (F.max("col_idx") + 1 - F.count_if(F.coalesce(v != "", F.lit(False)))).alias("gaps"),
     )
     return facts.withColumn("texts", F.col("filled") - F.col("numeric"))
 
 
 def _heads(cells: DataFrame) -> DataFrame:
-    """(sheet_id, head): the cells of the first rows of each sheet that is long enough."""
+    """(sheet_id, head, width): the cells of the first rows and the last column of each sheet that is long enough."""
     first = F.when(F.col("row_idx") < SEARCHED_ROWS, F.struct("row_idx", "col_idx", "value"))
-    heads = cells.groupBy("sheet_id").agg(F.collect_list(first).alias("head"), F.max("row_idx").alias("last"))
+    heads = cells.groupBy("sheet_id").agg(F.collect_list(first).alias("head"), F.max("row_idx").alias("last"), F.max("col_idx").alias("width"))
     return heads.where(F.col("last") >= LEAST_ROWS - 1).drop("last")
 
 
 def header_rows(cells: DataFrame) -> DataFrame:
     """(sheet_id, header_row, score, is_subheader, data_from): the best header row of each sheet that has one."""
-    return _best_rows(cells).drop("line", "sub_line")
+    return _best_rows(cells).drop("width", "line", "sub_line")
 
 
 def _best_rows(cells: DataFrame) -> DataFrame:
     """The header rows with the cells of the row (`line`) and of the sub-header below it (`sub_line`)."""
-    head_cells = _heads(cells).select("sheet_id", F.inline("head"))
-    top = row_facts(head_cells, F.collect_list(F.struct("col_idx", "value")).alias("line"))
+    head_cells = _heads(cells).select("sheet_id", "width", F.inline("head"))
+    top = row_facts(head_cells, F.max("width").alias("width"), F.collect_list(F.struct("col_idx", "value")).alias("line"))
     plain_numbers = F.col("numeric") - F.col("years")
     data_like = (plain_numbers > DATA_NUMBERS) & (F.col("texts") > 0) & (plain_numbers >= F.col("texts"))
     bonus = F.when(F.col("row_idx").between(*BONUS_ROWS), TITLE_BONUS).otherwise(0)
@@ -94,16 +94,18 @@ def _best_rows(cells: DataFrame) -> DataFrame:
     first = scored.withColumn("_place", F.row_number().over(best)).where("_place = 1")
     return first.select(
         "sheet_id", F.col("row_idx").alias("header_row"), "score", "is_subheader",
-        (F.col("row_idx") + F.when(F.col("is_subheader"), 2).otherwise(1)).alias("data_from"), "line", F.when(F.col("is_subheader"), F.col("sub_line")).alias("sub_line"),
+        (F.col("row_idx") + F.when(F.col("is_subheader"), 2).otherwise(1)).alias("data_from"), "width", "line", F.when(F.col("is_subheader"), F.col("sub_line")).alias("sub_line"),
     )
 
 
 def _composed(cells: DataFrame) -> DataFrame:
     """(sheet_id, data_from, row): per sheet an array of (col_idx, header), as long as the sheet is wide."""
     text = lambda cell: F.coalesce(strip_spaces(cell["value"]), F.lit(""))
+    # A cell that is not in the table is an empty one: the header row reaches from column 0 to the sheet's last one.
+    blanks = F.transform(F.sequence(F.lit(0), "width"), lambda i: F.struct(i.cast("int").alias("col_idx"), F.lit("").alias("own"), F.lit(None).cast("string").alias("sub")))
     own = F.transform("line", lambda cell: F.struct(cell["col_idx"].alias("col_idx"), text(cell).alias("own"), F.lit(None).cast("string").alias("sub")))
     below = F.transform("sub_line", lambda cell: F.struct(cell["col_idx"].alias("col_idx"), F.lit(None).cast("string").alias("own"), text(cell).alias("sub")))
-    both = _best_rows(cells).select("sheet_id", "data_from", F.inline(F.when(F.col("sub_line").isNull(), own).otherwise(F.concat(own, below))))
+    both = _best_rows(cells).select("sheet_id", "data_from", F.inline(F.when(F.col("sub_line").isNull(), F.concat(blanks, own)).otherwise(F.concat(blanks, own, below))))
     columns = both.groupBy("sheet_id", "data_from", "col_idx").agg(F.max("own").alias("own"), F.coalesce(F.max("sub"), F.lit("")).alias("sub"))
     columns = columns.where("own IS NOT NULL")
 
@@ -153,21 +155,48 @@ def header_quality(headers: DataFrame) -> DataFrame:
     return counted.withColumn("rejected", bad)
 
 
-def grid_cells(cells: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def grid_cells(cells: DataFrame) -> DataFrame:
     """(sheet_id, row_idx, col_idx, name, value, number): the data cells of every sheet under their headers.
 
-    Data rows start below the header and have two or more filled cells. Sheets
-    of very many cells meet their headers by broadcast, all others by shuffle.
+    Data rows start below the header and have two or more filled cells. Rows are judged by (sheet, row), a key that no
+    large sheet makes hot; then the cells meet their sheet's headers in one join, whose large partitions Spark splits.
     """
-    name_map = F.map_from_entries(F.collect_list(F.struct("col_idx", "name")))
-    sheets = sheet_headers(cells).groupBy("sheet_id", "data_from").agg(name_map.alias("names"))
-    hot = hot_keys(cells.groupBy("sheet_id").agg(F.count("*").alias("n")), "sheet_id", "n", hot_rows)
-    in_row = Window.partitionBy("sheet_id", "row_idx")
-
-    def full_rows(df: DataFrame) -> DataFrame:
-        return df.withColumn("_filled", F.count_if(_filled(F.col("value"))).over(in_row)).where(F.col("_filled") >= LEAST_CELLS)
-
-    data = join_groups(cells, sheets, "sheet_id", hot, full_rows).where(F.col("row_idx") >= F.col("data_from"))
-    return data.select(
-        "sheet_id", "row_idx", "col_idx", F.try_element_at("names", "col_idx").alias("name"), "value", js_number(F.col("value")).alias("number")
-    ).where("name IS NOT NULL")
+    return _under(cells, sheet_headers(cells))
+
+
+def _under(cells: DataFrame, headers: DataFrame) -> DataFrame:
+    filled = F.count_if(_filled(F.col("value"))).over(Window.partitionBy("sheet_id", "row_idx"))
+    full = cells.withColumn("_filled", filled).where(F.col("_filled") >= LEAST_CELLS)
+    names = headers.select("sheet_id", "col_idx", "data_from", "name")
+    data = full.join(names, ["sheet_id", "col_idx"]).where(F.col("row_idx") >= F.col("data_from"))
+    return data.select("sheet_id", "row_idx", "col_idx", "name", "value", js_number(F.col("value")).alias("number"))
+
+
+def first_row_headers(cells: DataFrame) -> DataFrame:
+    """(sheet_id, data_from, col_idx, header, name): the first row of each sheet as its header, for want of a better one."""
+    first = cells.groupBy("sheet_id").agg(F.min("row_idx").alias("first"))
+    heads = cells.join(first, "sheet_id").where("row_idx = first AND col_idx IS NOT NULL")
+    text = F.coalesce(strip_spaces(F.col("value")), F.lit(""))
+    headers = heads.select(
+        "sheet_id", (F.col("row_idx") + 1).alias("data_from"), "col_idx", F.when(text != "", text).otherwise(F.concat(F.lit("Column "), (F.col("col_idx") + 1).cast("string"))).alias("header")
+    )
+    repeat = F.row_number().over(Window.partitionBy("sheet_id", "header").orderBy("col_idx")) - 1
+    return headers.withColumn("name", F.when(repeat > 0, F.concat_ws("_", "header", repeat.cast("string"))).otherwise(F.col("header")))
+
+
+def accepted_headers(cells: DataFrame) -> DataFrame:
+    """The headers of every sheet: the best header row where it reads like one, else the first row."""
+    found = sheet_headers(cells)
+    good = found.join(header_quality(found).where("NOT rejected").select("sheet_id"), "sheet_id", "left_semi")
+    plain = first_row_headers(cells).join(good.select("sheet_id").distinct(), "sheet_id", "left_anti")
+    return good.unionByName(plain)
+
+
+def grid_table(cells: DataFrame) -> DataFrame:
+    """(sheet_id, row_idx, col_idx, name, value, number): every sheet as a normalized table, from raw cells to the end.
+
+    Sheets whose header row is rejected, or that have none, are read below their first row. Text is trimmed, blank cells
+    are null, and rows with fewer than two filled cells are left out.
+    """
+    text = strip_spaces(F.col("value"))
+    return _under(cells, accepted_headers(cells)).withColumn("value", F.when(text != "", text))

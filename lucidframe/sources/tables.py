@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .feature_json import EmptyInputError, read_feature_collection
+from .normalize import normalize_parsed
+
+
+_FILE, _BLOCK, _PLACE = "__file", "__block", "__place"
 
 
 class UnsupportedFormatError(ValueError):
@@ -24,9 +28,13 @@ def run_sql(spark: SparkSession, sql: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Every column as text; an empty cell is null. Typing is the profile's work."""
-    df = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
-    return _not_empty(df, path)
+    """A normalized table of texts: unnamed columns named, cells trimmed, rows with one filled cell or none left out.
+
+    Rows are ordered by file and place in the file only to name a year column after its first cell; no sort is needed.
+    """
+    parsed = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+    placed = parsed.select("*", F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.file_block_start").alias(_BLOCK), F.monotonically_increasing_id().alias(_PLACE))
+    return normalize_parsed(placed, [_FILE, _BLOCK, _PLACE], require_rows=True).drop(_FILE, _BLOCK, _PLACE)
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:

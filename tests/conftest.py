@@ -2,17 +2,16 @@ from __future__ import annotations
 
 import pytest
 
-from lucidframe.session import build_session, ensure_checkpoint_dir
+from lucidframe.session import build_session
 
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = build_session(
         "tests", "local[4]",
-        **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g"},
+        **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g", "spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('checkpoints')}"},
     )
     session.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(session, str(tmp_path_factory.mktemp("checkpoints")))
     yield session
     session.stop()
 

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from __spark_entry__ import SMOKE_DIR, entry, oracle_sql, queries
+from lucidframe.catalog import ORACLE, QUERIES
 from lucidframe.catalog.views import TABLES, VIEWS, view, view_sql
 from tools.check import compare
 
@@ -17,7 +18,8 @@ SOME = [
     "audit_duplicates", "by_funding_year", "drill_year", "src_parquet_view_sql", "dedup_exact", "outliers_iqr", "merge_case_variants",
     "parse_currency", "profile_columns", "detect_column_types", "unpivot_periods", "cagr", "insight_wide_category", "time_series_sums",
     "pearson_strength", "insight_leader", "insight_peak", "norm_min_two_nonnull", "text_table_cells", "document_table_detect", "grid_header_fill",
-    "stream_running_totals",
+    "stream_running_totals", "grid_header_row", "grid_cells", "pie_share_of_all", "area_over_time", "audit_nulls", "clean_defaults", "validate_core_fields",
+    "clean_projects", "filter_options", "filtered_reanalysis",
 ]
 
 
@@ -30,7 +32,7 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql()) and len(queries()) >= 90
+    assert set(QUERIES) == set(ORACLE) <= set(queries()) and set(oracle_sql()) <= set(queries()) and len(QUERIES) >= 95
 
 
 @needs_tables

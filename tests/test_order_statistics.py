@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from decimal import Decimal
 
 import pytest
 from hypothesis import given, settings
@@ -35,7 +36,7 @@ def test_matches_sorting_on_either_way(spark, limit):
         "outliers": [1e12 if i == 3 else rng.random() for i in range(n)],
     }
     df = frame(spark, **columns)
-    got = order_statistics(df, {c: F.col(c) for c in columns}, POSITIONS, collect_limit=limit, accuracy=50)
+    got = order_statistics(df, {c: F.col(c) for c in columns}, POSITIONS, gathered=limit, accuracy=50)
     assert got == {c: expected(v) for c, v in columns.items()}
 
 
@@ -53,4 +54,15 @@ def test_small_and_empty(spark):
 @given(st.lists(st.one_of(st.floats(-1e6, 1e6), st.sampled_from([0.0, 1.0, 2.0])), min_size=1, max_size=80))
 def test_property(spark, values):
     df = frame(spark, a=values)
-    assert order_statistics(df, {"a": F.col("a")}, POSITIONS, collect_limit=1, accuracy=10)["a"] == expected(values)
+    assert order_statistics(df, {"a": F.col("a")}, POSITIONS, gathered=1, accuracy=10)["a"] == expected(values)
+
+
+@pytest.mark.parametrize("gathered", [1, 50_000])
+def test_large_integers_and_decimals_keep_their_digits(spark, gathered):
+    big = 9007199254740993
+    rows = [(big + i % 5, Decimal("0.1") * (i % 7) + Decimal("12345678901234567890.5")) for i in range(200)]
+    df = spark.createDataFrame(rows, "a bigint, b decimal(30,1)")
+    got = order_statistics(df, {"a": F.col("a"), "b": F.col("b")}, POSITIONS, gathered=gathered, accuracy=50)
+    assert got == {"a": expected([r[0] for r in rows]), "b": expected([r[1] for r in rows])}
+    same = spark.createDataFrame([(big,)] * 3, "a bigint")
+    assert order_statistics(same, {"a": F.col("a")}, {"m": upper_median}, gathered=gathered)["a"]["m"] == big

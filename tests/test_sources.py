@@ -51,8 +51,9 @@ def test_json_tables(spark, tmp_path):
 
 
 def test_csv_and_formats(spark, tmp_path):
-    df = tables.read_table(spark, write(tmp_path / "t.csv", "a,b\n1,\n2,x\n"))
-    assert dict(df.dtypes) == {"a": "string", "b": "string"} and df.where("b IS NULL").count() == 1
+    df = tables.read_table(spark, write(tmp_path / "t.csv", "a,b,,\n1, ,2001,some\n 2 ,x,2002,other\n3,,,\n"))
+    assert dict(df.dtypes) == dict.fromkeys(["a", "b", "Year_2001", "Category"], "string")
+    assert sorted(map(tuple, df.collect())) == [("1", None, "2001", "some"), ("2", "x", "2002", "other")]
     with pytest.raises(EmptyInputError):
         tables.read_table(spark, write(tmp_path / "empty.csv", "a,b\n"))
     with pytest.raises(UnsupportedFormatError):
@@ -124,11 +125,23 @@ def test_grid_headers(spark):
     assert names[2] == ["Total", "Total 2", "Total 3", "Cost", "Cost 2"]
 
 
-def test_grid_cells_by_shuffle_and_by_broadcast(spark, rows_of):
+def test_grid_cells(spark, rows_of):
     cells = grid(spark, REPORT, YEARS, GAPS)
-    cold = rows_of(grids.grid_cells(cells))
-    assert cold == rows_of(grids.grid_cells(cells, hot_rows=0)) == rows_of(grids.grid_cells(cells, hot_rows=13))
-    assert {(r[1], r[3], r[5]) for r in cold if r[0] == 0 and r[3] == "Customers Balance"} == {(3, "Customers Balance", 2.0), (5, "Customers Balance", 6.0)}
+    found = rows_of(grids.grid_cells(cells))
+    assert {(r[1], r[3], r[5]) for r in found if r[0] == 0 and r[3] == "Customers Balance"} == {(3, "Customers Balance", 2.0), (5, "Customers Balance", 6.0)}
+    # Empty cells are normally just not there.
+    sparse = cells.where("value IS NOT NULL")
+    assert rows_of(grids.sheet_headers(sparse).select("sheet_id", "col_idx", "name")) == rows_of(grids.sheet_headers(cells).select("sheet_id", "col_idx", "name"))
+    assert rows_of(grids.grid_cells(sparse)) == [r for r in found if r[4] is not None]
+
+
+def test_grid_table_falls_back_to_the_first_row(spark, rows_of):
+    rejected = [["1.5", "2.5", "3.5", "x"], ["10", " 20 ", "30", "40"], ["11", "21", "", "41"], ["12", "", "", ""]]
+    cells = grid(spark, REPORT, rejected)
+    table = grids.grid_table(cells)
+    assert {r["name"] for r in table.where("sheet_id = 1").collect()} == {"1.5", "2.5", "3.5", "x"}
+    assert rows_of(table.where("sheet_id = 1 AND col_idx = 1"), "row_idx", "value") == [(1, "20"), (2, "21")]
+    assert rows_of(table.where("sheet_id = 0 AND row_idx = 3"), "value") == [("1",), ("2",), ("3",), ("4",), ("X",)]
 
 
 def test_garbage_headers(spark):
