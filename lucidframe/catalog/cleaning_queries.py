@@ -154,6 +154,33 @@ def cleaning_report(spark, sf_dir):
     return report.select("step", "affected_rows", F.array_join("affected_columns", ", ").alias("affected_columns"))
 
 
+def _total(counts: str) -> str:
+    return f"(SELECT COALESCE(SUM(k), 0)::BIGINT FROM ({counts}))"
+
+
+def _columns_hit(counts: str) -> str:
+    return f"(SELECT COUNT(*) FROM ({counts}) WHERE k > 0)"
+
+
+@register("cleaning_report_text", DIRTY, "WITH src AS (SELECT DISTINCT * FROM dirty_customers), " + FENCES_SQL + f"""
+SELECT 'Remove duplicates' AS step, 'Removed ' || ((SELECT COUNT(*) FROM dirty_customers) - (SELECT COUNT(*) FROM src)) || ' exact duplicate row(s)' AS description
+UNION ALL SELECT 'Handle missing values', 'Found ' || {_total(_MISSING)} || ' missing value(s) across ' || {_columns_hit(_MISSING)} || ' column(s): '
+  || (SELECT string_agg(c || '(' || k || ')', ', ' ORDER BY i) FROM ({_MISSING}) WHERE k > 0)
+UNION ALL SELECT 'Detect outliers', CASE WHEN {_total(_OUTSIDE)} = 0 THEN 'No outliers detected in numeric columns'
+  ELSE 'Flagged ' || {_total(_OUTSIDE)} || ' outlier value(s) in ' || {_columns_hit(_OUTSIDE)} || ' numeric column(s) using IQR method (not removed)' END""")
+def cleaning_report_text(spark, sf_dir):
+    """What the first and the two reporting steps say about themselves."""
+    report = cleaning.clean_dataset(dirty(spark, sf_dir)).report
+    return report.where(F.col("step").isin("Remove duplicates", "Handle missing values", "Detect outliers")).select("step", "description")
+
+
+@register("fix_column_names", DIRTY, """SELECT c_custkey AS "customer key", note AS "note_text", segment AS "a b", balance AS "a b_1" FROM dirty_customers""")
+def fix_column_names(spark, sf_dir):
+    """Padded, broken and colliding names over the whole table."""
+    messy = dirty(spark, sf_dir).select(F.col("c_custkey").alias("  customer\n  key "), F.col("note").alias("note_text"), F.col("segment").alias("a  b"), F.col("balance").alias("a b "))
+    return cleaning.fix_column_names(messy)[0]
+
+
 def number_text_sql(c: str) -> str:
     n = f"COALESCE({percent_sql(c)}, {currency_sql(c)})"
     return f"COALESCE(CASE WHEN {n} = FLOOR({n}) THEN CAST(CAST({n} AS BIGINT) AS VARCHAR) ELSE CAST({n} AS VARCHAR) END, {c}) AS {c}"

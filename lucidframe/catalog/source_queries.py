@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..sources import grids, normalize, text_tables
+from ..session import shared_folder
+from ..sources import grids, normalize, sinks, tables, text_tables
 from . import sql_text as q
 from .registry import register, view
 from .views import read
@@ -161,3 +164,58 @@ def norm_min_two_nonnull(spark, sf_dir):
     # The year column's name holds its first value; SQL cannot name a column after data.
     year = next(c for c in out.columns if c.startswith("Year_"))
     return out.withColumnRenamed(year, "years")
+
+
+def _folder(spark) -> str:
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+_MEMO_COLUMNS = ["doc_id", "text"]
+
+
+@register("src_json_lines", ("order_memos",), "SELECT doc_id, text FROM order_memos")
+def src_json_lines(spark, sf_dir):
+    """Every memo written as JSON lines and read back."""
+    path = _folder(spark)
+    sinks.write_report(view(spark, sf_dir, "order_memos").select(*_MEMO_COLUMNS), path)
+    return tables.read_table(spark, path, "ndjson", schema="doc_id bigint, text string")
+
+
+@register("sink_parquet", ("order_memos",), "SELECT doc_id, text FROM order_memos")
+def sink_parquet(spark, sf_dir):
+    path = _folder(spark)
+    sinks.write_parquet(view(spark, sf_dir, "order_memos").select(*_MEMO_COLUMNS), path)
+    return tables.read_table(spark, path, "parquet")
+
+
+@register("src_csv_normalized", (), """
+SELECT CAST(o_orderkey AS VARCHAR) AS "order", o_orderpriority AS priority, CAST(o_custkey AS VARCHAR) AS "priority Amount", 'status ' || o_orderstatus AS "Category"
+FROM orders""")
+def src_csv_normalized(spark, sf_dir):
+    """Orders written as a CSV file with padded cells, unnamed columns and rows of one cell, and read back as a table."""
+    path = _folder(spark)
+    orders = read(spark, sf_dir, "orders")
+    rows = orders.select(
+        F.concat(F.lit(" "), F.col("o_orderkey").cast("string")).alias("order"), F.concat(F.col("o_orderpriority"), F.lit("  ")).alias("priority"),
+        F.col("o_custkey").cast("string").alias("__EMPTY"), F.concat(F.lit("status "), F.col("o_orderstatus")).alias("__EMPTY_1"), F.lit(" ").alias("__EMPTY_2"),
+    )
+    sparse = rows.select("order", *[F.lit(None).cast("string").alias(c) for c in rows.columns[1:]])
+    rows.unionByName(sparse).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return tables.read_table(spark, path, "csv")
+
+
+@register("grid_table", GRID, f"""WITH {NAMED_SQL}
+SELECT c.sheet_id, c.row_idx, c.col_idx, n.name, NULLIF(trim(c.value), '') AS value, {q.number('c.value')} AS number FROM cell_grid c
+JOIN found f ON f.sheet_id = c.sheet_id AND c.row_idx >= f.header_row + CASE WHEN is_subheader THEN 2 ELSE 1 END
+JOIN facts r ON r.sheet_id = c.sheet_id AND r.row_idx = c.row_idx AND r.filled >= 2 JOIN named n ON n.sheet_id = c.sheet_id AND n.col_idx = c.col_idx
+WHERE c.sheet_id % 4 <> 3 AND c.value IS NOT NULL
+UNION ALL SELECT c.sheet_id, c.row_idx, c.col_idx, CASE c.col_idx WHEN 0 THEN '1.5' WHEN 1 THEN '2.5' WHEN 2 THEN '3.5' END, NULLIF(trim(c.value), ''), {q.number('c.value')}
+FROM cell_grid c JOIN facts r ON r.sheet_id = c.sheet_id AND r.row_idx = c.row_idx AND r.filled >= 2
+WHERE c.sheet_id % 4 = 3 AND c.row_idx > 2 AND c.col_idx IN (1, 2) AND c.value IS NOT NULL""")
+def grid_table(spark, sf_dir):
+    """Grids without their empty cells; every fourth sheet starts with numbers only, so its header is rejected."""
+    cells = view(spark, sf_dir, "cell_grid").where("value IS NOT NULL")
+    plain = cells.where("sheet_id % 4 <> 3")
+    data = cells.where("sheet_id % 4 = 3 AND row_idx > 2 AND col_idx IN (1, 2)")
+    head = data.select("sheet_id").distinct().select("sheet_id", F.inline(F.array(*(F.struct(F.lit(2).alias("row_idx"), F.lit(i).alias("col_idx"), F.lit(f"{i + 1}.5").alias("value")) for i in range(3)))))
+    return grids.grid_table(plain.unionByName(head).unionByName(data))

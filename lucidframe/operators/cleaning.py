@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.coerce import cleaned_number, col_of, js_number, missing_of, number_text, squeeze_spaces, strip_spaces
+from . import wording as w
 from .dedup import drop_exact_duplicates
 from .order_statistics import lower_quartile, order_statistics, upper_quartile
 
@@ -208,13 +209,15 @@ class Cleaned:
     cleaned_rows: int
     original_columns: int
     renamed: dict[str, str]
+    missing_cells: int = 0
+    outliers: int = 0
 
     @property
     def duplicates_removed(self) -> int:
         return self.original_rows - self.cleaned_rows
 
 
-REPORT_SCHEMA = "step string, affected_rows bigint, affected_columns array<string>"
+REPORT_SCHEMA = "step string, description string, affected_rows bigint, affected_columns array<string>"
 
 
 def clean_dataset(df: DataFrame) -> Cleaned:
@@ -259,14 +262,19 @@ def clean_dataset(df: DataFrame) -> Cleaned:
         return sum(report_row[f"{prefix}{i}"] for i in range(len(names)))
 
     names = base.columns
+    removed, missing, outliers = original_rows - cleaned_rows, amount("m", names), amount("o", list(fences))
+    missing_in, outliers_in = hit("m", names), hit("o", list(fences))
+    counted = ", ".join(f"{c}({report_row[f'm{names.index(c)}']})" for c in missing_in)
+    found = w.STEP_MISSING.format(n=missing, k=len(missing_in), columns=counted) if missing_in else w.STEP_NO_MISSING
+    flagged = w.STEP_OUTLIERS.format(n=outliers, k=len(outliers_in)) if outliers else w.STEP_NO_OUTLIERS
     rows = [
-        (STEPS[0], original_rows - cleaned_rows, list(df.columns)),
-        (STEPS[1], cleaned_rows if renamed else 0, renamed),
-        (STEPS[2], 0, hit("m", names)),
-        (STEPS[3], 0, hit("o", list(fences))),
-        (STEPS[4], amount("t", texts), hit("t", texts)),
-        (STEPS[5], amount("v", texts), hit("v", texts)),
-        (STEPS[6], amount("p", texts), hit("p", texts)),
+        (STEPS[0], w.STEP_DUPLICATES.format(n=removed), removed, list(df.columns)),
+        (STEPS[1], w.STEP_NAMES.format(n=len(renamed)), cleaned_rows if renamed else 0, renamed),
+        (STEPS[2], found, 0, missing_in),
+        (STEPS[3], flagged, 0, outliers_in),
+        (STEPS[4], w.STEP_TEXT.format(n=amount("t", texts)), amount("t", texts), hit("t", texts)),
+        (STEPS[5], w.STEP_VARIANTS.format(n=amount("v", texts)), amount("v", texts), hit("v", texts)),
+        (STEPS[6], w.STEP_NUMBERS.format(n=amount("p", texts)), amount("p", texts), hit("p", texts)),
     ]
     report = df.sparkSession.createDataFrame(rows, REPORT_SCHEMA)
-    return Cleaned(out, report, original_rows, cleaned_rows, len(df.columns), mapping)
+    return Cleaned(out, report, original_rows, cleaned_rows, len(df.columns), mapping, missing, outliers)

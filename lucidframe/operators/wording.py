@@ -94,6 +94,16 @@ CHART_PERIOD_BY = "{period} by {category}"
 CHART_PERIOD_SHARE = "{period} Share"
 CHART_LEADERS = "Top {category} Over Time"
 
+STEP_DUPLICATES = "Removed {n} exact duplicate row(s)"
+STEP_NAMES = "Cleaned {n} column name(s): trimmed whitespace, replaced special characters, collapsed underscores"
+STEP_MISSING = "Found {n} missing value(s) across {k} column(s): {columns}"
+STEP_NO_MISSING = "No missing values detected"
+STEP_OUTLIERS = "Flagged {n} outlier value(s) in {k} numeric column(s) using IQR method (not removed)"
+STEP_NO_OUTLIERS = "No outliers detected in numeric columns"
+STEP_TEXT = "Trimmed and collapsed whitespace in {n} cell(s)"
+STEP_VARIANTS = "Merged spelling variants in {n} cell(s)"
+STEP_NUMBERS = "Turned {n} percent or currency cell(s) into numbers"
+
 CONTEXT_NOTE = "Note: columns {columns} may have abbreviated names from the source file."
 CONTEXT_COLUMN = '"{name}" (numeric, range: {low} – {high})'
 NO_DATA = "No data to analyze."
