@@ -203,8 +203,11 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     groups = jaccard_components(docs, id_col, text_col)
     kept = written(groups.where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("times"), F.max("n_shingles").alias("words")))
+    ids = kept.select(F.col("doc_id").alias("__kept"))
     key = F.col(id_col).cast("long")
-    single = kept.where("times = 1 OR words = 0").select(F.col("doc_id").alias("__kept"))
-    out = docs.where(F.col(id_col).isNull()).unionByName(docs.join(single, key == F.col("__kept"), "left_semi"))
-    repeated = kept.where("times > 1 AND words > 0").select(F.col("doc_id").alias("__kept"))
-    return out.unionByName(docs.join(repeated, key == F.col("__kept"), "left_semi").dropDuplicates([id_col]))
+    repeats = kept.where("times > 1 AND words > 0").select(F.col("doc_id").alias("__kept"))
+    if repeats.isEmpty():
+        return docs.where(F.col(id_col).isNull()).unionByName(docs.join(ids, key == F.col("__kept"), "left_semi"))
+    single = docs.join(ids.join(repeats, "__kept", "left_anti"), key == F.col("__kept"), "left_semi")
+    first = docs.join(repeats, key == F.col("__kept"), "left_semi").dropDuplicates([id_col])
+    return docs.where(F.col(id_col).isNull()).unionByName(single).unionByName(first)
