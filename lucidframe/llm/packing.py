@@ -1,7 +1,8 @@
 """Packing documents into windows by Karmarkar-Karp multiway differencing.
 
 Every task packs its own documents in blocks of bounded size; nothing is shuffled. Documents longer than a window
-fill whole windows; what is left of them and all shorter ones are the block's pieces. Differencing starts with one
+fill whole windows; what is left of them and all shorter ones are cut evenly into pieces of at most LONGEST_PIECE, as
+small pieces level windows far better than large ones. Differencing starts with one
 partial partition per piece and merges the two most unbalanced ones so that the fullest windows of one meet the
 emptiest of the other, until one near-equal partition is left. If a window is above capacity, the window
 count rises and the block is packed again.
@@ -24,7 +25,8 @@ from tokenizers import Tokenizer
 from .words import digests_of, text_slices, word_bounds
 
 CAPACITY = 4096
-BLOCK_PIECES = 512  # memory of a task: so many pieces of at most a window each
+LONGEST_PIECE = 768
+BLOCK_PIECES = 1536  # memory of a task: so many pieces
 CACHED_WORDS = 2_000_000  # a worker's words, about 80 MB; beyond that it starts anew
 MARK = "\x01"
 
@@ -149,6 +151,14 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
+def cuts(total: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
+    """Where a document of `total` ids is cut: whole windows, then even pieces of at most LONGEST_PIECE."""
+    whole = total - total % capacity
+    parts = -(-(total - whole) // min(LONGEST_PIECE, capacity))
+    edges = [*range(0, whole, capacity), *(whole + (total - whole) * i // parts for i in range(parts)), total]
+    return list(zip(edges[:-1], edges[1:]))
+
+
 def _packer(path: str, end_id: int, capacity: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_ids(path)
@@ -174,8 +184,8 @@ def _packer(path: str, end_id: int, capacity: int):
             for row, ids in encode(batch.column(1)):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 total = len(ids)
-                for start in range(0, total, capacity):
-                    piece = ids[start : start + capacity]
+                for start, end in cuts(total, capacity):
+                    piece = ids[start:end]
                     described = [ids_of[row], start, len(piece), zlib.crc32(piece.tobytes()), total]
                     if len(piece) == capacity:
                         rows.append([*described, sequence, 0])

@@ -28,8 +28,9 @@ def check_packed(rows, pieces):
     left = {}
     for doc_id, text, *_ in rows:
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
-        for start in range(0, len(ids), packing.CAPACITY):
-            cut = ids[start : start + packing.CAPACITY]
+        for start, end in packing.cuts(len(ids)):
+            cut = ids[start:end]
+            assert 0 < len(cut) <= packing.CAPACITY
             key = (doc_id, start, len(cut), zlib.crc32(np.array(cut, "<u4").tobytes()), len(ids))
             left[key] = left.get(key, 0) + 1
     sequences = {}
@@ -57,7 +58,7 @@ def test_packing_leaves_little_padding(spark):
     rows = [(i, prose(rng, int(rng.lognormvariate(5.5, 1)))) for i in range(700)]
     sequences = check_packed(rows, packing.pack_documents(table(spark, rows).coalesce(1), TOKENIZER).collect())
     total = sum(length for placed in sequences.values() for _, length in placed)
-    assert total >= 0.95 * packing.CAPACITY * len(sequences)
+    assert total >= 0.98 * packing.CAPACITY * len(sequences)
 
 
 @pytest.mark.parametrize("windows", [1, 2, 5, 40])
