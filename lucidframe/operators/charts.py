@@ -97,6 +97,17 @@ class Chart:
     x: str
     y: list[str]
     data: DataFrame
+    description: str = ""
+
+
+def _low(column: prof.ColumnProfile) -> str:
+    return column.label.lower()
+
+
+def _pair_text(df: DataFrame, x: prof.ColumnProfile, y: prof.ColumnProfile) -> str:
+    found = pearson(df, x.name, y.name).first()
+    tend = w.TEXT_TOGETHER if found["r"] > 0 else w.TEXT_OPPOSED
+    return w.TEXT_PAIR.format(strength=found["strength"], direction=found["direction"], r=f"{found['r']:.2f}", x=x.label, y=y.label, tend=tend)
 
 
 def _bar_kind(groups: int) -> str:
@@ -138,66 +149,71 @@ def recommend_charts(df: DataFrame, profile: prof.Profile, order_by: list[str] |
     timed = bool(time and numbers) and groups[time.name] > 1 and counts["timed"] >= profile.rows * LEAST_TIME_SHARE
     if timed:
         measures = [c.name for c in numbers[:TIME_MEASURES]]
-        charts.append(Chart("line", w.CHART_OVER_TIME.format(measure=numbers[0].label, time=time.label), time.name, measures, time_series(df, time.name, measures)))
+        charts.append(Chart("line", w.CHART_OVER_TIME.format(measure=numbers[0].label, time=time.label), time.name, measures, time_series(df, time.name, measures),
+                            w.TEXT_OVER_TIME.format(measure=_low(numbers[0]), n=groups[time.name], time=_low(time))))
 
     if good and numbers and groups[good[0].name] >= 2:
         category, measure, n = good[0], numbers[0], groups[good[0].name]
         kind = _bar_kind(n)
         charts.append(
-            Chart(kind, w.CHART_BY.format(measure=measure.label, category=category.label), category.name, [measure.name], largest_groups(df, category.name, [measure.name], _bar_rows(kind)))
+            Chart(kind, w.CHART_BY.format(measure=measure.label, category=category.label), category.name, [measure.name], largest_groups(df, category.name, [measure.name], _bar_rows(kind)),
+                  w.TEXT_BY.format(measure=_low(measure), category=_low(category)))
         )
         if n <= PIE_GROUPS:
             data = shares(largest_groups(df, category.name, [measure.name]), category.name, measure.name, group_sums(df, category.name, [measure.name]))
-            charts.append(Chart("pie", w.CHART_SHARE.format(measure=measure.label, category=category.label), category.name, [measure.name], data))
+            charts.append(Chart("pie", w.CHART_SHARE.format(measure=measure.label, category=category.label), category.name, [measure.name], data, w.TEXT_SHARE.format(measure=_low(measure), category=_low(category))))
         elif len(category.top) >= 2:
-            charts.append(Chart("pie", w.CHART_RECORD_SHARE.format(category=category.label), "name", ["value"], record_counts(df, category.name, PIE_RECORDS)))
+            charts.append(Chart("pie", w.CHART_RECORD_SHARE.format(category=category.label), "name", ["value"], record_counts(df, category.name, PIE_RECORDS), w.TEXT_RECORD_SHARE.format(category=_low(category))))
 
     if len(good) > 1 and numbers and groups[good[1].name] >= 2:
         category, measure = good[1], numbers[min(1, len(numbers) - 1)]
         kind = _bar_kind(groups[category.name])
         charts.append(
-            Chart(kind, w.CHART_BY.format(measure=measure.label, category=category.label), category.name, [measure.name], largest_groups(df, category.name, [measure.name], _bar_rows(kind)))
+            Chart(kind, w.CHART_BY.format(measure=measure.label, category=category.label), category.name, [measure.name], largest_groups(df, category.name, [measure.name], _bar_rows(kind)), w.TEXT_SECOND.format(category=_low(category)))
         )
 
     if timed and len(numbers) > 1:
         measure = numbers[1]
-        charts.append(Chart("area", w.CHART_TREND.format(measure=measure.label), time.name, [measure.name], time_series(df, time.name, [measure.name])))
+        charts.append(Chart("area", w.CHART_TREND.format(measure=measure.label), time.name, [measure.name], time_series(df, time.name, [measure.name]), w.TEXT_TREND.format(measure=_low(measure))))
 
     if pair and counts["pairs"] > LEAST_POINTS:
         x, y = numbers[0], numbers[1]
-        charts.append(Chart("scatter", w.CHART_PAIR.format(x=x.label, y=y.label), x.name, [y.name], scatter_points(df, x.name, y.name, order_by or [])))
+        charts.append(Chart("scatter", w.CHART_PAIR.format(x=x.label, y=y.label), x.name, [y.name], scatter_points(df, x.name, y.name, order_by or []), _pair_text(df, x, y)))
 
     if wider and len(numbers) > 1 and len(charts) < 4 and groups[wider[0].name] >= 2:
         category, measure = wider[0], numbers[1]
         data = largest_groups(df, category.name, [measure.name], BARS)
-        charts.append(Chart("horizontal-bar", w.CHART_BY.format(measure=measure.label, category=category.label), category.name, [measure.name], data))
+        text = w.TEXT_WIDER.format(measure=measure.label, category=_low(category))
+        charts.append(Chart("horizontal-bar", w.CHART_BY.format(measure=measure.label, category=category.label), category.name, [measure.name], data, text))
 
     if not charts and categories and len(categories[0].top) >= 2:
         category = categories[0]
         n = len(category.top)
-        charts.append(Chart(_bar_kind(n), w.CHART_RECORDS.format(category=category.label), "name", ["value"], record_counts(df, category.name, BARS)))
+        charts.append(Chart(_bar_kind(n), w.CHART_RECORDS.format(category=category.label), "name", ["value"], record_counts(df, category.name, BARS), w.TEXT_RECORDS.format(category=_low(category))))
         if n <= PIE_GROUPS:
-            charts.append(Chart("pie", w.CHART_DISTRIBUTION.format(category=category.label), "name", ["value"], record_counts(df, category.name, prof.TOP_VALUES)))
+            charts.append(Chart("pie", w.CHART_DISTRIBUTION.format(category=category.label), "name", ["value"], record_counts(df, category.name, prof.TOP_VALUES), w.TEXT_DISTRIBUTION))
     return charts
 
 
 def recommend_wide_charts(df: DataFrame, periods: list[str], categories: list[str]) -> list[Chart]:
     """The charts a wide table supports."""
     totals = reshape.period_totals(df, periods).orderBy("position").select("period", "total")
-    charts = [Chart("line", w.CHART_TOTAL_OVER_TIME, "period", ["total"], totals), Chart("area", w.CHART_VOLUME, "period", ["total"], totals)]
+    whole = w.TEXT_TOTALS.format(n=len(periods), first=periods[0].strip(), last=periods[-1].strip())
+    charts = [Chart("line", w.CHART_TOTAL_OVER_TIME, "period", ["total"], totals, whole), Chart("area", w.CHART_VOLUME, "period", ["total"], totals, w.TEXT_VOLUME)]
     latest = periods[-1]
     for place, category in enumerate(categories[:2]):
         label = column_label(category)
+        named = {"category": label.lower()}
         data = reshape.period_by_category(df, category, latest)
         n = data.count()
         if n >= 2:
-            charts.append(Chart(_bar_kind(n), w.CHART_PERIOD_BY.format(period=latest.strip(), category=label), category, ["value"], data))
+            charts.append(Chart(_bar_kind(n), w.CHART_PERIOD_BY.format(period=latest.strip(), category=label), category, ["value"], data, (w.TEXT_PERIOD_SECOND if place else w.TEXT_PERIOD_BY).format(**named)))
         if place == 0:
             if 2 <= n <= WIDE_PIE_GROUPS:
-                charts.append(Chart("pie", w.CHART_PERIOD_SHARE.format(period=latest.strip()), category, ["value"], shares(data, "name", "value")))
+                charts.append(Chart("pie", w.CHART_PERIOD_SHARE.format(period=latest.strip()), category, ["value"], shares(data, "name", "value"), w.TEXT_PERIOD_SHARE.format(period=latest.strip(), **named)))
             leaders = reshape.top_categories(df, category)
             if len(leaders) >= 2:
-                charts.append(Chart("line", w.CHART_LEADERS.format(category=label), "period", leaders, reshape.multi_series(df, category)))
+                charts.append(Chart("line", w.CHART_LEADERS.format(category=label), "period", leaders, reshape.multi_series(df, category), w.TEXT_LEADERS.format(n=len(leaders), **named)))
     return charts
 
 

@@ -243,6 +243,7 @@ class ColumnProfile:
     null_count: int
     stats: dict[str, float] = field(default_factory=dict)
     top: list[tuple[str, int]] = field(default_factory=list)
+    samples: list[str] = field(default_factory=list)
 
     @property
     def label(self) -> str:
@@ -278,8 +279,11 @@ class Profile:
         return sorted([c for c in self.numeric if c.sum > 0], key=lambda c: -c.sum)
 
 
-def profile(df: DataFrame, columns: list[str] | None = None, approximate: bool = False) -> Profile:
-    """Profile a table. What reaches the driver is bounded by the number of columns."""
+def profile(df: DataFrame, columns: list[str] | None = None, approximate: bool = False, order_by: list[str] | None = None) -> Profile:
+    """Profile a table. What reaches the driver is bounded by the number of columns.
+
+    With `order_by`, the first filled cells of each column in that order are its samples; without, there are none.
+    """
     columns = columns or df.columns
     typed = column_facts(df, columns, approximate).withColumn("type", column_type()).orderBy("position").collect()
     rows = typed[0]["rows"] if typed else 0
@@ -295,6 +299,9 @@ def profile(df: DataFrame, columns: list[str] | None = None, approximate: bool =
     if categories:
         for r in top_values(df, categories).orderBy("column", "rank").collect():
             by_name[r["column"]].top.append((r["value"], r["count"]))
+    if order_by:
+        for r in first_values(df, order_by, columns).orderBy("column", "position").collect():
+            by_name[r["column"]].samples.append(r["value"])
     return Profile(rows, out)
 
 

@@ -104,6 +104,27 @@ STEP_TEXT = "Trimmed and collapsed whitespace in {n} cell(s)"
 STEP_VARIANTS = "Merged spelling variants in {n} cell(s)"
 STEP_NUMBERS = "Turned {n} percent or currency cell(s) into numbers"
 
+TEXT_OVER_TIME = "Trend of {measure} across {n} {time} periods."
+TEXT_BY = "How {measure} distributes across {category}."
+TEXT_SHARE = "Proportional distribution of {measure} across {category}."
+TEXT_RECORD_SHARE = "Share of records across top {category} categories."
+TEXT_SECOND = "Comparison across {category}."
+TEXT_TREND = "Cumulative view of {measure} over time."
+TEXT_PAIR = (
+    "Shows a {strength} {direction} relationship (r={r}) between these two measures. Each dot represents one record. "
+    'Higher "{x}" values tend to {tend} "{y}" values.'
+)
+TEXT_TOGETHER, TEXT_OPPOSED = "coincide with", "be paired with lower"
+TEXT_WIDER = "{measure} breakdown across {category} groups."
+TEXT_RECORDS = "Number of records in each {category} category."
+TEXT_DISTRIBUTION = "Proportional share of records."
+TEXT_TOTALS = "Aggregate totals across {n} periods from {first} to {last}."
+TEXT_VOLUME = "Cumulative volume pattern showing growth and seasonal variation across periods."
+TEXT_PERIOD_BY = "Latest period values broken down by {category}."
+TEXT_PERIOD_SECOND = "Breakdown by {category} for the latest period."
+TEXT_PERIOD_SHARE = "Proportional share of {period} values by {category}."
+TEXT_LEADERS = "Comparing the top {n} {category} groups across all periods."
+
 CONTEXT_NOTE = "Note: columns {columns} may have abbreviated names from the source file."
 CONTEXT_COLUMN = '"{name}" (numeric, range: {low} – {high})'
 NO_DATA = "No data to analyze."

@@ -94,7 +94,7 @@ def _empty(df: DataFrame, title: str) -> Analysis:
 def _analyze_standard(df: DataFrame, title: str, order_by: list[str] | None, approximate: bool, helpers: tuple[str, ...]) -> Analysis:
     spark = df.sparkSession
     columns = [c for c in df.columns if c not in helpers]
-    profile = prof.profile(df, columns, approximate)
+    profile = prof.profile(df, columns, approximate, order_by)
     numbers, categories, times = profile.numeric, profile.categorical, profile.temporal
     first = numbers[0].name if numbers else None
     main = profile.main_measures()[0].name if profile.main_measures() else None
