@@ -13,7 +13,7 @@ from lucidframe.session import build_session
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-RUNS = int(os.environ.get("BENCH_RUNS", "1"))
+RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 
 HEADLINE = [
     "audit_duplicates", "dedup_keep_latest", "clean_projects", "project_summary", "by_region", "top_provinces", "drill_region",

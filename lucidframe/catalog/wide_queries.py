@@ -22,7 +22,7 @@ TOTALS_SQL = "totals AS (" + q.union(
 
 
 def wide(spark, sf_dir):
-    return view(spark, sf_dir, "supplier_years").persist()
+    return view(spark, sf_dir, "supplier_years")
 
 
 def facts(spark, sf_dir):
@@ -170,4 +170,4 @@ SELECT 'This analysis covers ' || n || ' records over 7 periods ({FIRST} to {LAT
 FROM base, t, top""")
 def analyze_wide(spark, sf_dir):
     """The whole wide analysis; its summary text is compared."""
-    return analyze(wide(spark, sf_dir), "supplier_years").summary
+    return analyze(wide(spark, sf_dir).persist(), "supplier_years").summary

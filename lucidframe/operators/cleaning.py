@@ -211,6 +211,12 @@ class Cleaned:
     renamed: dict[str, str]
     missing_cells: int = 0
     outliers: int = 0
+    _held: DataFrame | None = None
+
+    def release(self) -> None:
+        """Drop the deduplicated table from the executors; `df` is then computed from its source."""
+        if self._held is not None:
+            self._held.unpersist()
 
     @property
     def duplicates_removed(self) -> int:
@@ -277,4 +283,4 @@ def clean_dataset(df: DataFrame) -> Cleaned:
         (STEPS[6], w.STEP_NUMBERS.format(n=amount("p", texts)), amount("p", texts), hit("p", texts)),
     ]
     report = df.sparkSession.createDataFrame(rows, REPORT_SCHEMA)
-    return Cleaned(out, report, original_rows, cleaned_rows, len(df.columns), mapping, missing, outliers)
+    return Cleaned(out, report, original_rows, cleaned_rows, len(df.columns), mapping, missing, outliers, base)

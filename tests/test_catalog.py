@@ -19,7 +19,7 @@ SOME = [
     "parse_currency", "profile_columns", "detect_column_types", "unpivot_periods", "cagr", "insight_wide_category", "time_series_sums",
     "pearson_strength", "insight_leader", "insight_peak", "norm_min_two_nonnull", "text_table_cells", "document_table_detect", "grid_header_fill",
     "stream_running_totals", "grid_header_row", "grid_cells", "pie_share_of_all", "area_over_time", "audit_nulls", "clean_defaults", "validate_core_fields",
-    "clean_projects", "filter_options", "filtered_reanalysis",
+    "clean_projects", "filter_options", "filtered_reanalysis", "describe_measures", "category_association", "integrity_report", "autocorrelation_days", "src_csv_normalized", "grid_table",
 ]
 
 
