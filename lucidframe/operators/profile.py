@@ -130,21 +130,22 @@ def _chunk_facts(df: DataFrame, columns: list[str], offset: int) -> DataFrame:
         dtype = df.schema[c].dataType
         cell, number = F.col(f"t{i}"), F.col(f"v{i}")
         off_years = F.count_if((number < low) | (number > high))
+        broken = F.count_if(number != F.floor(number))
         if isinstance(dtype, (T.NumericType, T.BooleanType)):
             cells += [col_of(c).alias(f"t{i}"), numeric_of(df, c).alias(f"v{i}")]
-            measured = (F.count(number), zero, zero, off_years, *_number_stats(df, c, number))
+            measured = (F.count(number), zero, zero, off_years, broken, *_number_stats(df, c, number))
         elif isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
             cells.append(col_of(c).alias(f"t{i}"))
-            measured = (zero, F.count(cell), zero, zero, *[F.lit(None).cast("double")] * 3)
+            measured = (zero, F.count(cell), zero, zero, zero, *[F.lit(None).cast("double")] * 3)
         else:
             filled = F.when(~missing_of(df, c), as_text(df, c))
             cells += [filled.alias(f"t{i}"), js_number(filled).alias(f"v{i}")]
             dated = F.count_if(cell.rlike(DATE_START))
             length = F.coalesce(F.sum(F.length(cell)), zero)
-            measured = (F.count(number), dated, length, off_years, *_number_stats(df, c, number))
+            measured = (F.count(number), dated, length, off_years, broken, *_number_stats(df, c, number))
         aggregates.append(F.count(cell).alias(f"f{i}"))
-        aggregates += [m.alias(f"{k}{i}") for k, m in zip(("n", "d", "l", "y", "lo", "hi", "s"), measured)]
-    names = {"f": "filled", "n": "numeric", "d": "dated", "l": "text_length", "y": "off_years", "lo": "min", "hi": "max", "s": "sum"}
+        aggregates += [m.alias(f"{k}{i}") for k, m in zip(("n", "d", "l", "y", "x", "lo", "hi", "s"), measured)]
+    names = {"f": "filled", "n": "numeric", "d": "dated", "l": "text_length", "y": "off_years", "x": "fractions", "lo": "min", "hi": "max", "s": "sum"}
     index = {c: i for i, c in enumerate(columns)}
     return _one_row_per_column(
         df.select(*cells).agg(*aggregates),
@@ -153,11 +154,10 @@ def _chunk_facts(df: DataFrame, columns: list[str], offset: int) -> DataFrame:
     )
 
 
-def column_type(strict_ids: bool = False, integral: Column | None = None) -> Column:
+def column_type(strict_ids: bool = False) -> Column:
     """Logical type from the facts; the first rule that holds decides.
 
-    `strict_ids` keeps near-unique measures numeric unless `integral` says that
-    the column holds whole numbers only.
+    `strict_ids` keeps near-unique measures numeric unless the column holds whole numbers only.
     """
     name = F.lower("column")
     temporal_name = F.lit(False)
@@ -167,8 +167,8 @@ def column_type(strict_ids: bool = False, integral: Column | None = None) -> Col
     rows, filled, unique = F.col("rows"), F.col("filled"), F.col("unique_count")
     mostly_numeric = F.col("numeric") > filled * 0.7
     near_unique = (unique > rows * 0.9) & (rows > 20)
-    if strict_ids and integral is not None:
-        near_unique = near_unique & integral
+    if strict_ids:
+        near_unique = near_unique & (F.col("fractions") == 0)
     mean_length = F.col("text_length") / F.greatest(filled, F.lit(1))
     return (
         F.when(name == PERIOD_NAME, "temporal")
@@ -183,10 +183,10 @@ def column_type(strict_ids: bool = False, integral: Column | None = None) -> Col
     )
 
 
-def detect_column_types(df: DataFrame, columns: list[str] | None = None, approximate: bool = False) -> DataFrame:
+def detect_column_types(df: DataFrame, columns: list[str] | None = None, approximate: bool = False, strict_ids: bool = False) -> DataFrame:
     facts = column_facts(df, columns, approximate)
     return facts.select(
-        "position", "column", column_type().alias("type"), "unique_count", (F.col("rows") - F.col("filled")).alias("null_count")
+        "position", "column", column_type(strict_ids).alias("type"), "unique_count", (F.col("rows") - F.col("filled")).alias("null_count")
     )
 
 
@@ -279,13 +279,13 @@ class Profile:
         return sorted([c for c in self.numeric if c.sum > 0], key=lambda c: -c.sum)
 
 
-def profile(df: DataFrame, columns: list[str] | None = None, approximate: bool = False, order_by: list[str] | None = None) -> Profile:
+def profile(df: DataFrame, columns: list[str] | None = None, approximate: bool = False, order_by: list[str] | None = None, strict_ids: bool = False) -> Profile:
     """Profile a table. What reaches the driver is bounded by the number of columns.
 
     With `order_by`, the first filled cells of each column in that order are its samples; without, there are none.
     """
     columns = columns or df.columns
-    typed = column_facts(df, columns, approximate).withColumn("type", column_type()).orderBy("position").collect()
+    typed = column_facts(df, columns, approximate).withColumn("type", column_type(strict_ids)).orderBy("position").collect()
     rows = typed[0]["rows"] if typed else 0
     out = [ColumnProfile(r["column"], r["type"], r["unique_count"], rows - r["filled"]) for r in typed]
     by_name = {c.name: c for c in out}

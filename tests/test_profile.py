@@ -82,3 +82,10 @@ def test_context(spark):
     text = prof.dataset_context(df, "Loan Book").first()["context"]
     assert text == 'This appears to be a lending/credit dataset. Note: columns "amount" (numeric, range: 0 – 6) may have abbreviated names from the source file.'
     assert prof.context_text("Loan Book", df.columns, prof.profile(df)) == text
+
+
+def test_strict_ids_keep_measures_numeric(spark):
+    df = spark.createDataFrame([(i, i + 0.5) for i in range(30)], "code int, size double")
+    types = lambda **how: {r["column"]: r["type"] for r in prof.detect_column_types(df, **how).collect()}
+    assert types() == {"code": "id", "size": "id"}
+    assert types(strict_ids=True) == {"code": "id", "size": "numeric"}
