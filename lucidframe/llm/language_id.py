@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import columns_of, written
 from .url_filters import host_of
 from .words import text_slices
 
@@ -158,7 +158,7 @@ def fuse(rows: DataFrame, languages: list[str]) -> DataFrame:
     logs = F.zip_with(F.zip_with("__logs", prior, lambda x, p: x + F.log(p)), F.coalesce("__signs", nothing), lambda x, sign: x + sign)
     out = out.withColumn("__fused", _posterior(logs)).withColumn("__posterior", F.coalesce(F.array_max("__fused"), F.lit(0.0)))
     named = F.element_at(F.array(*(F.lit(x) for x in languages)), F.array_position("__fused", F.col("__posterior")).cast("int"))
-    return out.withColumn("__lang", F.when(F.col("__posterior") >= LEAST_POSTERIOR, named)).select(*rows.columns, "__lang", "__posterior")
+    return out.withColumn("__lang", F.when(F.col("__posterior") >= LEAST_POSTERIOR, named)).select(*columns_of(rows), "__lang", "__posterior")
 
 
 def _unknown(rows: DataFrame) -> DataFrame:
@@ -194,4 +194,4 @@ def identify_documents(docs: DataFrame, labelled: DataFrame | None = None, text_
 
 def keep_identified(docs: DataFrame, **how) -> DataFrame:
     """The rows of `docs` that have a language, columns as they are."""
-    return identify_documents(docs, **how).where("__lang IS NOT NULL").select(*docs.columns)
+    return identify_documents(docs, **how).where("__lang IS NOT NULL").select(*columns_of(docs))

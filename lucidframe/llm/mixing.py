@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import columns_of, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 ROUNDS = 12
@@ -96,4 +96,4 @@ def keep_mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select("*", *(c.alias(n) for n, c in described.items()))
     chances = cell_chances(rows.select(*(F.col(f"__{n}").alias(n) for n in (*CELL, "tokens"))), **how)
     out = rows.join(chances.withColumnsRenamed({n: f"__{n}" for n in (*CELL, "chance")}), [f"__{n}" for n in CELL])
-    return out.where(uniform_of(F.col("__key"), seed) < F.col("__chance")).where("__tokens > 0").select(*docs.columns)
+    return out.where(uniform_of(F.col("__key"), seed) < F.col("__chance")).where("__tokens > 0").select(*columns_of(docs))

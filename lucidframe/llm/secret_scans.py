@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import columns_of, written
 
 
 @dataclass(frozen=True)
@@ -131,4 +131,4 @@ def mask_secrets(docs: DataFrame, ledger: DataFrame | None = None, rules: list[R
     rows = rows.withColumn(text_col, text)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("__found").isNull(), F.col("n_chars")).otherwise(F.length(text_col).cast(docs.schema["n_chars"].dataType)))
-    return rows.select(*docs.columns)
+    return rows.select(*columns_of(docs))

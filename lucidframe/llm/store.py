@@ -6,7 +6,8 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -36,6 +37,11 @@ def _shuffles_dropped_afterwards(spark: SparkSession):
             spark.conf.set(_CLEANUP, before)
 
 
+def columns_of(df: DataFrame, without: tuple[str, ...] = ()) -> list[Column]:
+    """The columns of `df`, whatever signs their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c not in without]
+
+
 def written(df: DataFrame) -> DataFrame:
     """`df` written once as Parquet in the shared folder and read back: short lineage that survives lost executors.
 

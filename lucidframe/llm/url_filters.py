@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import columns_of
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ADDRESS = "://([^/?#]*)([^?#]*)"
 PREFIX_HEX = 8  # 4 bytes of the digest decide which rules are compared in full
@@ -48,7 +50,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     """
     rules = rules.select("host", "path", "verdict").dropna().distinct()
     shape = rules.agg(F.max(F.size(F.split("host", r"\."))).alias("labels"), F.sort_array(F.collect_set(F.length("path"))).alias("lengths")).first()
-    extra = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    extra = columns_of(pages, without=("host", "path", "rule", "verdict"))
     placed = pages.select(*extra, host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     if shape.labels is None:
         return placed.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})

@@ -35,3 +35,12 @@ def test_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "")
     assert docs.count() == 0
+
+
+def test_other_columns_pass_through(spark):
+    rows = [(i, f"the house number {i} near water", "en", "a", 30, i, "x", i) for i in range(30)] + [(50, "the token = 'abcdefgh' here", "en", "a", 30, 9, None, None)]
+    docs = table(spark, rows, "doc_id long, text string, lang string, source string, n_chars long, tokens long, `a.b` string, component_id long")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and out.count() > 0
+        assert {r["tokens"] for r in out.collect()} <= set(range(30))
