@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import columns_of, written
+from .store import among_least, columns_of, written
 from .url_filters import host_of
 from .words import text_slices
 
@@ -64,9 +64,10 @@ def learn_trigrams(labelled: DataFrame, id_col: str = "doc_id", text_col: str =
     Rows are chosen by a digest of their id. Null ids, texts and labels are left out.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).dropna()
-    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
+    top = rows.groupBy("lang").agg(F.count("*").alias("count"), F.approx_count_distinct("id").alias("ids")).orderBy(F.desc("count"), "lang").limit(LANGUAGES)
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = rows.join(F.broadcast(top), "lang").withColumn("place", place).where(F.col("place") <= ROWS_PER_LANGUAGE).select("id").distinct()
+    low = rows.join(F.broadcast(top), "lang").where(among_least(F.col("id"), ROWS_PER_LANGUAGE, F.col("ids")))
+    chosen = low.withColumn("place", place).where(F.col("place") <= ROWS_PER_LANGUAGE).select("id").distinct()
     texts = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna().join(F.broadcast(chosen), "id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -42,6 +42,15 @@ def columns_of(df: DataFrame, without: tuple[str, ...] = ()) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c not in without]
 
 
+def among_least(key: Column, wanted: int, count: Column) -> Column:
+    """Whether a digest of `key` is low enough to be among the `wanted` least of `count` distinct ones, with room to spare.
+
+    A filter ahead of a ranking by the same digest: it changes no result and leaves the ranking a bounded number of rows.
+    """
+    share = 4.0 * wanted / count
+    return F.xxhash64(key).cast("double") <= share * float(1 << 64) - float(1 << 63)
+
+
 def written(df: DataFrame) -> DataFrame:
     """`df` written once as Parquet in the shared folder and read back: short lineage that survives lost executors.
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import among_least, written
 from .words import shingle_sets
 
 ROWS_PER_LABEL = 4000  # labelled rows of each kind that lexicon and weights are learned from
@@ -216,8 +216,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray]:
     Null labels or ids are no labels; an id labelled both ways counts as toxic. Without toxic rows the lexicon is empty.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out(F.col("doc_id")))
+    kinds = known.groupBy("toxic").agg(F.count("*").alias("ids"))
+    low = known.join(F.broadcast(kinds), "toxic").where(among_least(F.col("doc_id"), ROWS_PER_LABEL, F.col("ids"))).drop("ids")
     place = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.withColumn("place", place).where(F.col("place") <= ROWS_PER_LABEL).drop("place")
+    chosen = low.withColumn("place", place).where(F.col("place") <= ROWS_PER_LABEL).drop("place")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
     texts = texts.select(F.coalesce("text", F.lit("")).alias("text"), "toxic").mapInArrow(_keyed, "text string, toxic int, key long")
     texts = written(texts.dropDuplicates(["key", "toxic"]).drop("key"))
