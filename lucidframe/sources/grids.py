@@ -173,12 +173,16 @@ def _under(cells: DataFrame, headers: DataFrame) -> DataFrame:
 
 
 def first_row_headers(cells: DataFrame) -> DataFrame:
-    """(sheet_id, data_from, col_idx, header, name): the first row of each sheet as its header, for want of a better one."""
-    first = cells.groupBy("sheet_id").agg(F.min("row_idx").alias("first"))
-    heads = cells.join(first, "sheet_id").where("row_idx = first AND col_idx IS NOT NULL")
+    """(sheet_id, data_from, col_idx, header, name): the first row of each sheet as its header, for want of a better one.
+
+    The header reaches to the sheet's last column, however short its first row is.
+    """
+    sheets = cells.groupBy("sheet_id").agg(F.min("row_idx").alias("first"), F.max("col_idx").alias("width"))
+    columns = sheets.select("sheet_id", "first", F.explode(F.sequence(F.lit(0), "width")).alias("col_idx"))
+    heads = cells.join(sheets.select("sheet_id", "first"), "sheet_id").where("row_idx = first").select("sheet_id", "col_idx", "value")
     text = F.coalesce(strip_spaces(F.col("value")), F.lit(""))
-    headers = heads.select(
-        "sheet_id", (F.col("row_idx") + 1).alias("data_from"), "col_idx", F.when(text != "", text).otherwise(F.concat(F.lit("Column "), (F.col("col_idx") + 1).cast("string"))).alias("header")
+    headers = columns.join(heads, ["sheet_id", "col_idx"], "left").select(
+        "sheet_id", (F.col("first") + 1).alias("data_from"), F.col("col_idx").cast("int").alias("col_idx"), F.when(text != "", text).otherwise(F.concat(F.lit("Column "), (F.col("col_idx") + 1).cast("string"))).alias("header")
     )
     repeat = F.row_number().over(Window.partitionBy("sheet_id", "header").orderBy("col_idx")) - 1
     return headers.withColumn("name", F.when(repeat > 0, F.concat_ws("_", "header", repeat.cast("string"))).otherwise(F.col("header")))

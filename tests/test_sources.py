@@ -144,6 +144,14 @@ def test_grid_table_falls_back_to_the_first_row(spark, rows_of):
     assert rows_of(table.where("sheet_id = 0 AND row_idx = 3"), "value") == [("1",), ("2",), ("3",), ("4",), ("X",)]
 
 
+def test_grid_table_keeps_columns_beyond_a_short_first_row(spark, rows_of):
+    titled = [["Order 7", None, None, None], ["10", "20", "30", "40"], ["11", "21", None, "41"], ["12", "22", "32", None]]
+    for cells in (grid(spark, titled), grid(spark, titled).where("value IS NOT NULL")):
+        table = grids.grid_table(cells).where("value IS NOT NULL")
+        assert {(r["col_idx"], r["name"]) for r in table.collect()} == {(0, "Order 7"), (1, "Column 2"), (2, "Column 3"), (3, "Column 4")}
+        assert rows_of(table, "row_idx", "col_idx", "value") == [(r, c, v) for r, row in enumerate(titled) for c, v in enumerate(row) if r and v is not None]
+
+
 def test_garbage_headers(spark):
     headers = [(0, h) for h in ("782", "671.5", "4/", "name")] + [(1, h) for h in ("1990", "1991", "name")] + [(2, h) for h in ("1", "2")]
     df = spark.createDataFrame(headers, "sheet_id int, header string")
