@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 
@@ -155,24 +156,27 @@ _NUMERIC = re.compile(r"\d")
 
 def pseudonymised(text: str, permute: Permutation, back: bool = False) -> tuple[str, list[tuple[int, str, int]]]:
     """The text with pseudonyms, and (start, kind, end) of what they replaced, in code points of the given text."""
-    found: list[tuple[int, int, str, str]] = []
+    found: list[tuple[int, int, str, str]] = []  # by start, none overlapping another
     numeric = _NUMERIC.search(text) is not None
     for kind, (pattern, change) in KINDS.items():
         if not ("@" in text if kind == "email" else numeric):
             continue
+        more = []
         for match in re.finditer(pattern, text):
+            after = bisect_left(found, (match.end(),))  # matches of one kind are apart, so only earlier kinds can overlap
+            if after and found[after - 1][1] > match.start():
+                continue
             new = change(match.group(), permute, back)
-            if new is not None and not any(s < match.end() and match.start() < e for s, e, _, _ in found[-64:]):
-                found.append((match.start(), match.end(), kind, new))
+            if new is not None:
+                more.append((match.start(), match.end(), kind, new))
+        found = sorted(found + more)
     if not found:
         return text, []
-    found.sort()
     parts, at, spans = [], 0, []
     for start, end, kind, new in found:
-        if start >= at:
-            parts += [text[at:start], new]
-            spans.append((start, kind, end))
-            at = end
+        parts += [text[at:start], new]
+        spans.append((start, kind, end))
+        at = end
     return "".join([*parts, text[at:]]), spans
 
 

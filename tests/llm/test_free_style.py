@@ -240,6 +240,19 @@ def test_formats_stay():
     assert cards[0] == cards[1] and pseudonyms.check_digit(cards[0][:-1]) == int(cards[0][-1])
 
 
+def test_long_texts_are_treated_like_short_ones():
+    permute = pseudonyms.Permutation(KEY)
+    mixed = ["4417744280351547@mail.example.com", "2024-02-29@example.com", "129.38.82.176@example.com"]
+    short = [pseudonyms.pseudonymised(value, permute) for value in mixed]
+    assert [kind for _, spans in short for _, kind, _ in spans] == ["email"] * 3
+    filler = [f"jo{i}@example.com 4417744280351547 2024-02-29" for i in range(100)]
+    new, spans = pseudonyms.pseudonymised(" ".join([*mixed, *filler, *mixed]), permute)
+    words = new.split(" ")
+    assert words[:3] == words[-3:] == [value for value, _ in short]
+    assert [kind for _, kind, _ in spans] == ["email"] * 3 + ["email", "card", "date"] * 100 + ["email"] * 3
+    assert pseudonyms.pseudonymised(new, permute, back=True)[0] == " ".join([*mixed, *filler, *mixed])
+
+
 @pytest.mark.parametrize("text", ["", "plain words", "4417744280351548", "999.1.1.1", "1.2.3", "2023-02-30", "version 2.0.1.", "token = 24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "a@b", "12345"])
 def test_others_are_left_alone(text):
     assert pseudonyms.pseudonymised(text, pseudonyms.Permutation(KEY)) == (text, [])
