@@ -9,7 +9,7 @@ posteriors. A row's own posterior is left out of its host's prior.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +21,8 @@ from .url_filters import host_of
 from .words import text_slices
 
 ROWS_PER_LANGUAGE = 1000  # labelled rows that a language's trigrams are learned from
-LANGUAGES = 64  # the most frequent labels that are learned
 BUCKETS = 1 << 12
+HELD_LANGUAGES = 256  # languages whose counts a task holds before it hands them on
 TEMPER = 0.3  # trigrams overlap, so each counts for less than an independent sign
 HOST_STRENGTH, SUFFIX_STRENGTH, DECLARED_STRENGTH = 5.0, 20.0, 5.0
 LEAST_POSTERIOR = 0.5
@@ -61,29 +61,37 @@ def _texts(column: pa.Array, markup: bool) -> pa.Array:
 def learn_trigrams(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages and the log-probability of every bucket in each, from at most ROWS_PER_LANGUAGE rows per label.
 
-    Rows are chosen by a digest of their id. Null ids, texts and labels are left out.
+    Every label is learned, however rare. Rows are chosen by a digest of their id. Null ids, texts and labels are left out.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).dropna()
-    top = rows.groupBy("lang").agg(F.count("*").alias("count"), F.approx_count_distinct("id").alias("ids")).orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    labels = rows.groupBy("lang").agg(F.approx_count_distinct("id").alias("ids"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    low = rows.join(F.broadcast(top), "lang").where(among_least(F.col("id"), ROWS_PER_LANGUAGE, F.col("ids")))
+    low = rows.join(F.broadcast(labels), "lang").where(among_least(F.col("id"), ROWS_PER_LANGUAGE, F.col("ids")))
     chosen = low.withColumn("place", place).where(F.col("place") <= ROWS_PER_LANGUAGE).select("id").distinct()
     texts = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna().join(F.broadcast(chosen), "id")
 
+    def handed_on(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for lang, counts in sums.items():
+            held = np.flatnonzero(counts) if counts.any() else np.arange(1)  # a label without trigrams is one, too
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(held), pa.string()), pa.array(held), pa.array(counts[held])], ["lang", "bucket", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = batch.column(1).to_pylist()
             for row, counts in trigram_counts(batch.column(0)):
+                if langs[row] not in sums and len(sums) >= HELD_LANGUAGES:
+                    yield from handed_on(sums)
+                    sums = {}
                 sums[langs[row]] = sums.get(langs[row], 0) + counts
-        for lang, counts in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * BUCKETS), pa.array(np.arange(BUCKETS)), pa.array(counts)], ["lang", "bucket", "n"])
+        yield from handed_on(sums)
 
-    found = texts.select("text", "lang").mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
-    languages = sorted({row.lang for row in found})
+    found = texts.select("text", "lang").mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    names = found["lang"].combine_chunks().dictionary_encode()
+    order = np.argsort(np.array(names.dictionary.to_pylist(), dtype=object))
+    languages = [names.dictionary[int(i)].as_py() for i in order]
     counts = np.full((BUCKETS, len(languages)), 0.5)
-    for row in found:
-        counts[row.bucket, languages.index(row.lang)] += row.n
+    counts[found["bucket"].to_numpy(), np.argsort(order)[names.indices.to_numpy()]] += found["n"].to_numpy()
     return languages, np.log(counts / counts.sum(axis=0))
 
 
@@ -117,14 +125,19 @@ def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
 
 
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, not once for each element that a lambda below sees."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _posterior(logs: Column) -> Column:
     """Probabilities of logarithms known up to a constant."""
-    parts = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
-    return F.transform(parts, lambda x: x / _total(parts))
+    parts = _with(logs, lambda known: _with(F.array_max(known), lambda top: F.transform(known, lambda x: F.exp(x - top))))
+    return _with(parts, lambda p: _with(_total(p), lambda total: F.transform(p, lambda x: x / total)))
 
 
 def _smoothed(own: Column, towards: Column, strength: float) -> Column:
-    return F.zip_with(own, towards, lambda o, t: (o + strength * t) / (_total(own) + strength))
+    return _with(own, lambda known: _with(_total(known), lambda total: F.zip_with(known, towards, lambda o, t: (o + strength * t) / (total + strength))))
 
 
 def fuse(rows: DataFrame, languages: list[str]) -> DataFrame:
@@ -149,7 +162,7 @@ def fuse(rows: DataFrame, languages: list[str]) -> DataFrame:
     per_language = [x or 0.0 for x in declaring.agg(sums.alias("p")).first().p]
     totals = F.array(*(F.lit(float(x)) for x in per_language))
     share = _total(F.col("p")) / F.lit(max(float(sum(per_language)), 1e-9))
-    signs = F.zip_with("p", totals, lambda x, t: F.log((x + DECLARED_STRENGTH * share) / (t + DECLARED_STRENGTH)))
+    signs = _with(share, lambda s: F.zip_with("p", totals, lambda x, t: F.log((x + DECLARED_STRENGTH * s) / (t + DECLARED_STRENGTH))))
     declaring = written(declaring.select("__declared", signs.alias("__signs")))
 
     nothing = F.array_repeat(F.lit(0.0), n)

@@ -305,3 +305,17 @@ def test_languages_of_pages(spark):
     assert out[901].lang is None and out[902].lang is None and out[None].lang is None and out[900].declared == "de"
     assert language_id.identify_pages(table(spark, [], schema), docs).count() == 0
     assert {r.lang for r in language_id.identify_pages(table(spark, rows, schema), table(spark, [])).collect()} == {None}
+
+
+def test_rare_languages_are_learned(spark):
+    signs = "abcdefghijklmnopqrstuvwxyz"
+    rng = random.Random(11)
+    words = {f"l{i:02d}": ["".join(rng.choice(signs) for _ in range(6)) for _ in range(12)] for i in range(70)}
+    text = lambda lang: " ".join(rng.choice(words[lang]) for _ in range(30))
+    rows = [(100 * i + k, text(lang), lang, "s") for i, lang in enumerate(words) for k in range(2 if i % 10 == 0 else 3)]
+    docs = table(spark, rows)
+    languages, model = language_id.learn_trigrams(docs)
+    assert languages == sorted(words) and model.shape == (language_id.BUCKETS, 70)
+    pages = [(i, f"http://h{i}.example/p", f"<html><p>{text(lang)}</p></html>") for i, lang in enumerate(words)]
+    out = language_id.identify_pages(table(spark, pages, "page_id long, url string, html string"), docs).collect()
+    assert {r.page_id: r.lang for r in out} == dict(enumerate(words))
