@@ -45,6 +45,15 @@ ADDED_RULES = [
 ]
 RULES = BASE_RULES + ADDED_RULES
 
+# What is masked of a private key: all from BEGIN to END, or where END is missing, the lines in base64 that follow. All
+# loops are possessive, which Java runs without recursion, so a long text needs no deep stack.
+_GAP, _RUN = r"(?:\s|\\[nr])", r"[A-Za-z0-9+/]{16,}+={0,2}+"
+_TO_END = r"(?:[^-]++|-(?!----(?:BEGIN|END) ))*+-----END [A-Z ]*PRIVATE KEY-----"
+_LAST_LINE = r"(?:[ \t]*+(?:\R|\\[nr])[ \t]*+[A-Za-z0-9+/]{1,15}+={0,2}+[ \t]*+(?=[\r\n\\]|\z))?+"
+_LINES = rf"(?:(?:\s*+(?:Proc-Type|DEK-Info):[^\r\n]*+)*+(?:{_GAP}*+{_RUN})++{_LAST_LINE})?+"
+WHOLE_KEY = Rule("pem", f"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{_TO_END}|{_LINES})")
+MASKED_RULES = [WHOLE_KEY if rule.kind == WHOLE_KEY.kind else rule for rule in RULES]
+
 LEDGER = "blob string, rule_version string, spans array<struct<start:long,end:long>>"
 
 
@@ -122,8 +131,11 @@ def masked(text: Column, found: Column, mask: str = "[SECRET]") -> Column:
     return F.when(F.size(found) > 0, F.aggregate(found, start, add, rest)).otherwise(text)
 
 
-def mask_secrets(docs: DataFrame, ledger: DataFrame | None = None, rules: list[Rule] = RULES, text_col: str = "text") -> DataFrame:
-    """`docs` with secrets masked in their texts; all rows stay, other columns are untouched but `n_chars`, which follows the text."""
+def mask_secrets(docs: DataFrame, ledger: DataFrame | None = None, rules: list[Rule] = MASKED_RULES, text_col: str = "text") -> DataFrame:
+    """`docs` with secrets masked in their texts; all rows stay, other columns are untouched but `n_chars`, which follows the text.
+
+    A private key is masked with its body, while a scan with RULES places its first line only.
+    """
     new = written(scan(docs, ledger, rules, text_col))
     known = findings(new if ledger is None else ledger.unionByName(new), rules).withColumnsRenamed({"blob": "__blob", "found": "__found"})
     rows = docs.join(known, blob_of(F.col(text_col)) == F.col("__blob"), "left")
