@@ -90,14 +90,29 @@ _ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.int64)
 _BYTES = np.arange(256, dtype=np.int64)
 
 
+class Tables:
+    """For each byte position of a shard's codes, a table from byte value to the rows that have it there."""
+
+    def __init__(self, codes: np.ndarray):
+        self.codes = codes
+        self.buckets = [np.split(np.argsort(column, kind="stable"), np.cumsum(np.bincount(column, minlength=256))[:-1]) for column in codes.T]
+
+    def probed(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """Rows in the buckets that some table is probed at."""
+        hit = np.zeros(len(self.codes), dtype=bool)
+        for buckets, byte, share in zip(self.buckets, code.tolist(), shares(radius, len(self.buckets)), strict=True):
+            if share >= 0:
+                hit[np.concatenate([buckets[value] for value in np.flatnonzero(_ONES[_BYTES ^ byte] <= share).tolist()])] = True
+        return np.flatnonzero(hit)
+
+    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """Rows whose code is within the radius: probed table by table, then checked in full."""
+        rows = self.probed(code, radius)
+        return rows[distances(self.codes[rows], code) <= radius]
+
+
 def within(codes: np.ndarray, code: np.ndarray, radius: int) -> np.ndarray:
-    """Rows whose code is within the radius: probed table by table, then checked in full."""
-    hit = np.zeros(len(codes), dtype=bool)
-    for table, share in enumerate(shares(radius, codes.shape[1])):
-        if share >= 0:
-            hit |= (_ONES[_BYTES ^ int(code[table])] <= share)[codes[:, table]]
-    rows = np.flatnonzero(hit)
-    return rows[distances(codes[rows], code) <= radius]
+    return Tables(codes).within(code, radius)
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -114,11 +129,12 @@ def _searcher(radius: int, width: int, neighbours: int):
         out: dict[str, list] = {"query_id": [], "query_key": [], "vec_id": [], "score": []}
         if asked.num_rows and indexed.num_rows:
             ids, vectors, codes = indexed["vec_id"].to_numpy(), _matrix(indexed["embedding"], width), np.ascontiguousarray(_codes(indexed["code"]))
+            tables = Tables(codes)
             rows = zip(asked["vec_id"].to_pylist(), asked["query_key"].to_pylist(), _matrix(asked["embedding"], width), _codes(asked["code"]), strict=True)
             for query_id, query_key, vector, code in rows:
                 wanted, reach = min(neighbours, int((ids != query_id).sum())), radius
                 while True:  # fewer than wanted in the radius: this shard is probed again, wider
-                    found = within(codes, code, reach)
+                    found = tables.within(code, reach)
                     found = found[ids[found] != query_id]
                     if len(found) >= wanted or reach >= BITS:
                         break

@@ -160,6 +160,17 @@ def test_probing_finds_every_code_in_the_radius():
         assert np.array_equal(hi.within(codes, codes[5], radius), want)
 
 
+def test_tables_hold_every_row_under_its_bytes():
+    codes = np.random.default_rng(2).integers(0, 256, (700, hi.BITS // 8), dtype=np.uint8)
+    tables = hi.Tables(codes)
+    for place, buckets in enumerate(tables.buckets):
+        assert len(buckets) == 256 and all(np.array_equal(rows, np.flatnonzero(codes[:, place] == value)) for value, rows in enumerate(buckets))
+    for radius in (-1, 0, 10, 47, hi.BITS):
+        near = np.bitwise_count(codes ^ codes[5]) <= hi.shares(radius, hi.BITS // 8)
+        assert np.array_equal(tables.probed(codes[5], radius), np.flatnonzero(near.any(axis=1)))
+    assert len(hi.Tables(codes[:0]).within(codes[5], 47)) == 0
+
+
 # --- toxicity ------------------------------------------------------------------
 
 def test_misspellings_and_quotation():
