@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, hamming_index, language_id, mixing, ngram_join, packing, pseudonyms, secret_scans, sql_text, toxicity, url_filters
+from . import conversation_repair, fingerprints, hamming_index, hard_negatives, language_id, minhash, mixing, ngram_join, packing, pseudonyms, secret_scans, sql_text, toxicity, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -86,3 +86,36 @@ PSEUDONYM_KEY = b"a key of the test tables"
 @_query()
 def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(_table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
+def damaged_turns(turns: DataFrame) -> DataFrame:
+    """A twentieth each of the rows dropped, emptied, without stops, repeated (`times`) or said by the user; nulls as one space."""
+    given = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(" "))
+    harm = (F.crc32(F.concat(given("conv_id"), F.lit(":"), given("turn"))) % 20).cast("int")
+    rows = turns.select("conv_id", "turn", given("role").alias("role"), given("text").alias("text"), harm.alias("harm")).where("harm <> 0")
+    text = F.when(F.col("harm") == 1, "").when(F.col("harm") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("harm") == 4, "user").otherwise(F.col("role"))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.when(F.col("harm") == 3, 2).otherwise(1).alias("times"))
+
+
+@_query()
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    repaired = conversation_repair.repair_conversations(damaged_turns(turns), times=F.col("times"))
+    digests = conversation_repair.text_digests(repaired.pieces)
+    every, told, digest = turns.select("conv_id").distinct().alias("every"), repaired.reports.alias("told"), digests.alias("digest")
+    out = every.join(told, F.col("every.conv_id").eqNullSafe(F.col("told.conv_id")), "left")
+    out = out.join(digest, F.col("every.conv_id").eqNullSafe(F.col("digest.conv_id")), "left")
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("every.conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+@_query(sql_text.hard_negatives())
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+
+
+@_query()
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))

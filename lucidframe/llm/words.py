@@ -88,12 +88,11 @@ def digests_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(np.add.reduceat(values, firsts))
 
 
-def shingle_sets(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, sorted distinct shingle digests) of every text.
+def shingle_sets(column: pa.Array | pa.ChunkedArray, size: int = SHINGLE_WORDS) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, sorted distinct digests of the shingles of `size` words, five at most) of every text.
 
     Fewer words than a shingle make one shingle of the whole sequence; no words make an empty set.
     """
-    size = SHINGLE_WORDS
     for first, data, offsets in text_slices(column):
         words, before = word_digests(data, offsets)
         runs = np.zeros(max(len(words) - size + 1, 0), dtype=np.uint64)
