@@ -7,7 +7,9 @@ them are buckets, and classes that share a bucket are candidates. Two sets at th
 Candidates are compared by two bits of every minimum, a batch of 32 minima in one long. After each batch the number that agree
 gives a posterior over the similarity (uniform prior); a pair goes as soon as the posterior chance of the threshold is below
 `MISS`. The bounds are constants per batch, so the whole test is one short-circuited condition of the join that finds the
-candidates: pruned pairs are never rows. Survivors are verified on their whole sets.
+candidates: pruned pairs are never rows. A certain bound follows in the same condition: parities of hash buckets differ in
+no more places than the sets in features, so pairs just below the threshold, which no number of minima could tell from links
+at that chance, seldom become rows either. Survivors are verified on their whole sets.
 
 Members of a bucket first meet its pivots only. Where a bucket then still holds several components, the members outside its
 largest one meet the others, so copies never meet in all pairs.
@@ -24,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .ngram_join import SKETCH_BITS, sketch
 from .store import written
 from .words import mix, shingle_sets
 
@@ -37,6 +40,7 @@ CHUNK = 1 << 16  # features hashed at a time
 
 _U = np.uint64
 _SIGNS = [f"sign{i}" for i in range(BATCHES)]
+_PARITIES = [f"parity{i}" for i in range(SKETCH_BITS // 64)]
 _PIVOTS = [0, 0x3C6EF372FE94F82B]  # a pivot is the member next to each of these numbers
 _FLIPS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 _FACTORS = mix(_FLIPS ^ _U(0xA5A5A5A5)) | _U(1)
@@ -100,16 +104,18 @@ def set_digests(features: np.ndarray) -> tuple[int, int]:
     return int(both[0]), int(both[1])
 
 
-_NAMES = ["doc_id", "n_shingles", "digest", "digest2", *_SIGNS, "buckets"]
+_COMPARED = [*_SIGNS, *_PARITIES]
+_NAMES = ["doc_id", "n_shingles", "digest", "digest2", *_COMPARED, "buckets"]
 
 
 def _described_batch(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
     filled = [i for i, x in enumerate(sets) if len(x)]
-    facts, found = np.zeros((len(sets), 3 + BATCHES), np.int64), np.zeros((0, HASHES // BAND), np.int64)
+    facts, found = np.zeros((len(sets), 3 + len(_COMPARED)), np.int64), np.zeros((0, HASHES // BAND), np.int64)
     if filled:
         least = _signatures([sets[i] for i in filled])
         facts[filled, :3] = [(len(sets[i]), *set_digests(sets[i])) for i in filled]
-        facts[filled, 3:], found = signs(least).view(np.int64), buckets(least).view(np.int64)
+        facts[filled, 3 : 3 + BATCHES], found = signs(least).view(np.int64), buckets(least).view(np.int64)
+        facts[filled, 3 + BATCHES :] = [sketch(sets[i]) for i in filled]
     lengths = np.zeros(len(sets) + 1, np.int32)
     lengths[np.array(filled, np.int64) + 1] = HASHES // BAND
     lists = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths, dtype=np.int32)), pa.array(found.ravel()))
@@ -150,7 +156,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _may_link(x: str, y: str) -> Column:
-    """Sizes allow the threshold, and no batch of minima leaves its posterior chance below `MISS`."""
+    """Sizes allow the threshold, no batch of minima leaves its posterior chance below `MISS`, and parities do not rule it out."""
     size_x, size_y = F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles")
     stays = SHARE[1] * F.least(size_x, size_y) >= SHARE[0] * F.greatest(size_x, size_y)
     differ = F.lit(0)
@@ -159,7 +165,8 @@ def _may_link(x: str, y: str) -> Column:
         either = bits.bitwiseOR(F.shiftrightunsigned(bits, 1)).bitwiseAND(F.lit(0x5555555555555555))
         differ = differ + F.bit_count(either)
         stays = stays & (differ <= BATCH * (i + 1) - least)
-    return stays
+    parities = sum((F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))) for p in _PARITIES), F.lit(0))
+    return stays & ((SHARE[0] + SHARE[1]) * parities <= (SHARE[1] - SHARE[0]) * (size_x + size_y))
 
 
 def _links(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -174,7 +181,7 @@ def _links(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _facts(classes: DataFrame, side: str) -> DataFrame:
-    return classes.select(F.col("node").alias(side), F.struct("n_shingles", *_SIGNS).alias(f"of_{side}"))
+    return classes.select(F.col("node").alias(side), F.struct("n_shingles", *_COMPARED).alias(f"of_{side}"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,7 +195,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     described = written(texts.mapInArrow(_described, ", ".join(f"{n} long" for n in _NAMES[:-1]) + ", buckets array<long>"))
     key = ["digest", "digest2"]
     classes = described.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy(*key)
-    classes = classes.agg(F.min("doc_id").alias("rep"), *(F.min(c).alias(c) for c in ["n_shingles", *_SIGNS]), F.first("buckets").alias("buckets"))
+    classes = classes.agg(F.min("doc_id").alias("rep"), *(F.min(c).alias(c) for c in ["n_shingles", *_COMPARED]), F.first("buckets").alias("buckets"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()))
 
     buckets_of = classes.select("node", F.explode("buckets").alias("bucket"))
