@@ -46,12 +46,38 @@ def trigram_counts(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
             yield first + row, np.bincount(buckets[a:b][full[a:b]], minlength=BUCKETS)
 
 
-_HIDDEN = re.compile(r"(?is)<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-z]{2,8};|&#x?[0-9a-f]{1,7};")
+_UNSEEN = re.compile(r"(?i)(script|style|noscript)\b")
+_CLOSED = {name: re.compile(rf"(?i)</{name}\s*>") for name in ("script", "style", "noscript")}
+_ENTITY = re.compile(r"(?i)&[a-z]{2,8};|&#x?[0-9a-f]{1,7};")
 
 
 def visible(html: str | None) -> str:
-    """What a page shows, as far as its language is concerned."""
-    return _HIDDEN.sub(" ", html) if html else ""
+    """What a page shows, as far as its language is concerned: one pass over the tags, however broken.
+
+    Scripts, styles and comments go up to their ends; where an end is missing, as after a tag that is never closed, only the tag
+    goes, and no end is looked for twice.
+    """
+    html, out, at, missing = html or "", [], 0, set()
+
+    def end_of(name: str, start: int) -> int:
+        if name in missing:
+            return -1
+        found = html.find("-->", start) + 3 if name == "-->" else closed.end() if (closed := _CLOSED[name].search(html, start)) else 2
+        if found == 2:
+            missing.add(name)
+        return found if found > 2 else -1
+
+    while (tag := html.find("<", at)) >= 0:
+        end = end_of("-->", tag + 4) if html.startswith("<!--", tag) else -1
+        if unseen := _UNSEEN.match(html, tag + 1):
+            end = end_of(unseen[1].lower(), unseen.end())
+        if end < 0:
+            end = html.find(">", tag) + 1
+        if end == 0:
+            break
+        out += [_ENTITY.sub(" ", html[at:tag]), " "]
+        at = end
+    return "".join([*out, _ENTITY.sub(" ", html[at:])])
 
 
 def _texts(column: pa.Array, markup: bool) -> pa.Array:

@@ -18,6 +18,7 @@ compared with all others, so copies never meet in all pairs.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import written
+from .store import columns_of, written
 from .words import mix, shingle_sets
 
 SMALL = 42
@@ -199,7 +200,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one row of every group of near duplicates: that with the smallest id.
 
-    Texts without words and rows with a null id all stay. Of rows that repeat an id, one stays if they have words.
+    Texts without words and rows with a null id all stay. Rows that repeat an id and a sequence of words are one: the least by
+    all columns stays. Different texts under one id all stay.
     """
     groups = jaccard_components(docs, id_col, text_col)
     kept = written(groups.where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("times"), F.max("n_shingles").alias("words")))
@@ -209,5 +211,7 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if repeats.isEmpty():
         return docs.where(F.col(id_col).isNull()).unionByName(docs.join(ids, key == F.col("__kept"), "left_semi"))
     single = docs.join(ids.join(repeats, "__kept", "left_anti"), key == F.col("__kept"), "left_semi")
-    first = docs.join(repeats, key == F.col("__kept"), "left_semi").dropDuplicates([id_col])
-    return docs.where(F.col(id_col).isNull()).unionByName(single).unionByName(first)
+    words = F.trim(F.regexp_replace(F.translate(F.col(text_col), string.ascii_uppercase, string.ascii_lowercase), r"[\x20\x09-\x0D]+", " "))
+    several = docs.join(repeats, key == F.col("__kept"), "left_semi").groupBy(key.alias("__kept"), F.md5(words).alias("__words"))
+    least = several.agg(F.min(F.struct(*columns_of(docs))).alias("__least")).select("__least.*")
+    return docs.where(F.col(id_col).isNull()).unionByName(single).unionByName(least)

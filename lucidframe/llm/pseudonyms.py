@@ -83,9 +83,21 @@ def card(value: str, permute: Permutation, back: bool = False) -> str | None:
     return _refilled(value, changed + str(check_digit(changed)))
 
 
+# Country codes of telephone numbers with one and two digits; all others have three.
+_CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+
+
+def _after_country(value: str) -> int:
+    """Where the number without its country code begins: at the first separator after three digits at most, else by the known codes."""
+    head = re.match(r"\+\d+", value).end()
+    if head <= 4 and head < len(value):
+        return head
+    return 1 + next((n for n in (1, 2) if value[1 : 1 + n] in _CODES), 3)
+
+
 def phone(value: str, permute: Permutation, back: bool = False) -> str | None:
-    """The country code (what stands before the first blank or bracket) stays."""
-    split = re.search(r"[ (.-]", value).start()
+    """The country code stays; 7 to 12 digits after it change, others are no telephone number here and stay as they are."""
+    split = _after_country(value)
     digits = _digits(value[split:])
     if not 7 <= len(digits) <= 12:
         return None
@@ -102,7 +114,7 @@ def address(value: str, permute: Permutation, back: bool = False) -> str | None:
 
 
 def calendar(value: str, permute: Permutation, back: bool = False) -> str | None:
-    """Year first, or day, month, year; whichever way, a date keeps its order and separators."""
+    """Year first, or day, month, year; whichever way, a date keeps its order and separators. Other years than 1900 to 2099 stay."""
     parts = re.split(r"[-/.]", value)
     order = (0, 1, 2) if len(parts[0]) == 4 else (2, 1, 0)
     try:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -330,3 +332,26 @@ def test_rare_languages_are_learned(spark):
     pages = [(i, f"http://h{i}.example/p", f"<html><p>{text(lang)}</p></html>") for i, lang in enumerate(words)]
     out = language_id.identify_pages(table(spark, pages, "page_id long, url string, html string"), docs).collect()
     assert {r.page_id: r.lang for r in out} == dict(enumerate(words))
+
+
+def test_broken_markup_takes_one_pass():
+    plain = re.compile(r"(?is)<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-z]{2,8};|&#x?[0-9a-f]{1,7};")
+    rng = random.Random(1)
+    parts = ["<script", "</script >", "</SCRIPT>", "<style a=b>", "</style>", "<!--", "-->", "<p>", "<", ">", "&amp;", "&#x27;", "x y", "<noscript>", "<scripty>", ";"]
+    for _ in range(5000):
+        page = "".join(rng.choice(parts) for _ in range(rng.randrange(12)))
+        assert language_id.visible(page) == plain.sub(" ", page)
+    began = time.perf_counter()
+    for page in ("<script ", "<!-- ", "<script></script ", "< ", "<style>&amp; "):
+        language_id.visible(page * (1 << 17))
+    assert time.perf_counter() - began < 20
+
+
+def test_phones_with_and_without_separators_are_linked(spark):
+    numbers = ["+19805556268", "+1 980 555 6268", "+1 (980) 555-6268", "+1980 555 6268", "+491711234567", "+49 171 1234567", "+49 171 123 4567", "+380441234567", "+380 44 123 4567", "+1234567", "+123456789012345"]
+    rows = [(i, f"call {n} now") for i, n in enumerate(numbers)]
+    out = {r.doc_id: r for r in pseudonyms.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), b"k").collect()}
+    digits = ["".join(c for c in out[i].text if c.isdigit()) for i in range(len(numbers))]
+    for same in ([0, 1, 2, 3], [4, 5, 6], [7, 8]):
+        assert len({digits[i] for i in same}) == 1
+        assert all(digits[i] != "".join(c for c in numbers[i] if c.isdigit()) for i in same)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from lucidframe.llm import ngram_join
 
-from .helpers import edge_rows, table
+from .helpers import DOCS, edge_rows, table
 from .test_free_style import check_packed, labelled
 from .test_native import brute_spans
 from .test_ngram_join import brute_components
@@ -44,3 +45,9 @@ def test_other_columns_pass_through(spark):
         out = stage(spark, docs, "")
         assert out.columns == docs.columns and out.count() > 0
         assert {r["tokens"] for r in out.collect()} <= set(range(30))
+
+
+def test_different_texts_of_one_id_all_stay(spark):
+    rows = [(1, "a b c d e f g", "en", "x", 13), (1, "A b c  d e f g", "en", "y", 14), (1, "totally other words stand in this text", "en", "x", 30), (2, "a b c d e f g", "en", "x", 13), (3, "", "en", "x", 0), (3, "", "en", "x", 0)]
+    kept = ngram_join.keep_one_per_group(spark.createDataFrame(rows, DOCS))
+    assert sorted(tuple(r) for r in kept.collect()) == sorted([rows[1], rows[2], rows[4], rows[5]])
