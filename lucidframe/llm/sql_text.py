@@ -93,10 +93,10 @@ def hard_negatives() -> str:
     return """
     WITH v AS (
       SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-             list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS q
+             list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
       FROM embeddings
       WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
-        AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     ), scored AS (
       SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same, list_inner_product(a.q, v.q)::BIGINT AS score
       FROM v a JOIN v ON a.vec_id % 100 = 0 AND a.vec_id <> v.vec_id
