@@ -160,7 +160,60 @@ SELECT o_orderkey AS _ord,
 FROM {orders}
 """
 
+# Events with gaps: long runs of missing values, empty and null tags.
+SPARSE_EVENTS = """
+SELECT event_id, CAST(ts AS DATE) AS event_day, event_type, user_id,
+  CASE WHEN event_id % 7 < 3 OR event_id % 1000 > 700 THEN NULL ELSE CAST(value AS DECIMAL(18,2)) END AS value,
+  CASE WHEN event_id % 5 = 2 THEN '' WHEN event_id % 11 < 4 THEN NULL ELSE 'tag ' || CAST(user_id % 7 AS STRING) END AS tag
+FROM {events}
+"""
+
+# One card per order: what a text column may hold, each with some wrong cells, repeated and constant columns.
+CONTACT_CARDS = """
+SELECT o_orderkey AS order_no,
+  CASE WHEN o_orderkey % 25 = 0 THEN 'nobody at example' ELSE 'c' || CAST(o_custkey AS STRING) || '@example.com' END AS mail,
+  CASE WHEN o_orderkey % 9 = 0 THEN 'n/a' ELSE '+1 (555) ' || lpad(CAST(o_custkey % 1000 AS STRING), 3, '0') || '-0199' END AS telephone,
+  'https://example.org/orders/' || CAST(o_orderkey AS STRING) AS page,
+  CASE WHEN o_orderkey % 3 = 0 THEN NULL
+       ELSE substr(digest, 1, 8) || '-' || substr(digest, 9, 4) || '-4' || substr(digest, 14, 3) || '-a' || substr(digest, 18, 3) || '-' || substr(digest, 21, 12) END AS token,
+  '4000 0000 0' || lpad(CAST(number AS STRING), 6, '0') || CAST((check_sum + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END) % 10 AS STRING) AS card,
+  CAST(o_orderkey % 90 AS STRING) || '.25, ' || CASE WHEN o_orderkey % 40 = 0 THEN '999.5' ELSE '-' || CAST(o_custkey % 180 AS STRING) || '.5' END AS place,
+  '$' || CAST(1 + o_orderkey % 900 AS STRING) || ',' || lpad(CAST(o_custkey % 1000 AS STRING), 3, '0') || '.50' AS amount,
+  CAST(o_orderkey % 100 AS STRING) || '%' AS share,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'Yes' ELSE 'no' END AS agreed,
+  CASE WHEN o_orderkey % 5 < 2 THEN CAST(o_custkey AS STRING) ELSE 'c' || CAST(o_custkey AS STRING) || '@example.com' END AS mixed,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'Yes' ELSE 'no' END AS consent,
+  CAST(o_orderkey AS STRING) AS order_text,
+  CAST(NULL AS STRING) AS nothing,
+  CASE WHEN o_orderkey % 50 = 0 THEN 'web' ELSE 'shop' END AS channel,
+  'EUR' AS unit,
+  o_orderstatus AS status
+FROM (SELECT o_orderkey, o_custkey, o_orderstatus, number, md5(CAST(o_orderkey AS STRING)) AS digest,
+    (10 - (8 + d0 + d0 - CASE WHEN d0 > 4 THEN 9 ELSE 0 END + d1 + d2 + d2 - CASE WHEN d2 > 4 THEN 9 ELSE 0 END + d3
+      + d4 + d4 - CASE WHEN d4 > 4 THEN 9 ELSE 0 END + d5) % 10) % 10 AS check_sum
+  FROM (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderkey % 1000000 AS number, o_orderkey % 10 AS d0, CAST(floor(o_orderkey / 10) AS BIGINT) % 10 AS d1,
+      CAST(floor(o_orderkey / 100) AS BIGINT) % 10 AS d2, CAST(floor(o_orderkey / 1000) AS BIGINT) % 10 AS d3,
+      CAST(floor(o_orderkey / 10000) AS BIGINT) % 10 AS d4, CAST(floor(o_orderkey / 100000) AS BIGINT) % 10 AS d5 FROM {orders}) x) y
+"""
+
+# Order dates as people write them: one column day first, one month first, one that never says, with days that do not exist.
+WRITTEN_DATES = """
+SELECT order_no,
+  CASE WHEN k = 0 THEN NULL WHEN k = 1 THEN '31/02/' || y WHEN k < 6 THEN d || '/' || m || '/' || y WHEN k = 6 THEN d || ' ' || substr(word, 1, 3) || ' ' || y
+       WHEN k = 7 THEN y || m || d WHEN k = 8 THEN 'soon' ELSE y || '-' || m || '-' || d || ' 10:30:00' END AS ordered,
+  CASE WHEN k = 2 THEN ' ' WHEN k = 3 THEN word || ' ' || d || ', ' || y WHEN k = 4 THEN '13/13/' || y ELSE m || '-' || d || '-' || y END AS shipped,
+  CASE WHEN k = 5 THEN y || '.' || m || '.' || d ELSE lpad(CAST(1 + order_no % 12 AS STRING), 2, '0') || '/' || m || '/' || y END AS billed
+FROM (SELECT o_orderkey AS order_no, o_orderkey % 10 AS k, CAST(year(o_orderdate) AS STRING) AS y, lpad(CAST(month(o_orderdate) AS STRING), 2, '0') AS m,
+    lpad(CAST(day(o_orderdate) AS STRING), 2, '0') AS d,
+    CASE month(o_orderdate) WHEN 1 THEN 'January' WHEN 2 THEN 'February' WHEN 3 THEN 'March' WHEN 4 THEN 'April' WHEN 5 THEN 'May' WHEN 6 THEN 'June'
+      WHEN 7 THEN 'July' WHEN 8 THEN 'August' WHEN 9 THEN 'September' WHEN 10 THEN 'October' WHEN 11 THEN 'November' ELSE 'December' END AS word
+  FROM {orders}) t
+"""
+
 VIEWS = {
+    "sparse_events": SPARSE_EVENTS,
+    "contact_cards": CONTACT_CARDS,
+    "written_dates": WRITTEN_DATES,
     "projects_raw": PROJECTS_RAW,
     "supplier_years": SUPPLIER_YEARS,
     "dirty_customers": DIRTY_CUSTOMERS,

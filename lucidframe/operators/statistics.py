@@ -113,3 +113,37 @@ def seasonality(df: DataFrame, season: Column, value: str) -> DataFrame:
     seasons = df.groupBy(season.alias("season")).agg(F.sum(numeric_of(df, value)).cast("double").alias("sum"), F.count(numeric_of(df, value)).alias("n"))
     whole = seasons.agg(F.try_divide(F.sum("sum"), F.sum("n")).alias("mean"))
     return seasons.select("season", F.try_divide(F.try_divide("sum", "n"), whole.select("mean").scalar()).alias("index"))
+
+
+# --- outliers -----------------------------------------------------------------
+
+def _scored(df: DataFrame, scores: dict[str, Column], threshold: float) -> DataFrame:
+    for c, score in scores.items():
+        df = df.withColumns({f"{c}_score": score, f"{c}_outlier": F.coalesce(F.abs(score) > threshold, F.lit(False))})
+    return df
+
+
+def z_scores(df: DataFrame, columns: list[str], threshold: float = 3.0) -> DataFrame:
+    """`df` with `<column>_score`, distances from the mean in standard deviations (of the population), and `<column>_outlier`.
+
+    Means and deviations of all columns come from one aggregate. Null where a cell is no number or the column does not vary.
+    """
+    numbers = {c: numeric_of(df, c).cast("double") for c in columns}
+    parts = [f(F.when(~F.isnan(v), v)) for v in numbers.values() for f in (F.avg, F.stddev_pop)]
+    row = df.agg(*parts).first()
+    scores = {c: F.try_divide(v - F.lit(row[2 * i]), F.lit(row[2 * i + 1])).cast("double") for i, (c, v) in enumerate(numbers.items())}
+    return _scored(df, scores, threshold)
+
+
+def modified_z_scores(df: DataFrame, columns: list[str], threshold: float = 3.5) -> DataFrame:
+    """The same by medians: 0.6745 times the distance from the upper median, in upper medians of those distances.
+
+    Two levels of order statistics, each for all columns at once; null where more than half the cells are equal.
+    """
+    numbers = {c: numeric_of(df, c) for c in columns}
+    found = order_statistics(df, numbers, {"median": upper_median})
+    filled = [c for c in columns if found[c]["n"]]
+    apart = {c: numbers[c] - F.lit(found[c]["median"]) for c in filled}
+    mad = order_statistics(df, {c: F.abs(d) for c, d in apart.items()}, {"mad": upper_median}, counts={c: found[c]["n"] for c in filled})
+    scores = {c: F.try_divide(0.6745 * apart[c].cast("double"), F.lit(mad[c]["mad"]).cast("double")) if c in mad else F.lit(None).cast("double") for c in columns}
+    return _scored(df, scores, threshold)
