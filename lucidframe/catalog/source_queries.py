@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
@@ -93,13 +94,14 @@ def document_table_cells(spark, sf_dir):
 
 _TEXT = "(value IS NOT NULL AND trim(value) <> '')"
 _NUM = q.number("value")
-FACTS_SQL = f"""facts AS (SELECT sheet_id, row_idx, COUNT(*) FILTER (WHERE {_TEXT}) AS filled, COUNT({_NUM}) AS nums,
+FACTS_SQL = f"""facts AS MATERIALIZED (SELECT sheet_id, row_idx, COUNT(*) FILTER (WHERE {_TEXT}) AS filled, COUNT({_NUM}) AS nums,
     COUNT(*) FILTER (WHERE {_NUM} = FLOOR({_NUM}) AND {_NUM} BETWEEN 1900 AND 2099) AS years, COUNT(*) FILTER (WHERE value IS NULL OR value = '') AS gaps
   FROM cell_grid GROUP BY 1, 2),
 scored AS (SELECT f.*, filled - nums AS texts, nums - years AS plain, (filled - nums + years) * 2 + filled + CASE WHEN row_idx BETWEEN 1 AND 3 THEN 3 ELSE 0 END AS score FROM facts f),
-best AS (SELECT * FROM scored WHERE row_idx < 10 AND filled >= 2 AND NOT (plain > 2 AND texts > 0 AND plain >= texts)
-  AND sheet_id IN (SELECT sheet_id FROM cell_grid GROUP BY 1 HAVING MAX(row_idx) >= 2) QUALIFY row_number() OVER (PARTITION BY sheet_id ORDER BY score DESC, row_idx) = 1),
-found AS (SELECT b.sheet_id, b.row_idx AS header_row, b.score,
+long_sheets AS MATERIALIZED (SELECT sheet_id FROM cell_grid GROUP BY 1 HAVING MAX(row_idx) >= 2),
+best AS MATERIALIZED (SELECT * FROM scored WHERE row_idx < 10 AND filled >= 2 AND NOT (plain > 2 AND texts > 0 AND plain >= texts)
+  AND sheet_id IN (SELECT sheet_id FROM long_sheets) QUALIFY row_number() OVER (PARTITION BY sheet_id ORDER BY score DESC, row_idx) = 1),
+found AS MATERIALIZED (SELECT b.sheet_id, b.row_idx AS header_row, b.score,
     COALESCE(s.filled > 0 AND s.nums < s.filled * 0.5 AND (b.filled < s.filled OR b.gaps > 0) AND (COALESCE(n.nums, 0) > s.nums OR COALESCE(n.filled, 0) = 0), FALSE) AS is_subheader
   FROM best b LEFT JOIN facts s ON s.sheet_id = b.sheet_id AND s.row_idx = b.row_idx + 1 LEFT JOIN facts n ON n.sheet_id = b.sheet_id AND n.row_idx = b.row_idx + 2)"""
 
@@ -187,34 +189,93 @@ def sink_parquet(spark, sf_dir):
     return tables.read_table(spark, path, "parquet")
 
 
+FILES = 8
+
+
+def _written_lines(key: Column, lines: DataFrame, first: str, last: str | None = None) -> str:
+    """A folder of text files, each with a first (and a last) line of its own around the lines dealt to it. `lines` has `line` and `place`."""
+    spark = lines.sparkSession
+    path = _folder(spark)
+    ends = spark.range(FILES).select(F.col("id").cast("int").alias("file"), F.inline(F.array(*(F.struct(F.lit(p).alias("place"), F.lit(x).alias("line")) for p, x in ((-1, first), (9, last)) if x is not None))))
+    dealt = lines.select(F.pmod(F.xxhash64(key), F.lit(FILES)).cast("int").alias("file"), "place", "line")
+    dealt.unionByName(ends).repartition("file").sortWithinPartitions("file", "place").select("file", "line").write.partitionBy("file").text(path)
+    return f"{path}/file=*"
+
+
 @register("src_csv_normalized", (), """
-SELECT CAST(o_orderkey AS VARCHAR) AS "order", o_orderpriority AS priority, CAST(o_custkey AS VARCHAR) AS "priority Amount", 'status ' || o_orderstatus AS "Category"
-FROM orders""")
+SELECT CAST(o_orderkey AS VARCHAR) AS "order", o_orderpriority AS priority, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS price,
+  'say "hi", ' || o_orderstatus || chr(10) || 'end' AS price_1, CAST(o_custkey AS VARCHAR) AS "price_1 Amount", 'status ' || o_orderstatus AS "Category" FROM orders""")
 def src_csv_normalized(spark, sf_dir):
-    """Orders written as a CSV file with padded cells, unnamed columns and rows of one cell, and read back as a table."""
-    path = _folder(spark)
+    """Orders as CSV files and read back: padded and quoted cells with quotes, commas and line breaks, a repeated header, unnamed columns, rows of one cell."""
     orders = read(spark, sf_dir, "orders")
-    rows = orders.select(
-        F.concat(F.lit(" "), F.col("o_orderkey").cast("string")).alias("order"), F.concat(F.col("o_orderpriority"), F.lit("  ")).alias("priority"),
-        F.col("o_custkey").cast("string").alias("__EMPTY"), F.concat(F.lit("status "), F.col("o_orderstatus")).alias("__EMPTY_1"), F.lit(" ").alias("__EMPTY_2"),
-    )
-    sparse = rows.select("order", *[F.lit(None).cast("string").alias(c) for c in rows.columns[1:]])
-    rows.unionByName(sparse).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    note = F.concat(F.lit('say "hi", '), F.col("o_orderstatus"), F.lit("\nend"))
+    cells = [
+        F.concat(F.lit(" "), F.col("o_orderkey").cast("string")), quoted(F.concat(F.col("o_orderpriority"), F.lit("  "))), F.floor("o_totalprice").cast("bigint").cast("string"),
+        quoted(note), F.col("o_custkey").cast("string"), F.concat(F.lit("status "), F.col("o_orderstatus")), F.lit(" "),
+    ]
+    full = orders.select("o_orderkey", F.lit(0).alias("place"), F.concat_ws(",", *cells).alias("line"))
+    sparse = orders.select("o_orderkey", F.lit(0).alias("place"), F.concat(F.col("o_orderkey").cast("string"), F.lit(",,,,,,")).alias("line"))
+    path = _written_lines(F.col("o_orderkey"), full.unionByName(sparse), 'order,priority,price,"price",__EMPTY,__EMPTY_1,__EMPTY_2')
     return tables.read_table(spark, path, "csv")
 
 
+_ORDER_JSON = "SELECT o_orderkey AS key, o_orderpriority AS priority, o_totalprice AS price FROM orders"
+
+
+def _json_lines(orders: DataFrame) -> DataFrame:
+    """One object a line, all but the first of a file after a comma."""
+    rows = orders.select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").alias("price"))
+    file = F.pmod(F.xxhash64("key"), F.lit(FILES))
+    firsts = rows.groupBy(file.alias("file")).agg(F.min("key").alias("first"))
+    first = F.col("first") == F.col("key")
+    line = F.to_json(F.struct("key", "priority", "price"))
+    return rows.join(firsts, file == F.col("file")).select(F.col("key").alias("o_orderkey"), F.when(first, 0).otherwise(1).alias("place"), F.when(first, line).otherwise(F.concat(F.lit(","), line)).alias("line"))
+
+
+_JSON_SCHEMA = "key bigint, priority string, price double"
+
+
+@register("src_json_array", (), _ORDER_JSON)
+def src_json_array(spark, sf_dir):
+    """Orders as files of one JSON array each, read back."""
+    path = _written_lines(F.col("o_orderkey"), _json_lines(read(spark, sf_dir, "orders")), "[", "]")
+    return tables.read_table(spark, path, "json", schema=_JSON_SCHEMA)
+
+
+@register("src_json_wrapped", (), _ORDER_JSON)
+def src_json_wrapped(spark, sf_dir):
+    """Orders as files of one object each that wraps them, read back."""
+    path = _written_lines(F.col("o_orderkey"), _json_lines(read(spark, sf_dir, "orders")), '{"source": "orders", "note": [], "items": [', "]}")
+    return tables.read_table(spark, path, "json", table_field="items").select("key", "priority", "price")
+
+
+@register("sink_drilldown", ("projects_raw",), """
+SELECT regexp_replace(regexp_replace(lower(trim(region)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug, trim(region) AS region, province, COUNT(*) AS projects,
+  CAST(SUM(CAST(contract_cost AS DECIMAL(18,2))) AS DOUBLE) AS total_cost
+FROM projects_raw WHERE region IS NOT NULL AND province IS NOT NULL GROUP BY 1, 2, 3""")
+def sink_drilldown(spark, sf_dir):
+    """Totals by region and province, a folder of files per region, read back."""
+    rows = view(spark, sf_dir, "projects_raw").where("region IS NOT NULL AND province IS NOT NULL")
+    totals = rows.groupBy(F.trim("region").alias("region"), "province").agg(F.count("*").alias("projects"), F.sum(F.col("contract_cost").cast("decimal(18,2)")).cast("double").alias("total_cost"))
+    path = _folder(spark)
+    sinks.write_drilldown(totals, "region", path)
+    return spark.read.schema("region string, province string, projects bigint, total_cost double, slug string").json(path)
+
+
 @register("grid_table", GRID, f"""WITH {NAMED_SQL}
 SELECT c.sheet_id, c.row_idx, c.col_idx, n.name, NULLIF(trim(c.value), '') AS value, {q.number('c.value')} AS number FROM cell_grid c
 JOIN found f ON f.sheet_id = c.sheet_id AND c.row_idx >= f.header_row + CASE WHEN is_subheader THEN 2 ELSE 1 END
 JOIN facts r ON r.sheet_id = c.sheet_id AND r.row_idx = c.row_idx AND r.filled >= 2 JOIN named n ON n.sheet_id = c.sheet_id AND n.col_idx = c.col_idx
 WHERE c.sheet_id % 4 <> 3 AND c.value IS NOT NULL
-UNION ALL SELECT c.sheet_id, c.row_idx, c.col_idx, CASE c.col_idx WHEN 0 THEN '1.5' WHEN 1 THEN '2.5' WHEN 2 THEN '3.5' END, NULLIF(trim(c.value), ''), {q.number('c.value')}
-FROM cell_grid c JOIN facts r ON r.sheet_id = c.sheet_id AND r.row_idx = c.row_idx AND r.filled >= 2
-WHERE c.sheet_id % 4 = 3 AND c.row_idx > 2 AND c.col_idx IN (1, 2) AND c.value IS NOT NULL""")
+UNION ALL SELECT c.sheet_id, c.row_idx, c.col_idx, CASE c.col_idx WHEN 0 THEN 'Order ' || c.sheet_id ELSE 'Column ' || (c.col_idx + 1) END, v, {q.number('v')}
+FROM (SELECT *, NULLIF(trim(CASE WHEN col_idx = 0 THEN replace(value, 'Line ', '') ELSE value END), '') AS v FROM cell_grid) c
+JOIN facts r ON r.sheet_id = c.sheet_id AND r.row_idx = c.row_idx AND r.filled >= 2
+WHERE c.sheet_id % 4 = 3 AND c.row_idx > 2 AND c.value IS NOT NULL""")
 def grid_table(spark, sf_dir):
-    """Grids without their empty cells; every fourth sheet starts with numbers only, so its header is rejected."""
+    """Grids without their empty cells. Every fourth sheet has a title and then numbers only, so its header is rejected and it is read whole below its first row."""
     cells = view(spark, sf_dir, "cell_grid").where("value IS NOT NULL")
     plain = cells.where("sheet_id % 4 <> 3")
-    data = cells.where("sheet_id % 4 = 3 AND row_idx > 2 AND col_idx IN (1, 2)")
-    head = data.select("sheet_id").distinct().select("sheet_id", F.inline(F.array(*(F.struct(F.lit(2).alias("row_idx"), F.lit(i).alias("col_idx"), F.lit(f"{i + 1}.5").alias("value")) for i in range(3)))))
-    return grids.grid_table(plain.unionByName(head).unionByName(data))
+    numbers = F.when((F.col("col_idx") == 0) & (F.col("row_idx") > 2), F.replace("value", F.lit("Line "), F.lit(""))).otherwise(F.col("value"))
+    odd = cells.where("sheet_id % 4 = 3 AND row_idx NOT IN (1, 2)").withColumn("value", numbers)
+    return grids.grid_table(plain.unionByName(odd))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.cleaning import suffix_repeats
 from .feature_json import EmptyInputError, read_feature_collection
 from .normalize import normalize_parsed
 
@@ -27,12 +28,20 @@ def run_sql(spark: SparkSession, sql: str) -> DataFrame:
     return spark.sql(sql)
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """A normalized table of texts: unnamed columns named, cells trimmed, rows with one filled cell or none left out.
 
+    Cells may be quoted, with quotes doubled and, if `multi_line`, line breaks inside; a file is then read by one task, so give
+    False for large files that have no such cells. Every file begins with the same header; a repeated name gets a suffix.
     Rows are ordered by file and place in the file only to name a year column after its first cell; no sort is needed.
     """
-    parsed = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+    reader = spark.read.options(quote='"', escape='"', multiLine=multi_line, mode="PERMISSIVE")
+    head = reader.option("header", False).csv(path).first()
+    if head is None:
+        raise EmptyInputError(f"{path} holds no rows")
+    names = suffix_repeats([name if name and name.strip() else f"_c{i}" for i, name in enumerate(head)])
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
+    parsed = reader.option("header", True).schema(schema).csv(path)
     placed = parsed.select("*", F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.file_block_start").alias(_BLOCK), F.monotonically_increasing_id().alias(_PLACE))
     return normalize_parsed(placed, [_FILE, _BLOCK, _PLACE], require_rows=True).drop(_FILE, _BLOCK, _PLACE)
 
@@ -89,7 +98,7 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, **options
     fmt = (fmt or path.rstrip("/").rsplit(".", 1)[-1]).lower()
     readers = {
         "parquet": lambda: spark.read.parquet(path),
-        "csv": lambda: read_csv(spark, path),
+        "csv": lambda: read_csv(spark, path, **options),
         "json": lambda: read_json(spark, path, **options),
         "ndjson": lambda: read_json_lines(spark, path, **options),
         "jsonl": lambda: read_json_lines(spark, path, **options),

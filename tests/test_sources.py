@@ -171,3 +171,14 @@ def test_normalize_parsed(spark):
 
 def test_unnamed_pattern():
     assert [normalize.is_unnamed(n) for n in ("__EMPTY", "__EMPTY_12", "empty", "EMPTY 3", "Name", "EMPTY cell")] == [True, True, True, True, False, False]
+
+
+def test_csv_as_people_write_it(spark, tmp_path):
+    text = 'name,note,price,price,price\nann,"say ""hi"", ok",3,4,5\nbob,"two\nlines",1,,\n"","",7,"",8\n'
+    df = tables.read_table(spark, write(tmp_path / "t.csv", text))
+    assert df.columns == ["name", "note", "price", "price_1", "price_2"]
+    assert sorted(map(tuple, df.collect()), key=repr) == [("ann", 'say "hi", ok', "3", "4", "5"), ("bob", "two\nlines", "1", None, None), (None, None, "7", None, "8")]
+    flat = tables.read_table(spark, write(tmp_path / "u.csv", 'a,a\n"x ""y""",1\n'), multi_line=False)
+    assert flat.columns == ["a", "a_1"] and [tuple(r) for r in flat.collect()] == [('x "y"', "1")]
+    with pytest.raises(EmptyInputError):
+        tables.read_table(spark, write(tmp_path / "none.csv", ""))
