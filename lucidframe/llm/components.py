@@ -29,7 +29,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     links = written(links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
     mark = None
     while True:
-        links = written(_star(_star(links, large=True), large=False))
+        links = written(_star(_star(links, large=True), large=False), instead_of=links)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break

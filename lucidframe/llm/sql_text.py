@@ -23,24 +23,32 @@ SELECT page_id, host, path, rule, coalesce(rule_verdict, '{default}') AS verdict
 FROM placed LEFT JOIN hits ON placed.rn = hits.rn AND place = 1"""
 
 
-def _raking(temper: dict[str, float], kept_share: float, rounds: int) -> str:
+def _raking(temper: dict[str, float], kept_share: float, rounds: int, tolerance: float, dealt: int = 12) -> str:
     """Common table expressions from `rows` (source, lang, topic, tokens) to `raked` (cell, tokens, weight)."""
+    total = f"{kept_share} * (SELECT sum(tokens) FROM cells)"
     steps = ["cells AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM rows WHERE tokens > 0 GROUP BY ALL)"]
     for dim, power in temper.items():
-        steps.append(
-            f"parts_{dim} AS (SELECT {dim}, pow(sum(tokens), {power}) AS part FROM cells GROUP BY {dim}), target_{dim} AS MATERIALIZED "
-            f"(SELECT {dim}, {kept_share} * (SELECT sum(tokens) FROM cells) * part / (SELECT sum(part) FROM parts_{dim}) AS target FROM parts_{dim})"
-        )
-    last = "(SELECT *, tokens AS weight FROM cells)"
+        steps.append(f"parts_{dim} AS MATERIALIZED (SELECT {dim}, sum(tokens) AS held, pow(sum(tokens), {power}) AS part FROM cells GROUP BY {dim})")
+        factor = "0.0"
+        for i in range(dealt):
+            whole = f"held <= {factor} * part"
+            rest = f"({total} - coalesce(sum(held) FILTER (WHERE {whole}), 0)) / sum(part) FILTER (WHERE NOT ({whole}))"
+            steps.append(f"factor_{dim}_{i} AS MATERIALIZED (SELECT greatest(coalesce({rest}, {factor}), {factor}) AS f FROM parts_{dim})")
+            factor = f"(SELECT f FROM factor_{dim}_{i})"
+        steps.append(f"target_{dim} AS MATERIALIZED (SELECT {dim}, least(held, {factor} * part) AS target_{dim} FROM parts_{dim})")
+    joined = " ".join(f"JOIN target_{dim} USING ({dim})" for dim in temper)
+    steps.append(f"round_0 AS MATERIALIZED (SELECT *, {kept_share} * tokens AS free, 1.0::DOUBLE AS off FROM cells {joined})")
     for step in range(rounds):
+        last = f"(SELECT * REPLACE (0.0::DOUBLE AS off), (SELECT max(off) FROM round_{step}) > {tolerance} AS going FROM round_{step})"
         for dim in temper:
-            name = f"step_{step}_{dim}"
-            steps.append(
-                f"{name} AS MATERIALIZED (SELECT w.* EXCLUDE (weight, target), least(weight * target / sum(weight) OVER (PARTITION BY {dim}), tokens) AS weight "
-                f"FROM (SELECT * FROM {last} JOIN target_{dim} USING ({dim})) w)"
-            )
+            name, by, t = f"round_{step}_{dim}", f"OVER (PARTITION BY {dim})", f"target_{dim}"
+            sums = f"SELECT *, sum(CASE WHEN free >= {mixing.NEARLY} * tokens THEN tokens ELSE 0 END) {by} AS held, sum(CASE WHEN free >= {mixing.NEARLY} * tokens THEN 0 ELSE free END) {by} AS moving FROM {last}"
+            factor = f"CASE WHEN moving > 0 AND {t} > held THEN ({t} - held) / moving ELSE {t} / (held + moving) END"
+            new = f"CASE WHEN going THEN free * {factor} ELSE free END AS free, CASE WHEN going THEN greatest(off, abs((held + moving) / {t} - 1)) ELSE off END AS off"
+            steps.append(f"{name} AS MATERIALIZED (SELECT * EXCLUDE (held, moving) REPLACE ({new}) FROM ({sums}))")
             last = name
-    return ",\n".join([*steps, f"raked AS (SELECT * FROM {last})"])
+        steps.append(f"round_{step + 1} AS MATERIALIZED (SELECT * EXCLUDE (going) FROM {last})")
+    return ",\n".join([*steps, f"raked AS (SELECT *, least(free, tokens) AS weight FROM round_{rounds})"])
 
 
 def _topic() -> str:
@@ -59,7 +67,7 @@ rows AS MATERIALIZED (
   SELECT doc_id, source, lang, {_topic()} AS topic, len(regexp_extract_all(t, '{mixing.WORD}')) AS tokens,
     ('0x' || md5('{mixing.SEED}' || coalesce(doc_id::VARCHAR, md5(t)))[1:12])::BIGINT / {float(1 << 48)} AS draw
   FROM texts),
-{_raking(mixing.TEMPER, mixing.KEPT_SHARE, mixing.ROUNDS)},
+{_raking(mixing.TEMPER, mixing.KEPT_SHARE, mixing.ROUNDS, mixing.TOLERANCE)},
 chances AS (SELECT source, lang, topic, least(weight / tokens, 1.0) AS chance FROM raked)
 SELECT doc_id, source, lang, topic, tokens::BIGINT AS tokens, round(coalesce(chance, 0.0), 9) AS probability, draw < coalesce(chance, 0.0) AS kept
 FROM rows LEFT JOIN chances USING (source, lang, topic)"""

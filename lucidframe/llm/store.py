@@ -9,7 +9,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# While a table is written: shuffles it was made by are deleted once it is there, and the driver keeps short texts of its plans only.
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxPlanStringLength": "4000"}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,17 +25,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _shuffles_dropped_afterwards(spark: SparkSession):
-    """A written table no longer needs the shuffles it was made by; Spark then deletes them at once."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def _while_writing(spark: SparkSession):
+    before = {key: spark.conf.get(key, None) for key in _WHILE_WRITING}
+    for key, value in _WHILE_WRITING.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 def columns_of(df: DataFrame, without: tuple[str, ...] = ()) -> list[Column]:
@@ -51,16 +53,26 @@ def among_least(key: Column, wanted: int, count: Column) -> Column:
     return F.xxhash64(key).cast("double") <= share * float(1 << 64) - float(1 << 63)
 
 
-def written(df: DataFrame) -> DataFrame:
+def _folder(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def written(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     """`df` written once as Parquet in the shared folder and read back: short lineage that survives lost executors.
 
-    The files are deleted when the session's JVM ends.
+    A table that nothing else reads, such as the one a loop's last round has written, can be named in `instead_of`: it is deleted
+    once the new one is there. The files left are deleted when the session's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    with _shuffles_dropped_afterwards(spark):
+    with _while_writing(spark):
         df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    target, files = _folder(spark, path)
+    files.deleteOnExit(target)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    if old := getattr(instead_of, "_written_to", None):
+        target, files = _folder(spark, old)
+        files.delete(target, True)
+    return out

@@ -23,7 +23,7 @@ SMOKE_DIR = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", list(ORACLE))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMOKE_DIR}/{t}.parquet'")
     got = QUERIES[name](spark, SMOKE_DIR)
     want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLE[name]})").fetchall()
@@ -75,17 +75,51 @@ def test_mixing_edges(spark):
     assert mixing.mix_to_weights(table(spark, [])).count() == 0 and mixing.keep_mixed(table(spark, [])).count() == 0
 
 
+def by_value(rows, dim, column):
+    out = {}
+    for r in rows:
+        out[r[dim]] = out.get(r[dim], 0) + r[column]
+    return out
+
+
 def test_raked_weights_meet_the_targets(spark):
     rng = random.Random(3)
     rows = [(s, lang, t, rng.randrange(1000, 9000)) for s in "abcdef" for lang in ("en", "de", "fr") for t in ("x", "y")]
     cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
-    total = sum(r[3] for r in rows) * 0.3
-    targets = {dim: mixing.tempered_targets(cells, dim, 0.5, total) for dim in ("source", "lang", "topic")}
-    raked = mixing.rake(cells, targets, rounds=20)
-    for dim, target in targets.items():
-        want = {r[0]: r.target for r in target.collect()}
-        for r in raked.groupBy(dim).agg(F.sum("weight").alias("weight")).collect():
-            assert r.weight == pytest.approx(want[r[0]], rel=1e-3)
+    total, temper = sum(r[3] for r in rows) * 0.3, dict.fromkeys(("source", "lang", "topic"), 0.5)
+    raked = mixing.rake(mixing.with_targets(cells, temper, total), list(temper), 0.3, tolerance=1e-6).collect()
+    for dim in temper:
+        held = by_value(raked, dim, "tokens")
+        want = {v: total * h**0.5 / sum(x**0.5 for x in held.values()) for v, h in held.items()}
+        assert by_value(raked, dim, "weight") == pytest.approx(want, rel=1e-5)
+    assert all(0 <= r.weight <= r.tokens for r in raked)
+
+
+def test_targets_beyond_the_holdings_are_dealt_out_again(spark):
+    rng = random.Random(4)
+    rows = [(s, lang, "x", n * rng.randrange(80, 120)) for s, n in (("tiny", 1), ("small", 10), ("big", 1000), ("huge", 3000)) for lang in ("en", "de", "fr", "eo")]
+    rows = [(s, lang, t, n // 500 + 1 if lang == "eo" else n) for s, lang, t, n in rows]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    total, temper = sum(r[3] for r in rows) * 0.5, {"source": 0.2, "lang": 0.3, "topic": 1.0}
+    raked = mixing.rake(mixing.with_targets(cells, temper, total), list(temper)).collect()
+    for dim, power in temper.items():
+        held = by_value(raked, dim, "tokens")
+        low, high = 0.0, 1e12
+        for _ in range(200):  # the level at which capped shares add up to the total
+            level = (low + high) / 2
+            low, high = (level, high) if sum(min(h, level * h**power) for h in held.values()) < total else (low, level)
+        want = {v: min(h, low * h**power) for v, h in held.items()}
+        assert by_value(raked, dim, "weight") == pytest.approx(want, rel=2e-3) and sum(want.values()) == pytest.approx(total)
+    assert any(by_value(raked, "source", "weight")[s] == pytest.approx(by_value(raked, "source", "tokens")[s], rel=1e-2) for s in ("tiny", "small"))
+
+
+def test_report_and_given_topics(spark):
+    rows = [(i, " ".join(["word"] * (1 + i % 7)), "en" if i % 3 else "de", f"s{i % 4}", i % 5, "law" if i % 2 else "art", "x") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, __tokens int, topic string, __key string")
+    report = mixing.mixing_report(docs).collect()
+    assert {r.value for r in report if r.dim == "topic"} == {"law", "art"} and max(r.residual for r in report) <= 2e-3
+    kept = mixing.keep_mixed(docs)
+    assert kept.columns == docs.columns and kept.count() == mixing.mix_to_weights(docs).where("kept").count() > 0
 
 
 def brute_spans(text: str):
