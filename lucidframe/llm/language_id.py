@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import among_least, columns_of, written
+from .store import among_least, columns_of, while_writing, written
 from .url_filters import host_of
 from .words import text_slices
 
@@ -112,7 +112,8 @@ def learn_trigrams(labelled: DataFrame, id_col: str = "doc_id", text_col: str =
                 sums[langs[row]] = sums.get(langs[row], 0) + counts
         yield from handed_on(sums)
 
-    found = texts.select("text", "lang").mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    with while_writing(labelled.sparkSession):
+        found = texts.select("text", "lang").mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = found["lang"].combine_chunks().dictionary_encode()
     order = np.argsort(np.array(names.dictionary.to_pylist(), dtype=object))
     languages = [names.dictionary[int(i)].as_py() for i in order]

@@ -9,8 +9,12 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# While a table is written: shuffles it was made by are deleted once it is there, and the driver keeps short texts of its plans only.
-_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxPlanStringLength": "4000"}
+# While a table is written: shuffles it was made by are deleted once it is there, the driver keeps short texts of its plans only, and
+# Python workers are handed texts in batches of bounded size, however long the texts.
+_WHILE_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxPlanStringLength": "4000",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,7 +29,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _while_writing(spark: SparkSession):
+def while_writing(spark: SparkSession):
     before = {key: spark.conf.get(key, None) for key in _WHILE_WRITING}
     for key, value in _WHILE_WRITING.items():
         spark.conf.set(key, value)
@@ -66,7 +70,7 @@ def written(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    with _while_writing(spark):
+    with while_writing(spark):
         df.write.parquet(path)
     target, files = _folder(spark, path)
     files.deleteOnExit(target)
