@@ -210,7 +210,30 @@ FROM (SELECT o_orderkey AS order_no, o_orderkey % 10 AS k, CAST(year(o_orderdate
   FROM {orders}) t
 """
 
+# One row per order, with the sums of its lines; money adds up exactly.
+ORDER_SIZES = """
+SELECT l_orderkey AS order_no, CAST(COUNT(*) AS DOUBLE) AS n_lines, CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS quantity,
+  CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS price, MAX(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS returned
+FROM {lineitem} GROUP BY l_orderkey
+"""
+
+# Which names stand for which: every customer's name for the one before it, in runs of a hundred. Every seventh run closes
+# its circle; every 53rd customer has a second target; some names are written with spaces and in small letters.
+SYNONYMS = """
+SELECT c_name AS variant, 'Customer#' || lpad(CAST(c_custkey - 1 AS STRING), 9, '0') AS canonical FROM {customer} WHERE c_custkey % 100 <> 0
+UNION ALL SELECT c_name, 'Customer#' || lpad(CAST(c_custkey + 99 AS STRING), 9, '0') FROM {customer} WHERE c_custkey % 700 = 0
+UNION ALL SELECT ' ' || lower(c_name) || ' ', 'customer#' || lpad(CAST(c_custkey - 2 AS STRING), 9, '0') FROM {customer} WHERE c_custkey % 53 = 0 AND c_custkey % 100 > 1
+"""
+
+ORDER_NAMES = """
+SELECT o_orderkey AS order_no, CASE WHEN o_orderkey % 31 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN ' ' || upper(c_name) WHEN o_orderkey % 5 = 0 THEN lower(c_name) ELSE c_name END AS buyer
+FROM {orders} JOIN {customer} ON o_custkey = c_custkey
+"""
+
 VIEWS = {
+    "order_sizes": ORDER_SIZES,
+    "synonyms": SYNONYMS,
+    "order_names": ORDER_NAMES,
     "sparse_events": SPARSE_EVENTS,
     "contact_cards": CONTACT_CARDS,
     "written_dates": WRITTEN_DATES,
