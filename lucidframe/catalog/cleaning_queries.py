@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.coerce import col_of, currency_number, percent_number
-from ..operators import cleaning, dedup
+from ..operators import cleaning, dedup, synonyms
 from . import sql_text as q
 from .registry import register, view
 from .views import read
@@ -191,3 +191,30 @@ def number_text_sql(c: str) -> str:
 def clean_dataset(spark, sf_dir):
     """All seven steps; every cell of the cleaned table is compared."""
     return cleaning.clean_dataset(dirty(spark, sf_dir)).df.select(*[col_of(c) for c in COLUMNS])
+
+
+def _key(c: str) -> str:
+    return f"NULLIF(lower(regexp_replace(trim({c}), ' +', ' ', 'g')), '')"
+
+
+# Every chain is walked to its end; the union drops repeats, so circles end too.
+_RESOLVED = f"""
+WITH RECURSIVE pairs AS (SELECT {_key('variant')} AS node, {_key('canonical')} AS til, trim(canonical) AS spelling FROM synonyms),
+  names AS (SELECT til, MIN(spelling) AS target FROM pairs GROUP BY til),
+  ends AS (SELECT node, MIN(til) AS til, MIN(til) < MAX(til) AS several FROM pairs WHERE node <> til GROUP BY node),
+  walk AS (SELECT node, til FROM ends WHERE NOT several UNION SELECT w.node, e.til FROM walk w JOIN ends e ON w.til = e.node WHERE NOT e.several),
+  last AS (SELECT node, til FROM walk WHERE til NOT IN (SELECT node FROM ends WHERE NOT several)),
+  resolved AS (SELECT e.node AS variant, target, CASE WHEN several THEN 'conflict' WHEN last.til IS NULL THEN 'circle' ELSE 'merged' END AS status
+    FROM ends e LEFT JOIN last ON e.node = last.node LEFT JOIN names ON last.til = names.til)"""
+
+
+@register("synonym_report", ("synonyms", "order_names"), f"""{_RESOLVED}
+SELECT variant, target, status, (SELECT COUNT(*) FROM order_names WHERE {_key('buyer')} = variant) AS rows FROM resolved""")
+def synonym_report(spark, sf_dir):
+    return synonyms.synonym_report(view(spark, sf_dir, "order_names"), "buyer", synonyms.resolve(view(spark, sf_dir, "synonyms")))
+
+
+@register("merge_synonyms", ("synonyms", "order_names"), f"""{_RESOLVED}
+SELECT order_no, COALESCE(target, buyer) AS buyer FROM order_names LEFT JOIN resolved ON {_key('buyer')} = variant AND status = 'merged'""")
+def merge_synonyms(spark, sf_dir):
+    return synonyms.merge_synonyms(view(spark, sf_dir, "order_names"), "buyer", synonyms.resolve(view(spark, sf_dir, "synonyms")))

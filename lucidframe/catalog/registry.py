@@ -29,6 +29,8 @@ def register(name: str, views: tuple[str, ...] = (), sql: str | None = None) ->
 def with_views(views: tuple[str, ...], sql: str) -> str:
     parts = [view_sql(v) for v in views]
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ", ".join([*parts, body[15:]])
     if body.upper().startswith("WITH "):
         return "WITH " + ", ".join([*parts, body[5:]])
     return ("WITH " + ", ".join(parts) + " " if parts else "") + body
