@@ -6,7 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from ..operators import imputation, mixed_dates, moments, redundancy, semantics
+from ..operators import imputation, mixed_dates, moments, quality, redundancy, semantics
 from ..operators import statistics as st
 from . import sql_text as q
 from .profile_queries import contacts, lines
@@ -198,3 +198,22 @@ WITH m AS (SELECT {q.at_index('balance', 'n // 2', 'dirty_customers')} AS med),
 SELECT c_custkey, segment, balance, ROUND(0.6745 * (balance::DOUBLE - med) / mad, 6) AS balance_score, ABS(0.6745 * (balance::DOUBLE - med) / mad) > 3.5 AS balance_outlier FROM dirty_customers, s""")
 def outliers_modified_z(spark, sf_dir):
     return st.modified_z_scores(contacts(spark, sf_dir), ["balance"]).select(*SCORED).withColumn("balance_score", F.round("balance_score", 6))
+
+
+JUDGED = CARDS[1:]
+_QUALITY = f"""
+WITH t AS ({_semantic_sql()}), n AS (SELECT COUNT(*) AS n FROM contact_cards),
+  d AS (SELECT 'completeness' AS dimension, (SELECT SUM(filled) FROM t WHERE "column" <> 'order_no') AS good, (SELECT {len(JUDGED)} * n FROM n) AS "all"
+    UNION ALL SELECT 'validity', SUM(matching), SUM(filled) FROM t WHERE "column" <> 'order_no' AND confidence IN ('high', 'medium')
+    UNION ALL SELECT 'uniqueness', (SELECT COUNT(*) FROM (SELECT DISTINCT {', '.join(JUDGED)} FROM contact_cards)), n FROM n
+    UNION ALL SELECT 'integrity', (SELECT COUNT(*) FROM contact_cards WHERE NOT COALESCE(status = 'F' AND order_no % 3 = 0, FALSE)), n FROM n),
+  s AS (SELECT dimension, CAST(good AS BIGINT) AS good, CAST("all" AS BIGINT) AS "all", 100.0::DOUBLE * good / "all" AS score FROM d)
+SELECT dimension, good, "all", ROUND(score, 6) AS score FROM s
+UNION ALL SELECT 'overall', NULL, NULL, ROUND((SELECT SUM(score * CASE WHEN dimension = 'completeness' THEN 2 ELSE 1 END) / 5 FROM s), 6)"""
+
+
+@register("quality_score", ("contact_cards",), _QUALITY)
+def quality_score(spark, sf_dir):
+    rules = {"closed early": F.expr("status = 'F' AND order_no % 3 = 0")}
+    out = quality.quality_score(view(spark, sf_dir, "contact_cards"), JUDGED, rules=rules, weights={"completeness": 2.0})
+    return out.withColumn("score", F.round("score", 6))

@@ -21,7 +21,7 @@ SOME = [
     "stream_running_totals", "grid_header_row", "grid_cells", "pie_share_of_all", "area_over_time", "audit_nulls", "clean_defaults", "validate_core_fields",
     "clean_projects", "filter_options", "filtered_reanalysis", "describe_measures", "category_association", "integrity_report", "autocorrelation_days", "src_csv_normalized", "grid_table",
     "impute_fill", "impute_groups", "spearman_strength", "correlation_matrix", "linear_fit", "semantic_types", "parse_dates", "duplicate_columns", "constant_columns",
-    "outliers_zscore", "outliers_modified_z",
+    "outliers_zscore", "outliers_modified_z", "principal_components", "logistic_fit", "kmeans_clusters", "synonym_report", "merge_synonyms", "quality_score", "stream_profile",
 ]
 
 
