@@ -41,41 +41,38 @@ def _is_row(line: Column, pattern: Column | str) -> Column:
     return F.size(_filled(line, pattern)) >= LEAST_PARTS
 
 
-def _header_index(lines: Column, pattern: str, within: int | None, letter: bool) -> Column:
-    """1-based place of the first line that can be a header; 0 if there is none."""
+# What a line is to a separator; every later fact about a document is read from these.
+_WITHOUT, _HOLDS, _ROW, _HEADER = range(4)
 
-    def fits(line: Column) -> Column:
-        found = _is_row(line, pattern)
-        return found & line.rlike("[a-zA-Z]") if letter else found
 
-    searched = F.slice(lines, F.lit(1), F.lit(within)) if within else lines
-    return F.array_position(F.transform(searched, fits), True)
+def _marks(lines: Column, pattern: str, letter: bool) -> Column:
+    """For each line whether it holds the separator, is a row and can be a header. Only lines that hold it are split, once."""
 
+    def mark(line: Column) -> Column:
+        out = F.when(~line.rlike(pattern), _WITHOUT).when(~_is_row(line, pattern), _HOLDS)
+        return (out.when(~line.rlike("[a-zA-Z]"), _ROW) if letter else out).otherwise(_HEADER)
 
-def _lines_with(lines: Column, pattern: str) -> Column:
-    return F.size(F.filter(lines, lambda line: line.rlike(pattern)))
-
-
-def _any_row(lines: Column, pattern: str) -> Column:
-    return F.exists(lines, lambda line: _is_row(line, pattern))
+    return F.transform(lines, mark)
 
 
 def detect_tables(documents: DataFrame, text: str = "text") -> DataFrame:
     """Adds `lines` (array), and for documents with a table `separator`, `pattern` and `header_at` (1-based line)."""
     df = documents.withColumn("lines", text_lines(F.col(text)))
     lines, count = F.col("lines"), F.size("lines")
-    for name, pattern, _, within, letter, _ in SEPARATORS:
-        df = df.withColumn(f"_at_{name}", _header_index(lines, pattern, within, letter))
+    for name, pattern, _, _, letter, _ in SEPARATORS:
+        df = df.withColumn(f"_of_{name}", _marks(lines, pattern, letter))
     choice = []
-    for name, pattern, least_share, _, _, least_lines in SEPARATORS:
-        at = F.col(f"_at_{name}")
-        below = F.slice(lines, (at + 1).cast("int"), F.greatest(count, F.lit(1)))
-        fits = (count >= least_lines) & (at > 0) & (_lines_with(lines, pattern) >= count * least_share) & _any_row(below, pattern)
+    for name, pattern, least_share, within, _, least_lines in SEPARATORS:
+        marks = F.col(f"_of_{name}")
+        at = F.array_position(F.slice(marks, F.lit(1), F.lit(within)) if within else marks, F.lit(_HEADER))
+        below = F.slice(marks, (at + 1).cast("int"), F.greatest(count, F.lit(1)))
+        often = F.size(F.filter(marks, lambda m: m >= _HOLDS)) >= count * least_share
+        fits = (count >= least_lines) & (at > 0) & often & F.exists(below, lambda m: m >= _ROW)
         choice.append(F.when(fits, F.struct(F.lit(name).alias("separator"), F.lit(pattern).alias("pattern"), at.alias("header_at"))))
     return (
         df.withColumn("_table", F.coalesce(*choice))
         .withColumns({k: F.col(f"_table.{k}") for k in ("separator", "pattern", "header_at")})
-        .drop("_table", *[f"_at_{s[0]}" for s in SEPARATORS])
+        .drop("_table", *[f"_of_{s[0]}" for s in SEPARATORS])
     )
 
 
