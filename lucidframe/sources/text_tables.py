@@ -59,21 +59,18 @@ def detect_tables(documents: DataFrame, text: str = "text") -> DataFrame:
     """Adds `lines` (array), and for documents with a table `separator`, `pattern` and `header_at` (1-based line)."""
     df = documents.withColumn("lines", text_lines(F.col(text)))
     lines, count = F.col("lines"), F.size("lines")
-    for name, pattern, _, _, letter, _ in SEPARATORS:
-        df = df.withColumn(f"_of_{name}", _marks(lines, pattern, letter))
-    choice = []
-    for name, pattern, least_share, within, _, least_lines in SEPARATORS:
-        marks = F.col(f"_of_{name}")
+    found = F.lit(None).cast("struct<separator:string,pattern:string,header_at:bigint>")
+    df = df.withColumn("_table", found)
+    for name, pattern, least_share, within, letter, least_lines in SEPARATORS:
+        # Lines are looked at only where no earlier separator has made a table and the text holds this one at all.
+        df = df.withColumn("_marks", F.when(F.col("_table").isNull() & F.col(text).rlike(pattern), _marks(lines, pattern, letter)))
+        marks = F.col("_marks")
         at = F.array_position(F.slice(marks, F.lit(1), F.lit(within)) if within else marks, F.lit(_HEADER))
         below = F.slice(marks, (at + 1).cast("int"), F.greatest(count, F.lit(1)))
         often = F.size(F.filter(marks, lambda m: m >= _HOLDS)) >= count * least_share
         fits = (count >= least_lines) & (at > 0) & often & F.exists(below, lambda m: m >= _ROW)
-        choice.append(F.when(fits, F.struct(F.lit(name).alias("separator"), F.lit(pattern).alias("pattern"), at.alias("header_at"))))
-    return (
-        df.withColumn("_table", F.coalesce(*choice))
-        .withColumns({k: F.col(f"_table.{k}") for k in ("separator", "pattern", "header_at")})
-        .drop("_table", *[f"_of_{s[0]}" for s in SEPARATORS])
-    )
+        df = df.withColumn("_table", F.coalesce("_table", F.when(fits, F.struct(F.lit(name).alias("separator"), F.lit(pattern).alias("pattern"), at.alias("header_at")))))
+    return df.withColumns({k: F.col(f"_table.{k}") for k in ("separator", "pattern", "header_at")}).drop("_table", "_marks")
 
 
 def table_shapes(detected: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -108,5 +105,5 @@ def table_cells(detected: DataFrame, key: str = "doc_id") -> DataFrame:
     by_cell = by_row.select(key, "row", F.posexplode_outer(cells).alias("col", "cell"))
     value = F.when(F.col("cell.value") != "", F.col("cell.value"))
     return by_cell.select(
-        key, "row", "col", F.col("cell.header").alias("header"), value.alias("value"), js_number(F.regexp_replace(value, ",", "")).alias("number")
+        key, "row", "col", F.col("cell.header").alias("header"), value.alias("value"), js_number(F.replace(value, F.lit(","), F.lit(""))).alias("number")
     )
