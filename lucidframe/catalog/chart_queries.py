@@ -9,7 +9,7 @@ from ..operators import charts as ch
 from ..operators import facts as fx
 from ..operators import insights as ins
 from ..operators import profile as prof
-from ..plans.analyzer import analyze, refine
+from ..plans.analyzer import analyze, analyze_selected
 from . import sql_text as q
 from .profile_queries import EVENTS, LINES, events, kept_events, kept_lines, lines
 from .registry import register, view
@@ -276,14 +276,20 @@ UNION ALL SELECT 2, 'High concentration: ' || names || ' together hold ' || {q.f
   || '). Remaining ' || (n - 3) || ' groups share the other ' || {q.fixed('100 - s / t.total * 100', 0)} || '%.', 'warning' FROM three, t, l WHERE n >= 5 AND s / t.total > 0.5""")
 def insights_standard(spark, sf_dir):
     """The whole standard analysis; the wording of its category insights is compared."""
-    found = analyze(kept_events(spark, sf_dir), "event_facts", ["event_id"]).insights
-    return found.where(F.col("kind").isin("leader", "bottom", "concentration")).select("position", "text", "type")
+    rows = kept_events(spark, sf_dir)
+    whole = analyze(rows, "event_facts", ["event_id"])
+    whole.release()  # the insights are worked out by now
+    rows.unpersist()
+    return whole.insights.where(F.col("kind").isin("leader", "bottom", "concentration")).select("position", "text", "type")
 
 
 @register("filtered_reanalysis", EVENT, "WITH f AS (SELECT * FROM event_facts WHERE event_type = 'purchase'), " + _kpis("f"))
 def filtered_reanalysis(spark, sf_dir):
-    whole = analyze(kept_events(spark, sf_dir), "event_facts", ["event_id"])
-    return refine(whole, {"event_type": "purchase"}, ["event_id"]).kpis
+    rows = kept_events(spark, sf_dir)
+    part = analyze_selected(rows, "event_facts", {"event_type": "purchase"}, ["event_id"])
+    part.release()  # the KPIs are worked out by now
+    rows.unpersist()
+    return part.kpis
 
 
 @register("format_large_number", LINE, f"""

@@ -6,7 +6,7 @@ from lucidframe.operators import charts as ch
 from lucidframe.operators import facts as fx
 from lucidframe.operators import insights as ins
 from lucidframe.operators import reshape as rs
-from lucidframe.plans.analyzer import analyze, refine
+from lucidframe.plans.analyzer import analyze, analyze_selected, refine
 
 
 @pytest.fixture(scope="module")
@@ -93,6 +93,9 @@ def test_refine(sales):
     part = refine(a, {"area": "South", "channel": ""}, ["_row"])
     assert part.total_rows == sales.where("area = 'South'").count()
     assert refine(a, {"area": "nowhere"}) is a
+    direct = analyze_selected(a.source, a.name, {"area": "South", "channel": ""}, ["_row"], helpers=a.helpers)
+    assert direct.total_rows == part.total_rows and direct.summary.collect() == part.summary.collect() and direct.kpis.collect() == part.kpis.collect()
+    assert analyze_selected(a.source, a.name, {"area": "nowhere"}, ["_row"], helpers=a.helpers).total_rows == a.total_rows
 
 
 def test_empty(spark):
