@@ -213,19 +213,24 @@ class Clusters:
         norm = sum((x * x for x in z), F.lit(0.0))
         sums = df.where(col_of(cluster).isNotNull()).groupBy(col_of(cluster).alias("c")).agg(F.count("*").alias("n"), F.sum(norm).alias("q"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(z)))
         of = {r.c: r for r in sums.collect()}  # one row per cluster
-        n = [of[i].n if i in of else 0 for i in range(k)]
-        total = [norm * F.lit(float(n[i])) - 2 * sum((z[j] * F.lit(float(of[i][f"s{j}"])) for j in range(d)), F.lit(0.0)) + F.lit(float(of[i].q)) if n[i] else None for i in range(k)]
-        own, other = F.lit(None).cast("double"), F.lit(None).cast("double")
-        for i in (i for i in range(k) if n[i]):
-            mine = col_of(cluster) == i
-            rest = [total[j] / F.lit(float(n[j])) for j in range(k) if j != i and n[j]]
-            least = F.least(*rest) if len(rest) > 1 else rest[0] if rest else F.lit(None).cast("double")
-            own = F.when(mine, total[i] / F.lit(float(n[i] - 1)) if n[i] > 1 else F.lit(None).cast("double")).otherwise(own)
-            other = F.when(mine, least).otherwise(other)
-        lone = own.isNull() | other.isNull()
-        own = F.greatest(own, F.lit(0.0))  # rounding can leave a little less
-        value = F.coalesce(F.try_divide(other - own, F.greatest(own, other)), F.lit(0.0))
-        return df.withColumn(name, F.when(col_of(cluster).isNotNull(), F.when(lone, 0.0).otherwise(value)))
+        row = lambda r: F.struct(F.lit(float(r.n)).alias("n"), F.lit(float(r.q)).alias("q"), F.array(*(F.lit(float(r[f"s{j}"])) for j in range(d))).alias("s"))
+        none = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("q"), F.array(*(F.lit(0.0) for _ in range(d))).alias("s"))
+        known = F.array(*(row(of[i]) if i in of else none for i in range(k))) if k else F.array()
+        add = lambda total, x: total + x
+        at, own_at = F.col("__at"), col_of(cluster)
+
+        # Arrays keep the plan's size apart from the number of clusters and columns.
+        def apart(c: Column, i: Column) -> Column:
+            far = c["n"] * F.aggregate(at, F.lit(0.0), lambda total, x: total + x * x) - 2 * F.aggregate(F.zip_with(at, c["s"], lambda x, y: x * y), F.lit(0.0), add) + c["q"]
+            return F.greatest(F.try_divide(far, c["n"] - F.when(i == own_at, 1.0).otherwise(0.0)), F.when(c["n"] > F.when(i == own_at, 1.0).otherwise(0.0), 0.0))
+
+        if not k:
+            return df.withColumn(name, F.lit(None).cast("double"))
+        out = df.withColumn("__at", F.array(*z)).withColumn("__apart", F.when(own_at.isNotNull(), F.transform(known, apart)))
+        out = out.withColumn("__own", F.get("__apart", own_at)).withColumn("__other", F.array_min(F.filter("__apart", lambda x, i: i != own_at)))
+        value = F.coalesce(F.try_divide(F.col("__other") - F.col("__own"), F.greatest("__own", "__other")), F.lit(0.0))
+        lone = F.col("__own").isNull() | F.col("__other").isNull()
+        return out.withColumn(name, F.when(own_at.isNotNull(), F.when(lone, 0.0).otherwise(value))).drop("__at", "__apart", "__own", "__other")
 
     def table(self, df: DataFrame, cluster: str = "cluster", silhouette: str = "silhouette") -> DataFrame:
         """(cluster, rows, silhouette, column means) of a table that `assigned` and `silhouettes` have gone over."""
