@@ -5,11 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import models
+from ..session import kept
 from .registry import register, view
 
 SIZES = ["n_lines", "quantity", "price"]
 K, SEED, ROUNDS = 3, 11, 6
 
+
+
+def sizes(spark, sf_dir):
+    """Models read their rows once a round or draw, so the lines are added up once and kept."""
+    return kept(view(spark, sf_dir, "order_sizes"), "sizes")
+
+
 _STANDARD = f"""m AS (SELECT {', '.join(f'AVG({c}) AS m_{c}, STDDEV_POP({c}) AS d_{c}' for c in SIZES)} FROM order_sizes),
   z AS (SELECT order_no, returned, {', '.join(f'({c} - m_{c}) / d_{c} AS z{i}' for i, c in enumerate(SIZES))} FROM order_sizes, m)"""
 
@@ -27,7 +35,7 @@ WITH {_STANDARD},
 @register("principal_components", ("order_sizes",), f"""{_PCA}
 SELECT k AS component, ROUND(variance, 6) AS variance, ROUND(variance / 3, 6) AS share, ROUND(x, 6) AS n_lines, ROUND(y, 6) AS quantity, ROUND(w, 6) AS price FROM l""")
 def principal_components(spark, sf_dir):
-    rows = view(spark, sf_dir, "order_sizes")
+    rows = sizes(spark, sf_dir)
     out = models.principal_components(rows, SIZES, 2).table(rows).groupBy("component", "variance", "share").pivot("column", SIZES).agg(F.first("loading"))
     return out.select("component", *(F.round(c, 6).alias(c) for c in ["variance", "share", *SIZES]))
 
@@ -36,7 +44,7 @@ def principal_components(spark, sf_dir):
 SELECT order_no, {', '.join(f"ROUND(z0 * l{i}.x + z1 * l{i}.y + z2 * l{i}.w, 5) AS pc{i}" for i in (1, 2))}
 FROM z, (SELECT * FROM l WHERE k = 1) l1, (SELECT * FROM l WHERE k = 2) l2""")
 def principal_projection(spark, sf_dir):
-    rows = view(spark, sf_dir, "order_sizes")
+    rows = sizes(spark, sf_dir)
     return models.principal_components(rows, SIZES, 2).projected(rows).select("order_no", F.round("pc1", 5).alias("pc1"), F.round("pc2", 5).alias("pc2"))
 
 
@@ -61,7 +69,7 @@ WITH {_STANDARD}, {_newton(8)},
 SELECT (SELECT COUNT(*) FROM z) AS n, ROUND(i - p * m_n_lines / d_n_lines - q * m_quantity / d_quantity, 5) AS intercept, ROUND(p / d_n_lines, 5) AS n_lines, ROUND(q / d_quantity, 5) AS quantity,
   (SELECT ROUND(AVG(-LN(CASE WHEN y = 1 THEN h ELSE 1 - h END)), 6) FROM chances) AS log_loss FROM b8, m""")
 def logistic_fit(spark, sf_dir):
-    fit = models.logistic_fit(view(spark, sf_dir, "order_sizes"), "returned", SIZES[:2])
+    fit = models.logistic_fit(sizes(spark, sf_dir), "returned", SIZES[:2])
     row = (fit.n, round(fit.intercept, 5), *(round(b, 5) for b in fit.coefficients), round(fit.log_loss, 6))
     return spark.createDataFrame([row], "n long, intercept double, n_lines double, quantity double, log_loss double")
 
@@ -74,7 +82,7 @@ def logistic_fit(spark, sf_dir):
 SELECT n, tp, fp, tn, fn, ROUND((tp + tn) / n, 6) AS accuracy, ROUND(tp / (tp + fp), 6) AS precision, ROUND(tp / (tp + fn), 6) AS recall, ROUND(2 * tp / (2 * tp + fp + fn), 6) AS f1,
   ROUND(log_loss, 6) AS log_loss, ROUND((places - (tp + fn) * (tp + fn + 1) / 2) / ((tp + fn) * (tn + fp)), 6) AS auc FROM t""")
 def logistic_metrics(spark, sf_dir):
-    rows = view(spark, sf_dir, "order_sizes")
+    rows = sizes(spark, sf_dir)
     fit = models.logistic_fit(rows, "returned", SIZES[:2])
     out = models.classification_metrics(rows.select("returned", F.round(fit.chance(rows), 6).alias("h")), "returned", "h")
     return out.select(*(F.round(c, 6).alias(c) if t == "double" else c for c, t in out.dtypes))
@@ -112,7 +120,7 @@ _SILHOUETTES = f"""{_CLUSTERS},
 
 
 def _clustered(spark, sf_dir):
-    rows = view(spark, sf_dir, "order_sizes")
+    rows = sizes(spark, sf_dir)
     found = models.kmeans(rows, SIZES, K, ["order_no"], SEED, ROUNDS)
     return found, found.silhouettes(found.assigned(rows))
 

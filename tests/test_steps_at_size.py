@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lucidframe.catalog import model_queries
 from lucidframe.sources import grids
 
 
@@ -35,3 +36,14 @@ def test_grid_cells_gather_rows_once(spark):
     assert [f for f in found if f[0] == 1] == first
     assert len([f for f in found if f[0] == 2]) == 13 and "lost" not in {f[4] for f in found}
     assert "Window [sheet_id" not in _plan(out) and all("/rows-" in f for f in out.inputFiles())
+
+
+def test_models_add_lines_up_once(spark, tmp_path):
+    lines = [(o, n, 5.0 * n, 10.0 * o, "R" if o % 2 else "N") for o in range(6) for n in range(1, o + 2)]
+    table = spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string")
+    table.write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = model_queries.sizes(spark, str(tmp_path))
+    assert "Aggregate" not in _plan(rows)
+    assert sorted((r.order_no, r.n_lines, r.quantity, r.returned) for r in rows.collect())[1] == (1, 2.0, 15.0, 1)
+    clusters = model_queries.kmeans_clusters(spark, str(tmp_path))
+    assert "l_orderkey" not in _plan(clusters) and clusters.count() == 6
