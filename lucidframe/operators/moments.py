@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.coerce import numeric_of
+from ..session import kept
 from .ranges import bounds_of, range_index
 
 
@@ -88,14 +89,14 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 def mid_ranks(df: DataFrame, columns: list[str], parts: int | None = None) -> list[DataFrame]:
     """For every column of numbers (value, rank): the middle of the places that equal values share, from 1.
 
-    Distinct values are counted, dealt out by ranges and counted up within each; a range starts after all earlier ones. No
+    Distinct values are counted (once: the counts are kept), dealt out by ranges and counted up within each; a range starts after all earlier ones. No
     window spans the table, and what the driver sees is one number per column and range.
     """
     bounds = bounds_of(df, [F.col(c) for c in columns], parts)
     counted = []
     for c, b in zip(columns, bounds, strict=True):
         counts = df.select(F.col(c).alias("value")).where("value IS NOT NULL").groupBy("value").agg(F.count("*").alias("n"))
-        counted.append(counts.withColumn("range", range_index(F.col("value"), b)))
+        counted.append(kept(counts.withColumn("range", range_index(F.col("value"), b)), "counts"))
     sums = [c.groupBy("range").agg(F.sum("n").alias("n")).select(F.lit(i).alias("i"), "range", "n") for i, c in enumerate(counted)]
     sizes = {(r.i, r.range): r.n for r in reduce(DataFrame.unionByName, sums).collect()}
     out = []

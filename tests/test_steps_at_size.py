@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lucidframe.catalog import model_queries
+from lucidframe.operators import moments
 from lucidframe.sources import grids
 
 
@@ -47,3 +48,10 @@ def test_models_add_lines_up_once(spark, tmp_path):
     assert sorted((r.order_no, r.n_lines, r.quantity, r.returned) for r in rows.collect())[1] == (1, 2.0, 15.0, 1)
     clusters = model_queries.kmeans_clusters(spark, str(tmp_path))
     assert "l_orderkey" not in _plan(clusters) and clusters.count() == 6
+
+
+def test_rank_counts_are_kept(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (2.0,), (None,)], "x double")
+    ranks = moments.mid_ranks(df, ["x"])[0]
+    assert "HashAggregate" not in _plan(ranks)
+    assert {r.value: r.rank for r in ranks.collect()} == {1.0: 1.0, 2.0: 2.5}
