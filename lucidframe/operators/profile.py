@@ -34,6 +34,7 @@ FILTER_COLUMNS = 5
 FILTER_DISTINCT = (2, 50)
 # One aggregate over many columns outgrows what the JVM compiles; chunks read their own columns only.
 COLUMNS_PER_AGGREGATE = 8
+DIGEST = 32  # signs of a digest; a shorter text is never taken for one
 BARE_NUMBER = r"^\d+[/.\\]?$"
 DOMAINS = (
     ("loan|lend|borrow|credit|debt", "This appears to be a lending/credit dataset."),
@@ -81,8 +82,12 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None, approximate
 
 
 def _distinct_table(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, value, count) with digests for values: whole documents need not be shuffled to be told apart."""
-    return _long_form(df, columns).groupBy("column", F.md5("value").alias("value")).agg(F.count("*").alias("count"))
+    """(column, value, count) with digests for long values: whole documents need not be shuffled to be told apart.
+
+    Texts shorter than a digest stand for themselves, which takes neither the time nor the bytes of one.
+    """
+    told = F.when(F.length("value") < DIGEST, F.col("value")).otherwise(F.md5("value"))
+    return _long_form(df, columns).groupBy("column", told.alias("value")).agg(F.count("*").alias("count"))
 
 
 def profile_columns(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

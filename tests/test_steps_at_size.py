@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from lucidframe.catalog import model_queries
 from lucidframe.operators import moments
+from lucidframe.operators import profile as prof
 from lucidframe.sources import grids
 
 
@@ -55,3 +58,11 @@ def test_rank_counts_are_kept(spark):
     ranks = moments.mid_ranks(df, ["x"])[0]
     assert "HashAggregate" not in _plan(ranks)
     assert {r.value: r.rank for r in ranks.collect()} == {1.0: 1.0, 2.0: 2.5}
+
+
+def test_short_values_stand_for_themselves(spark):
+    long, digest = "x" * 40, "0123456789abcdef0123456789abcdef"
+    df = spark.createDataFrame([("a", 1, datetime(2024, 1, 1)), ("a", 2, None), (long, 2, None), (long, None, None), (digest, None, None)], "t string, n int, d timestamp")
+    values = {r.value for r in prof._distinct_table(df, ["t", "n"]).collect()}
+    assert {"a", "1", "2"} < values and long not in values and digest not in values
+    assert {r.column: r.unique_count for r in prof.distinct_counts(df).collect()} == {"t": 3, "n": 2, "d": 1}
