@@ -42,6 +42,13 @@ def test_grid_cells_gather_rows_once(spark):
     assert "Window [sheet_id" not in _plan(out) and all("/rows-" in f for f in out.inputFiles())
 
 
+def test_a_first_row_with_a_cell_twice_names_its_column_twice(spark):
+    rows = [(1, 0, 0, None), (1, 0, 0, None)] + [(1, r, c, f"{r}.5") for r in (1, 2) for c in (0, 1, 2)]
+    cells = spark.createDataFrame(rows, "sheet_id long, row_idx int, col_idx int, value string")
+    found = grids.grid_table(cells).where("row_idx = 1").collect()
+    assert sorted((r.col_idx, r.name) for r in found) == [(0, "Column 1"), (0, "Column 1_1"), (1, "Column 2"), (2, "Column 3")]
+
+
 def test_models_add_lines_up_once(spark, tmp_path):
     lines = [(o, n, 5.0 * n, 10.0 * o, "R" if o % 2 else "N") for o in range(6) for n in range(1, o + 2)]
     table = spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string")
