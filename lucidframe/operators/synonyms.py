@@ -40,7 +40,7 @@ def resolve(synonyms: DataFrame, variant: str = "variant", canonical: str = "can
     would hold a node that the round settles. Of several spellings of a name, the least is the target.
     """
     pairs = synonyms.select(key_of(col_of(variant)).alias("node"), key_of(col_of(canonical)).alias("to"), strip_spaces(col_of(canonical).cast("string")).alias("spelling"))
-    pairs = pairs.where("node IS NOT NULL AND to IS NOT NULL")
+    pairs = _kept(pairs).where("node IS NOT NULL AND to IS NOT NULL")  # kept first: every filter on a key would make the key up again
     names = pairs.groupBy("to").agg(F.min("spelling").alias("target"))
     ends = pairs.where("node <> to").groupBy("node").agg(F.min("to").alias("to"), (F.min("to") < F.max("to")).alias("several"))
     ends = _kept(ends)
@@ -70,8 +70,10 @@ def merge_synonyms(df: DataFrame, column: str, resolved: DataFrame) -> DataFrame
     """`df` with the cells of `column` whose key is merged replaced by their target; all other cells, rows and columns stay.
 
     A join by key: Spark broadcasts a small table of synonyms and splits the partition of a hot value where it is large.
+    The key is a column of its own, since a sort by an expression makes it up again for every two rows it compares.
     """
     found = resolved.where("status = 'merged'").select(F.col("variant").alias("__variant"), F.col("target").alias("__target"))
-    joined = df.join(found, key_of(col_of(column)) == F.col("__variant"), "left")
+    keyed = df.select("*", key_of(col_of(column)).alias("__key"))
+    joined = keyed.join(found, F.col("__key") == F.col("__variant"), "left")
     cell = F.coalesce("__target", col_of(column).cast("string"))
     return joined.select(*(cell.alias(c) if c == column else col_of(c) for c in df.columns))

@@ -68,3 +68,18 @@ def test_report_comes_before_the_merge(spark):
     assert out.columns == df.columns
     assert sorted((r[0], r[1]) for r in out.collect() if r[1]) == [(1, "Yes!"), (2, "Yes!"), (3, "two"), (6, "other"), (7, "United  States"), (7, "b")]
     assert synonyms.merge_synonyms(df, "a.name", table.limit(0)).count() == 8
+
+
+def test_keys_are_made_once_per_row_and_not_while_sorting(spark):
+    table = synonyms.resolve(spark.createDataFrame(PAIRS, "variant string, canonical string"))
+    df = spark.createDataFrame([(1, "Y"), (2, " yes "), (3, None)], "row int, name string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = synonyms.merge_synonyms(df, "name", table)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan
+        assert not [line for line in plan.split("\n") if "Sort [" in line and "regexp_replace" in line or "Sort [CASE" in line]
+        assert sorted(map(tuple, out.collect())) == [(1, "Yes!"), (2, "Yes!"), (3, None)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
