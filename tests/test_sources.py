@@ -182,3 +182,14 @@ def test_csv_as_people_write_it(spark, tmp_path):
     assert flat.columns == ["a", "a_1"] and [tuple(r) for r in flat.collect()] == [('x "y"', "1")]
     with pytest.raises(EmptyInputError):
         tables.read_table(spark, write(tmp_path / "none.csv", ""))
+
+
+def test_texts_are_made_before_they_are_parsed(spark):
+    records = spark.range(4).selectExpr(*[f"CAST(CASE WHEN id <> 2 THEN id END AS {kind}) AS {column}" for _, column, kind in feature_json.ATTRIBUTES])
+    documents = feature_json.to_documents(records)
+    out = feature_json.from_documents(documents)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("\n")
+    assert [("from_json" in line, "StructsToJson" in line) for line in plan if "from_json" in line or "StructsToJson" in line] == [(True, False), (False, True)]
+    assert sorted(map(repr, out.collect())) == sorted(map(repr, records.collect()))
+    others = spark.createDataFrame([(None,), ("",), ("{}",), ('{"features": []}',), ('{"features": [{"attributes": {"Region": "I"}}, {}, null]}',)], "document string")
+    assert sorted(str(r.region) for r in feature_json.from_documents(others).collect()) == ["I", "None"]
