@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import time
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from lucidframe.catalog import model_queries
 from lucidframe.operators import moments
 from lucidframe.operators import profile as prof
+from lucidframe.session import kept
 from lucidframe.sources import grids
 
 
@@ -49,6 +53,39 @@ def test_a_first_row_with_a_cell_twice_names_its_column_twice(spark):
     assert sorted((r.col_idx, r.name) for r in found) == [(0, "Column 1"), (0, "Column 1_1"), (1, "Column 2"), (2, "Column 3")]
 
 
+def test_first_rows_travel_to_their_sheet_once(spark):
+    out = grids.grid_table(_cells(spark))
+    # Only rows further down join their names; there were the cells twice more, header work four times and names by window.
+    assert _plan(out).count("Exchange hashpartitioning") + _plan(out).count("BroadcastExchange") <= 2
+    assert "Window" not in _plan(out) and all("/rows-" in f for f in out.inputFiles())
+
+
+def test_sheets_longer_than_the_first_rows_and_sheets_that_begin_below_them(spark):
+    text = [(1, 0, c, v) for c, v in enumerate(["Name", "Year", "Name"])]  # a header, and data in and below the first rows
+    rows = text + [(1, r, c, v) for r in range(1, 30) for c, v in enumerate(["x", "1.5", "2.5"])]
+    rows += [(2, r, c, f"{r}.5") for r in range(3, 16) for c in range(3)]  # numbers only: rejected, named by row 3
+    rows += [(3, 14, 0, "Far"), (3, 14, 2, "Far")] + [(3, r, c, f" {r} ") for r in (15, 17) for c in range(3)]  # begins at row 14
+    rows += [(4, 12, 1, "lost"), (4, 13, 1, "1"), (None, 0, 0, "a"), (None, 0, 1, "b"), (None, 1, 0, "c"), (None, 1, 1, "d")]
+    cells = spark.createDataFrame(rows, "sheet_id long, row_idx int, col_idx int, value string").repartition(3)
+    found = sorted((r.sheet_id, r.row_idx, r.col_idx, r.name, r.value) for r in grids.grid_table(cells).collect())
+    wanted = [(1, r, c, n, v) for r in range(1, 30) for c, (n, v) in enumerate([("Name", "x"), ("Year", "1.5"), ("Name_1", "2.5")])]
+    wanted += [(2, r, c, n, f"{r}.5") for r in range(4, 16) for c, n in enumerate(["3.5", "3.5_1", "3.5_2"])]
+    assert found == wanted + [(3, r, c, n, str(r)) for r in (15, 17) for c, n in enumerate(["Far", "Column 2", "Far_1"])]
+    assert {r.sheet_id for r in grids.grid_cells(cells).collect()} == {1, 2}
+    names = {(r.sheet_id, r.data_from, r.col_idx, r.name) for r in grids.accepted_headers(cells).collect()}
+    assert {(1, 1, 2, "Name_1"), (2, 4, 1, "3.5_1"), (3, 15, 2, "Far_1"), (4, 13, 0, "Column 1"), (4, 13, 1, "lost"), (None, 1, 0, "Column 1")} <= names
+
+
+def test_what_is_kept_leaves_no_shuffle_behind(spark):
+    on_disk = lambda: {f.getName() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = on_disk()
+    out = kept(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    until = time.time() + 30
+    while on_disk() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not on_disk() - before and out.count() == 7 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_models_add_lines_up_once(spark, tmp_path):
     lines = [(o, n, 5.0 * n, 10.0 * o, "R" if o % 2 else "N") for o in range(6) for n in range(1, o + 2)]
     table = spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string")
